@@ -21,6 +21,7 @@ PRETOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(
 #: `` ?word`` or a run of white space that leaves its last blank to the word behind it.
 _CHUNK = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 _PRETOKEN = regex.compile(PRETOKEN)
+_BLANKS = frozenset(c for c in map(chr, range(0x3001)) if re.match(f"[{SPACE}]", c))
 
 
 def chunks(text: str) -> list[str]:
@@ -36,21 +37,63 @@ def byte_letters() -> dict[int, str]:
 
 
 class Bounded(dict):
-    """A table of what ``make`` gave for a key; emptied when it holds ``most`` entries, long keys are never kept."""
+    """A table of what ``make`` gave for a key, in two generations of ``most`` entries: when the young one is full it
+    becomes the old one, and what is met again moves back. Keys over ``longest`` letters are never kept."""
 
     def __init__(self, make, most: int, longest: int = 48):
         super().__init__()
-        self.make, self.most, self.longest = make, most, longest
+        self.make, self.most, self.longest, self.old = make, most, longest, {}
 
     def __missing__(self, key):
-        value = self.make(key)
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
         if len(key) <= self.longest:
             if len(self) >= self.most:
+                self.old = dict(self)
                 self.clear()
             self[key] = value
         return value
 
 
+class Untidy(Exception):
+    """A text has blanks next to white space, so it isn't cut at every blank."""
+
+
+def pretokens(chunk: str) -> list[str]:
+    return _PRETOKEN.findall(chunk)
+
+
+class WordTable:
+    """Values of a text's units one after the other, kept by unit.
+
+    In a text whose blanks and line ends all stand between other letters the pre-tokeniser cuts before each
+    of them, so the units are the words with the blank or line end before them. ``str.split`` finds those;
+    any other text goes by ``chunks``.
+    """
+
+    def __init__(self, of_chunk, join, most: int):
+        self.of_chunk, self.join = of_chunk, join
+        self.units = Bounded(self._of_unit, most)
+
+    def _of_unit(self, word: str):
+        unit = word if word[:1] == "\n" else " " + word
+        if len(unit) < 2 or unit[1] in _BLANKS or unit[-1] in _BLANKS:
+            raise Untidy
+        return self.join(map(self.of_chunk, _CHUNK.findall(unit)))
+
+    def of_text(self, text: str):
+        words = text.replace("\n", " \n").split(" ")
+        first = words[0]
+        if first and first[0] not in _BLANKS and first[-1] not in _BLANKS:
+            words[0] = first = self.join(map(self.of_chunk, _CHUNK.findall(first)))
+            try:
+                return self.join((first, *map(self.units.__getitem__, words[1:])))
+            except Untidy:
+                pass
+        return self.join(map(self.of_chunk, _CHUNK.findall(text)))
+
+
 class HeapMerger:
     """Counts tokens of a byte-level BPE vocabulary without making identifiers.
 
@@ -60,7 +103,7 @@ class HeapMerger:
     O(n log n) for a chunk of n bytes however long.
     """
 
-    def __init__(self, path: str, cached: int = 400_000):
+    def __init__(self, path: str, cached: int = 500_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         if spec["model"]["type"] != "BPE" or spec["pre_tokenizer"]["type"] != "ByteLevel" or spec["normalizer"]:
@@ -71,7 +114,7 @@ class HeapMerger:
         self.specials = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
         self._special = re.compile("|".join(map(re.escape, self.specials))) if self.specials else None
         self._pieces = Bounded(self.merged, cached)
-        self._chunks = Bounded(self._of_chunk, cached)
+        self._table = WordTable(self._of_chunk, sum, cached)
 
     def merged(self, piece: str) -> int:
         """Tokens of one pre-token."""
@@ -99,10 +142,10 @@ class HeapMerger:
         return n - merges
 
     def _of_chunk(self, chunk: str) -> int:
-        return sum(map(self._pieces.__getitem__, _PRETOKEN.findall(chunk)))
+        return sum(map(self._pieces.__getitem__, pretokens(chunk)))
 
     def _plain(self, text: str) -> int:
-        return sum(map(self._chunks.__getitem__, _CHUNK.findall(text)))
+        return self._table.of_text(text)
 
     def count(self, text: str | None) -> int:
         """Tokens of a whole text; a special string inside it counts as its one token, as the library's default has it."""

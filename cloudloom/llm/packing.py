@@ -13,6 +13,7 @@ give pieces with sequence ids of their own; an empty table gives an empty table;
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,16 +22,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cloudloom.llm.bpe import Bounded, chunks
+from cloudloom.llm.bpe import Bounded, WordTable, pretokens
 
 #: Bits of a sequence id below the power of two: the input partition, and the number in it.
 PARTITION_BITS, NUMBER_BITS = 24, 34
 
 
 class ChunkEncoder:
-    """Identifiers of a text as little-endian 32-bit bytes, by the tokenizers library for chunks not seen lately."""
+    """Identifiers of a text as little-endian 32-bit bytes, by the tokenizers library for pre-tokens not seen lately."""
 
-    def __init__(self, path: str, cached: int = 300_000):
+    def __init__(self, path: str, cached: int = 400_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -38,13 +39,17 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.specials = {t.content: np.array([i], "<u4").tobytes() for i, t in self.tokenizer.get_added_tokens_decoder().items()}
-        self._chunks = Bounded(self._encode, cached)
+        self._pieces = Bounded(self._encode, cached)
+        self._table = WordTable(self._of_chunk, b"".join, cached)
 
-    def _encode(self, chunk: str) -> bytes:
-        return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+    def _encode(self, piece: str) -> bytes:
+        return array("I", self.tokenizer.encode_batch_fast([piece], add_special_tokens=False)[0].ids).tobytes()
+
+    def _of_chunk(self, chunk: str) -> bytes:
+        return b"".join(map(self._pieces.__getitem__, pretokens(chunk)))
 
     def _plain(self, text: str) -> bytes:
-        return b"".join(map(self._chunks.__getitem__, chunks(text)))
+        return self._table.of_text(text)
 
     def encode(self, text: str) -> bytes:
         if found := [s for s in self.specials if s in text]:
