@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloudloom.llm import packing, sharding, token_counts, warc
-from cloudloom.llm.common import scratch
+from cloudloom.llm import decontaminate, langid, licenses, neardup, packing, sharding, token_counts, topk, toxicity, warc
+from cloudloom.llm.common import id_crc32, scratch
 
 VOCABULARY = "byte_bpe_50k.json"
+TOXIC_FROM = 0.7
 
 
 def vocabulary() -> str:
@@ -28,6 +29,52 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def lang_held_out(id_col: str = "doc_id") -> Column:
+    """Rows that language ID never learns from; a null id is one of them."""
+    return F.coalesce(F.pmod(id_crc32(F.col(id_col)), F.lit(4)) == 2, F.lit(True))
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every whole document, learned from those that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs.filter(~lang_held_out()))
+    answered = docs.select("doc_id", lang_held_out().alias("held_out"), langid.predict(docs, model).alias("p"))
+    return answered.select("doc_id", "held_out", "p.lang_pred", "p.score")
+
+
+def toxic_held_out(id_col: str = "doc_id") -> Column:
+    """Rows whose labels toxicity never learns from; a null id is one of them."""
+    return F.coalesce(F.pmod(id_crc32(F.col(id_col)), F.lit(3)) == 1, F.lit(True))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of every whole document, learned from the labels that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    machine = toxicity.fit(table(spark, sf_dir, "labels").filter(~toxic_held_out()), docs)
+    scored = docs.select("doc_id", toxic_held_out().alias("held_out"), toxicity.score(docs, machine).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= TOXIC_FROM).cast("int"))
+
+
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pair of a document and a benchmark item that it holds."""
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best rows for every vector whose id is divisible by 50."""
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate component of every document, on shingles of four words."""
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), size=4, percent=80)
+
+
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every licence template that a document holds."""
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document cut into power-of-two sequences."""
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary(), with_ids=False)
@@ -46,31 +93,8 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op2_token_counts": op2_token_counts,
-    "op6_packing": op6_packing,
-    "op8_sharding": op8_sharding,
-    "op9_warc": op9_warc,
+    f.__name__: f
+    for f in (op1_decontamination, op2_token_counts, op3_language_id, op4_top_k, op5_near_duplicates, op6_packing, op7_toxicity, op8_sharding, op9_warc, op10_license_scan)
 }
 
 ORACLE: dict[str, str] = {}
-
-ORACLE["op8_sharding"] = """
-WITH crc_table AS (
-  SELECT list_transform(range(0, 256), lambda b: list_reduce(list_prepend(b, range(0, 8)),
-    lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t
-), docs AS (
-  SELECT doc_id, coalesce(CAST(doc_id AS VARCHAR), 'null') AS key, coalesce(text, '') AS text, row_number() OVER () AS r FROM documents
-), crcs AS (
-  SELECT r, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(rtrim(regexp_replace(hex(encode(text)), '(..)', '\\1 ', 'g')), ' '),
-      lambda h: CASE WHEN h = '' THEN -1 ELSE CAST('0x' || h AS BIGINT) END)),
-    lambda c, b: CASE WHEN b < 0 THEN c ELSE xor(c >> 8, t[xor(c, b) % 256 + 1]) END), 4294967295) AS text_crc32
-  FROM docs, crc_table
-), scores AS (
-  SELECT r, s AS shard, -ln((CAST('0x' || substr(md5(key || ':' || s), 1, 13) AS BIGINT) + 1.0::DOUBLE) / 4503599627370496.0::DOUBLE) AS score
-  FROM docs, (SELECT unnest(range(0, 41)) AS s)
-), places AS (
-  SELECT r, CAST(arg_min(shard, row(score, shard)) FILTER (shard < 40) AS INTEGER) AS shard, CAST(arg_min(shard, row(score, shard)) AS INTEGER) AS grown_shard FROM scores GROUP BY r
-)
-SELECT * FROM docs
-"""
-del ORACLE["op8_sharding"]
