@@ -12,6 +12,7 @@ give pieces with sequence ids of their own; an empty table gives an empty table;
 
 from __future__ import annotations
 
+import json
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -22,14 +23,22 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cloudloom.llm.bpe import Bounded, WordTable, pretokens
+from cloudloom.llm.bpe import PRETOKEN, WordTable, byte_letters
 
 #: Bits of a sequence id below the power of two: the input partition, and the number in it.
 PARTITION_BITS, NUMBER_BITS = 24, 34
 
 
+#: Texts by which the quick merger is held against the tokenizers library when it is loaded.
+PROBES = ("It's 10 o'clock,  dann gehen wir\n\n zur Schule\t...", "a b\u3000c \u00e9\u00df\u4e2d\u6587 x\u0301", " " * 9 + "1234567890'll 'LL\r\n", "\x00\x7f\u2028 <|x|>")
+
+
 class ChunkEncoder:
-    """Identifiers of a text as little-endian 32-bit bytes, by the tokenizers library for pre-tokens not seen lately."""
+    """Identifiers of a text as little-endian 32-bit bytes, kept by word.
+
+    Words not seen lately are merged by tiktoken over the same vocabulary where its identifiers are in the order of its merges,
+    as ranks need, and the probes agree; otherwise by the tokenizers library itself.
+    """
 
     def __init__(self, path: str, cached: int = 400_000):
         import os
@@ -39,14 +48,16 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.specials = {t.content: np.array([i], "<u4").tobytes() for i, t in self.tokenizer.get_added_tokens_decoder().items()}
-        self._pieces = Bounded(self._encode, cached)
+        self._ids = ranked(path) or self._by_library
+        if any(self._ids(t) != self._by_library(t) for t in PROBES):
+            self._ids = self._by_library
         self._table = WordTable(self._of_chunk, b"".join, cached)
 
-    def _encode(self, piece: str) -> bytes:
-        return array("I", self.tokenizer.encode_batch_fast([piece], add_special_tokens=False)[0].ids).tobytes()
+    def _by_library(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def _of_chunk(self, chunk: str) -> bytes:
-        return b"".join(map(self._pieces.__getitem__, pretokens(chunk)))
+        return array("I", self._ids(chunk)).tobytes()
 
     def _plain(self, text: str) -> bytes:
         return self._table.of_text(text)
@@ -54,11 +65,27 @@ class ChunkEncoder:
     def encode(self, text: str) -> bytes:
         if found := [s for s in self.specials if s in text]:
             if len(found) > 1:  # overlapping special strings: the library decides
-                return self._encode(text)
+                return array("I", self._by_library(text)).tobytes()
             return self.specials[found[0]].join(map(self._plain, text.split(found[0])))
         return self._plain(text)
 
 
+def ranked(path: str):
+    """tiktoken's merger over a byte-level vocabulary file; None where its identifiers don't rank its merges."""
+    import tiktoken
+
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    vocab, special = spec["model"]["vocab"], {t["content"] for t in spec["added_tokens"]}
+    pairs = [m if not isinstance(m, str) else m.split(" ") for m in spec["model"]["merges"]]
+    places = [vocab.get("".join(m)) for m in pairs]
+    if spec["normalizer"] or None in places or places != sorted(places) or len(vocab.keys() - special) != 256 + len(pairs) or (pairs and places[0] < 256):
+        return None
+    letter = {v: k for k, v in byte_letters().items()}
+    ranks = {bytes(letter[c] for c in token): i for token, i in vocab.items() if token not in special}
+    return tiktoken.Encoding("ranked", pat_str=PRETOKEN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+
 _ENCODERS: dict[str, ChunkEncoder] = {}
 
 
