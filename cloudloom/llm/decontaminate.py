@@ -219,7 +219,8 @@ def contamination(docs: DataFrame, items: DataFrame, text_col: str = "text", ite
 def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """(id, item_id, score, first_word, end_word) of every document and item that align."""
     hits = docs.select(F.col(id_col), contamination(docs, items, text_col, **options).alias("__hits"))
-    return hits.filter(F.size("__hits") > 0).select(id_col, F.explode("__hits").alias("__hit")).select(id_col, "__hit.*")
+    # no filter before: it would be pushed down and run the matching twice
+    return hits.select(id_col, F.explode("__hits").alias("__hit")).select(id_col, "__hit.*")
 
 
 def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", **options) -> DataFrame:
