@@ -15,15 +15,15 @@ from dataclasses import dataclass, field
 
 import numpy as np
 
-LEAF = 48
+#: Most points of a leaf of the data, and of the queries: few queries with one floor prune better.
+LEAF, QUERY_LEAF = 32, 6
 
 
-def exact_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def exact_products(a: Tree, b: Tree, at: np.ndarray | slice, cols: np.ndarray | slice) -> np.ndarray:
     """Inner products of integer rows, exactly: in doubles where all sums stay below 2^53, else in Python integers kept within 64 bits."""
-    most = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * a.shape[1]
-    if most < 2**53:
-        return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
-    whole = a.astype(object) @ b.astype(object).T
+    if a.peak * b.peak * a.rows.shape[1] < 2**53:
+        return (a.x[at] @ b.x[cols].T).astype(np.int64)
+    whole = a.rows[at].astype(object) @ b.rows[cols].astype(object).T
     return np.clip(whole, -(2**63), 2**63 - 1).astype(np.int64)
 
 
@@ -37,25 +37,29 @@ class Node:
     centres: np.ndarray | None = None  # of the children
     norms: np.ndarray | None = None
     radii: np.ndarray | None = None
+    deep: np.ndarray | None = None  # which of them have children
+    spans: np.ndarray | None = None  # their begins and ends
 
     def gather(self) -> None:
         if self.children:
             self.centres = np.array([c.centre for c in self.children])
             self.norms = np.sqrt((self.centres**2).sum(1))
             self.radii = np.array([c.radius for c in self.children])
+            self.deep = np.array([bool(c.children) for c in self.children])
+            self.spans = np.array([(c.begin, c.end) for c in self.children])
 
 
 class Tree:
     """A cover tree; ``order`` lists the rows so that each node holds a run of them."""
 
-    def __init__(self, ids: np.ndarray, rows: np.ndarray):
+    def __init__(self, ids: np.ndarray, rows: np.ndarray, leaf: int = LEAF):
         order: list[int] = []
         x = rows.astype(np.float64)
 
         def build(at: np.ndarray, centre: int, reach: np.ndarray) -> Node:
             begin = len(order)
             node = Node(begin, begin + len(at), float(reach.max()), x[centre])
-            if len(at) <= LEAF or node.radius == 0:
+            if len(at) <= leaf or node.radius == 0:
                 order.extend(at.tolist())
                 return node
             left, gap, lone = at, reach, []
@@ -80,7 +84,8 @@ class Tree:
             self.root: Node | None = build(np.arange(len(rows)), 0, gap)
         else:
             self.root = None
-        self.rows, self.ids = rows[order], ids[order]
+        self.rows, self.ids, self.x = rows[order], ids[order], x[order]
+        self.peak = float(np.abs(x).max(initial=0))
 
 
 @dataclass
@@ -114,58 +119,71 @@ class Best:
 
 
 def search(queries: Tree, data: Tree, best: Best) -> int:
-    """Offer ``best`` every pair of the two trees that could matter; returns how many products were taken."""
+    """Offer ``best`` every pair of the two trees that could matter; returns how many products were taken.
+
+    All children of a pair of nodes are bounded at once, as a matrix; leaves that are left are multiplied together.
+    """
     taken = 0
-    slack = 1e-9
 
-    def leaves(q: Node, ds: list[Node]) -> None:
+    def floors(nodes: list[Node]) -> np.ndarray:
+        return np.array([best.floor[n.begin : n.end].min() for n in nodes], np.float64)
+
+    def bounds(qs: list[Node], d: Node, among: np.ndarray) -> np.ndarray:
+        """The most that each query node can score with each of some children of ``d``, a little over for the rounding."""
+        centre, radius = np.array([q.centre for q in qs]), np.array([q.radius for q in qs])[:, None]
+        norm = np.sqrt((centre**2).sum(1))[:, None]
+        most = centre @ d.centres[among].T + norm * d.radii[among] + radius * (d.norms[among] + d.radii[among])
+        return most + np.abs(most) * 1e-9
+
+    def offer(begin: int, end: int, d: Node, among: np.ndarray) -> None:
         nonlocal taken
-        at = slice(q.begin, q.end)
-        cols = np.concatenate([np.arange(d.begin, d.end) for d in ds])
-        products = exact_products(queries.rows[at], data.rows[cols])
+        spans = d.spans[among]
+        sizes = spans[:, 1] - spans[:, 0]
+        cols = np.arange(sizes.sum()) + np.repeat(spans[:, 0] - np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes)
+        at = slice(begin, end)
+        products = exact_products(queries, data, at, cols)
         taken += products.size
         best.add(at, products, data.ids[cols], queries.ids[at][:, None] == data.ids[cols][None, :])
 
-    def pairs(q: Node, d: Node) -> None:
-        """``d`` has children: those that may matter, best first; leaves together."""
-        norm = float(np.sqrt((q.centre**2).sum()))
-        bound = d.centres @ q.centre + norm * d.radii + q.radius * d.norms + q.radius * d.radii
-        bound = bound + np.abs(bound) * slack
-        order = np.argsort(-bound, kind="stable")
-        small: list[Node] = []
-        for i in order.tolist():
-            child = d.children[i]
-            if bound[i] < best.floor[q.begin : q.end].min():
-                break
-            if child.children:
-                visit(q, child)
-            else:
-                small.append(child)
-        if small:
-            visit_leaves(q, small)
+    def with_leaves(q: Node, d: Node, among: np.ndarray) -> None:
+        """``among``: children of ``d`` without children."""
+        if not q.children:
+            offer(q.begin, q.end, d, among)
+            return
+        may = bounds(q.children, d, among) >= floors(q.children)[:, None]
+        i = 0
+        while i < len(q.children):  # query leaves that follow each other go together, by what any of them may need
+            j = i + 1
+            if not q.deep[i]:
+                while j < len(q.children) and not q.deep[j]:
+                    j += 1
+                if (wanted := may[i:j].any(0)).any():
+                    offer(q.spans[i, 0], q.spans[j - 1, 1], d, among[wanted])
+            elif may[i].any():
+                with_leaves(q.children[i], d, among[may[i]])
+            i = j
 
     def visit(q: Node, d: Node) -> None:
-        if q.children and (not d.children or q.radius > d.radius):
+        if not d.children:
+            lone = Node(d.begin, d.end, d.radius, d.centre, [d])
+            lone.gather()
+            with_leaves(q, lone, np.array([0]))
+            return
+        if q.children and q.radius > d.radius:
             for c in q.children:
-                if may(c, d):
+                if (bounds([c], d, slice(None)) >= floors([c])).any():
                     visit(c, d)
-        elif d.children:
-            pairs(q, d)
-        else:
-            visit_leaves(q, [d])
-
-    def visit_leaves(q: Node, ds: list[Node]) -> None:
-        if q.children and q.end - q.begin > LEAF:
-            for c in q.children:
-                if keep := [d for d in ds if may(c, d)]:
-                    visit_leaves(c, keep)
-        else:
-            leaves(q, ds)
-
-    def may(q: Node, d: Node) -> bool:
-        bound = float(q.centre @ d.centre) + float(np.sqrt((q.centre**2).sum())) * d.radius + float(np.sqrt((d.centre**2).sum())) * q.radius + q.radius * d.radius
-        return bound + abs(bound) * slack >= best.floor[q.begin : q.end].min()
+            return
+        most = bounds([q], d, slice(None))[0]
+        order = np.argsort(-most, kind="stable")
+        leaves = order[~d.deep[order]]
+        if len(leaves := leaves[most[leaves] >= floors([q])[0]]):
+            with_leaves(q, d, leaves)
+        for i in order[d.deep[order]].tolist():
+            if most[i] < floors([q])[0]:
+                break
+            visit(q, d.children[i])
 
-    if queries.root and data.root and may(queries.root, data.root):
+    if queries.root and data.root:
         visit(queries.root, data.root)
     return taken

@@ -225,4 +225,4 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
 
 def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that hold no test item, columns as they are."""
-    return docs.withColumn("__hits", contamination(docs, items, text_col, **options)).filter(F.size("__hits") == 0).drop("__hits")
+    return docs.filter(F.size(contamination(docs, items, text_col, **options)) == 0)

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cloudloom.llm.common import staged
-from cloudloom.llm.covertree import Best, Tree, search
+from cloudloom.llm.covertree import LEAF, QUERY_LEAF, Best, Tree, search
 
 PIVOTS, SAMPLED = 32, 1024
 BLOCK, QUERY_BLOCK = 2048, 512
@@ -93,26 +93,30 @@ def _blocks(rows: DataFrame, cells: DataFrame, size: int) -> DataFrame:
     return dealt.groupBy("d", "cell", "block").applyInArrow(pack, "d int, cell int, block int, ids binary, rows binary, wide boolean")
 
 
-def _tree(ids: bytes, rows: bytes, wide: bool, d: int) -> Tree:
-    return Tree(np.frombuffer(ids, np.int64), np.frombuffer(rows, np.int64 if wide else np.int32).reshape(-1, d).astype(np.int64))
+def _tree(ids: bytes, rows: bytes, wide: bool, d: int, leaf: int = LEAF) -> Tree:
+    return Tree(np.frombuffer(ids, np.int64), np.frombuffer(rows, np.int64 if wide else np.int32).reshape(-1, d).astype(np.int64), leaf)
 
 
 def _search(pairs: DataFrame, k: int) -> DataFrame:
     """Best ``k`` of each query in each pair of blocks: rows (query_id, vec_id, score)."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, trees = None, {}
+        built: dict[tuple, Tree] = {}
+        trees: dict[tuple, Tree] = {}
         for batch in batches:
             for i in range(batch.num_rows):
                 r = {name: batch.column(j)[i].as_py() for j, name in enumerate(batch.schema.names)}
                 key = (r["d"], r["cell"], r["block"])
-                if key != last:
-                    last, data = key, _tree(r["ids"], r["rows"], r["wide"], r["d"])
+                if key not in built:
+                    if len(built) >= 16:
+                        built.clear()
+                    built[key] = _tree(r["ids"], r["rows"], r["wide"], r["d"])
+                data = built[key]
                 q = (r["d"], r["q_cell"], r["q_block"])
                 if q not in trees:
                     if len(trees) >= 16:
                         trees.clear()
-                    trees[q] = _tree(r["q_ids"], r["q_rows"], r["q_wide"], r["d"])
+                    trees[q] = _tree(r["q_ids"], r["q_rows"], r["q_wide"], r["d"], QUERY_LEAF)
                 queries = trees[q]
                 floor = None
                 if r["q_floor"] is not None:
