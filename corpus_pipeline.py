@@ -20,14 +20,14 @@ LEAST_LANGUAGE_SCORE = 0.5
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without letters, and those in no one language."""
     model = langid.fit(docs.filter(~lang_held_out()))
-    told = docs.withColumn("__p", langid.predict(docs, model))
-    return told.filter((F.col("__p.lang_pred") != langid.UNKNOWN) & (F.col("__p.score") >= LEAST_LANGUAGE_SCORE)).drop("__p")
+    told = langid.predict(docs, model)
+    return docs.filter((told["lang_pred"] != langid.UNKNOWN) & (told["score"] >= LEAST_LANGUAGE_SCORE))
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents that score as toxic."""
     machine = toxicity.fit(table(spark, sf_dir, "labels").filter(~toxic_held_out()), docs)
-    return docs.withColumn("__score", toxicity.score(docs, machine)).filter(F.col("__score") < TOXIC_FROM).drop("__score")
+    return docs.filter(toxicity.score(docs, machine) < TOXIC_FROM)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
