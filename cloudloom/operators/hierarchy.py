@@ -115,25 +115,19 @@ def inverse_raht(blocks: DataFrame, coefficients: DataFrame, depth: int) -> Data
         t = blocks.filter(F.col("level") == 3 * k).join(wide.filter(F.col("level") == 3 * k).drop("level"), "node", "left")
         if dc is not None:
             t = t.drop("c0").join(dc, "node")
-        weights = [F.col(f"w{i}").cast("double") for i in range(8)]
-        trace = []
-        for step in STEPS:
-            row = []
-            new = list(weights)
-            for i, j in step:
-                row.append((i, j, weights[i], weights[j]))
-                new[i], new[j] = weights[i] + weights[j], F.when((weights[i] > 0) & (weights[j] > 0), weights[i] + weights[j]).otherwise(0.0)
-            weights = new
-            trace.append(row)
-        value = [F.col(f"c{i}") for i in range(8)]
-        for row in reversed(trace):
-            new = list(value)
-            for i, j, wi, wj in row:
+        t = t.withColumns({f"u0_{i}": F.col(f"w{i}").cast("double") for i in range(8)})
+        for k_step, step in enumerate(STEPS[:-1]):
+            u = lambda i, k_step=k_step: F.col(f"u{k_step}_{i}")
+            t = t.withColumns({f"u{k_step + 1}_{i}": u(i) + u(j) for i, j in step} | {f"u{k_step + 1}_{j}": F.when((u(i) > 0) & (u(j) > 0), u(i) + u(j)).otherwise(0.0) for i, j in step})
+        for k_step in range(len(STEPS) - 1, -1, -1):
+            new = {}
+            for i, j in STEPS[k_step]:
+                wi, wj, a, b = F.col(f"u{k_step}_{i}"), F.col(f"u{k_step}_{j}"), F.col(f"c{i}"), F.col(f"c{j}")
                 both = (wi > 0) & (wj > 0)
                 p, q = F.sqrt(wi / (wi + wj)), F.sqrt(wj / (wi + wj))
-                new[i] = F.when(both, p * value[i] - q * value[j]).otherwise(F.when(wi > 0, value[i]))
-                new[j] = F.when(both, q * value[i] + p * value[j]).otherwise(F.when(wj > 0, value[i]))
-            value = new
+                new |= {f"c{i}": F.when(both, p * a - q * b).otherwise(F.when(wi > 0, a)), f"c{j}": F.when(both, q * a + p * b).otherwise(F.when(wj > 0, a))}
+            t = t.withColumns(new)
+        value = [F.col(f"c{i}") for i in range(8)]
         children = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.col(f"w{i}").alias("w"), v.alias("c")) for i, v in enumerate(value)))).alias("e")
         below = t.select("node", children).filter("e.w > 0").select((F.col("node") * 8 + F.col("e.i")).alias("node"), F.col("e.w").alias("w"), F.col("e.c").alias("c0"))
         dc = staged(below.select("node", "c0") if k else below, "unraht")
