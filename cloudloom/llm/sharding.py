@@ -4,9 +4,9 @@ Every (key, shard) pair has a score ``-ln(u) / weight`` with u from MD5; the low
 that is added only takes the records it wins, so with n equal shards about 1/(n+1) of them move, all of
 them into the new shard.
 
-Slots are numbered without a task that sees a whole shard: rows are dealt by (shard, cell) where the
-cell is a hash of the key and the number of cells grows with the table, numbered in their cell, and
-moved by the counts of the cells before.
+Slots follow the hash of the key, and are numbered without a task that sees a whole shard: rows are dealt by (shard,
+cell) where a cell is a range of hashes and the number of cells grows with the table, numbered in their
+cell, and moved by the counts of the cells before. They don't depend on the number of cells.
 
 Cases: a null key is hashed as the text ``null``; null texts have no bytes and the CRC of the empty
 text; equal texts under different keys are placed by their keys; repeated rows share a shard and take
@@ -53,11 +53,12 @@ def shard(df: DataFrame, weights: list[float], id_col: str = "doc_id", text_col:
     rows = rows.select(id_col, "__key", "size", "text_crc32", best["shard"].cast("int").alias("shard"), grown.alias("grown_shard"))
 
     cells = max(16, -(-df.count() // (cell_rows * len(weights))))
-    rows = rows.withColumn("__cell", F.pmod(F.xxhash64("__key"), F.lit(cells)).cast("int"))
+    rows = rows.withColumn("__hash", F.md5(F.col("__key").cast("binary")))
+    rows = rows.withColumn("__cell", F.floor(F.conv(F.substring("__hash", 1, DIGITS), 16, 10).cast("double") / SPAN * cells).cast("int"))
     counts = rows.groupBy("shard", "__cell").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy("shard").orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("shard", "__cell", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
-    within = Window.partitionBy("shard", "__cell").orderBy("__key", "text_crc32", "size")
+    within = Window.partitionBy("shard", "__cell").orderBy("__hash", "__key", "text_crc32", "size")
     numbered = rows.withColumn("__in_cell", F.row_number().over(within) - 1)
     placed = numbered.join(starts, ["shard", "__cell"])
     return placed.select(id_col, "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("__start") + F.col("__in_cell")).cast("long").alias("slot"), "grown_shard")
