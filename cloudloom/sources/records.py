@@ -82,7 +82,7 @@ def read_motion(spark: SparkSession, path: str) -> DataFrame:
     """
     lines = spark.read.text(path).select(F.split(F.trim("value"), r"\s+").alias("v"), F.monotonically_increasing_id().alias("frame")).filter(F.size("v") == 14)
     n = [F.col("v")[i].cast("double") for i in range(14)]
-    fixed = lambda i: F.round((n[i] - (i % 4 == 0)) * 65536).cast("int") + (65536 if i % 4 == 0 else 0)
+    fixed = lambda i: F.round((n[i] - float(i % 4 == 0)) * 65536).cast("int") + (65536 if i % 4 == 0 else 0)
     return lines.select("frame", *(fixed(i).alias(f"m{i // 3}{i % 3}") for i in range(9)), *(F.round(n[9 + i]).cast("int").alias(f"t{i}") for i in range(3)), F.round(n[12]).cast("int").alias("z_top"), F.round(n[13]).cast("int").alias("z_bottom"))
 
 

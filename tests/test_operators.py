@@ -125,3 +125,12 @@ def test_results_csv_with_comments(spark, tmp_path):
     (tmp_path / "r.csv").write_text("# note\nconfig,,bits\na,1,8\n")
     df = records.read_results(spark, str(tmp_path / "r.csv"))
     assert df.columns[0] == "config" and df.columns[2] == "bits" and df.count() == 1
+
+
+def test_options_are_checked():
+    from cloudloom.plans.options import Options
+
+    assert Options.of({"tile_size": "64", "partition": "uniform"}, {"tile_size": "128"}).tile_size == 128
+    for bad in ({"partition": "x"}, {"neighbours": "4"}, {"slice_min_points": "9", "slice_max_points": "5"}, {"other": "1"}):
+        with pytest.raises(ValueError):
+            Options.of(bad)

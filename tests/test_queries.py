@@ -3,7 +3,7 @@
 import pytest
 from compare import connect, difference
 
-from cloudloom.queries import aggregates, projections, spatial, streams  # noqa: F401
+from cloudloom.queries import aggregates, projections, slicing, spatial, streams  # noqa: F401
 from cloudloom.queries.registry import ORACLE, QUERIES
 
 
