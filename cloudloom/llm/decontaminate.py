@@ -63,6 +63,30 @@ def grams(h: np.ndarray, size: int) -> np.ndarray:
     return total
 
 
+class Vocabulary(dict):
+    """Numbers, from 1, of the words of a block of items; a document's other words are 0 and match nothing."""
+
+    def add(self, text: str) -> np.ndarray:
+        return np.array([self.setdefault(w, len(self) + 1) for w in _WORD.findall(text.lower())], np.int64)
+
+    def encode(self, text: str | None) -> np.ndarray:
+        get = self.get
+        return np.array([get(w, 0) for w in _WORD.findall((text or "").lower())], np.int64)
+
+
+def known_grams(v: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the runs of ``size`` known words, and their hashes."""
+    known = v > 0
+    whole = known[: max(0, len(v) - size + 1)].copy()
+    for i in range(1, size):
+        whole &= known[i : i + len(whole)]
+    at = np.flatnonzero(whole)
+    total = np.full(len(at), np.uint64(size))
+    for i in range(size if len(at) else 0):
+        total = mix64(total * np.uint64(0x9E3779B97F4A7C15) + v[at + i].astype(np.uint64))
+    return at, total
+
+
 def align(item: np.ndarray, stretch: np.ndarray) -> tuple[int, int, int]:
     """Best Smith-Waterman score of two word sequences, and where it begins and ends in ``stretch``. Linear gaps; rows are filled at once by a running maximum."""
     n = len(stretch)
@@ -93,6 +117,7 @@ def align(item: np.ndarray, stretch: np.ndarray) -> tuple[int, int, int]:
 class Index:
     """Items of one block and their seeds, by seed length."""
 
+    vocabulary: Vocabulary
     ids: list
     items: list[np.ndarray]
     keys: dict[int, np.ndarray]  # size -> sorted seed hashes
@@ -102,19 +127,19 @@ class Index:
         """For each item met, the begins in the document that its seeds stand for."""
         found: dict[int, list[int]] = {}
         for size, keys in self.keys.items():
-            g = grams(h, size)
+            places, g = known_grams(h, size)
             if not len(g) or not len(keys):
                 continue
             at = np.searchsorted(keys, g)
             at[at == len(keys)] = 0
-            for p in np.flatnonzero(keys[at] == g).tolist():
-                for item, offset in self.places[size][at[p]]:
-                    found.setdefault(item, []).append(p - offset)
+            for i in np.flatnonzero(keys[at] == g).tolist():
+                for item, offset in self.places[size][at[i]]:
+                    found.setdefault(item, []).append(int(places[i]) - offset)
         return found
 
     def matches(self, text: str | None, least: float) -> list[tuple]:
         """(item, score share, first word, word after the last) of every item that the text holds."""
-        h = word_hashes(text)
+        h = self.vocabulary.encode(text)
         out = []
         for item, begins in sorted(self.hits(h).items()):
             words = self.items[item]
@@ -139,23 +164,23 @@ def _all_grams(items: list[np.ndarray]) -> dict[int, list[tuple[np.ndarray, int]
     by: dict[int, list] = {}
     for i, h in enumerate(items):
         size = min(SEED, len(h))
-        by.setdefault(size, []).append((grams(h, size), i))
+        by.setdefault(size, []).append((known_grams(h, size)[1], i))
     return by
 
 
-def _frequencies(docs: DataFrame, text_col: str, keys: dict[int, np.ndarray]) -> tuple[dict[int, np.ndarray], int]:
+def _frequencies(docs: DataFrame, text_col: str, vocabulary: Vocabulary, keys: dict[int, np.ndarray]) -> tuple[dict[int, np.ndarray], int]:
     """Documents that each item n-gram is in, and documents in all. A row for each task and n-gram met is shuffled."""
-    held = docs.sparkSession.sparkContext.broadcast(keys)
+    held = docs.sparkSession.sparkContext.broadcast((vocabulary, keys))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mine = held.value
+        known, mine = held.value
         seen, n = {s: np.zeros(len(k), np.int64) for s, k in mine.items()}, 0
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                h = word_hashes(text)
+                h = known.encode(text)
                 n += 1
                 for size, k in mine.items():
-                    g = grams(h, size)
+                    g = known_grams(h, size)[1]
                     if len(g):
                         at = np.searchsorted(k, g)
                         at[at == len(k)] = 0
@@ -173,11 +198,12 @@ def _frequencies(docs: DataFrame, text_col: str, keys: dict[int, np.ndarray]) ->
 
 
 def _index(rows: list, docs: DataFrame, text_col: str) -> Index:
-    items = [(r["id"], h) for r in rows if len(h := word_hashes(r["text"]))]
+    vocabulary = Vocabulary()
+    items = [(r["id"], h) for r in rows if len(h := vocabulary.add(r["text"]))]
     ids, words = [i for i, _ in items], [h for _, h in items]
     by = _all_grams(words)
     keys = {s: np.unique(np.concatenate([g for g, _ in x])) for s, x in by.items()}
-    seen, total = _frequencies(docs, text_col, keys)
+    seen, total = _frequencies(docs, text_col, vocabulary, keys)
     chosen: dict[int, dict[int, list[tuple[int, int]]]] = {}
     for size, x in by.items():
         for g, item in x:
@@ -186,7 +212,7 @@ def _index(rows: list, docs: DataFrame, text_col: str) -> Index:
             seeds = set(ranked[: max(1, int(np.ceil(len(g) * KEPT_SHARE)))].tolist()) | set(np.flatnonzero(n <= RARE_SHARE * total).tolist())
             for at in sorted(seeds):
                 chosen.setdefault(size, {}).setdefault(int(g[at]), []).append((item, at))
-    return Index(ids, words, {s: np.array(sorted(c), np.uint64) for s, c in chosen.items()}, {s: [c[k] for k in sorted(c)] for s, c in chosen.items()})
+    return Index(vocabulary, ids, words, {s: np.array(sorted(c), np.uint64) for s, c in chosen.items()}, {s: [c[k] for k in sorted(c)] for s, c in chosen.items()})
 
 
 def _matched(held, least: float):
