@@ -5,7 +5,8 @@
    parity bitmap into which the samples are folded. Equal word sequences are one node from here on.
 2. Every band bucket links its members to its smallest one. Pairs whose sketches differ in too many
    bits (the XOR's population count gives the similarity) are dropped: the cut lies over six
-   standard errors below the threshold. The rest are confirmed on the full sets.
+   standard errors below the threshold. So are pairs which the parity bitmaps of the whole sets rule out. The
+   rest are confirmed on the full sets.
 3. Links found make components. Members of a bucket that are in different components are compared too:
    all such pairs in buckets of at most ``PAIRED`` members; in larger ones by a prefix filter, which is exact: two sets
    this similar share one of their rarest shingles. Then components again.
@@ -29,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cloudloom.llm.common import mix64, odd_constants, staged
@@ -40,7 +41,9 @@ SAMPLES = BANDS * ROWS
 SKETCH_BITS = 1024
 #: Standard errors of the sketch's similarity that the cut lies below the threshold.
 ERRORS = 6.5
-PAIRED, MEMBERS = 24, 128
+PAIRED, MEMBERS, POSTED = 24, 128, 1024
+#: Bits of the map of wanted ids: 4 MB, of use up to some ten million ids.
+MARKS = 1 << 25
 _MULTIPLIERS = odd_constants(SAMPLES, 1)
 _PLACES = odd_constants(SAMPLES, 2)
 _WORD_MULTIPLIERS = odd_constants(64, 3)
@@ -100,6 +103,12 @@ def odd_sketch(least: np.ndarray) -> np.ndarray:
     return np.packbits(odd).view(np.int64)
 
 
+def parity(s: np.ndarray) -> np.ndarray:
+    """The odd sketch of a whole set. The XOR of two never has more bits than the sets have elements in one alone, so it rules pairs out for certain."""
+    odd = (np.bincount((s % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.int64)
+
+
 def most_differing_bits(threshold: float) -> int:
     """The XOR population count beyond which a pair is dropped."""
     least = threshold - ERRORS * (threshold * (1 - threshold) / SAMPLES) ** 0.5
@@ -108,14 +117,14 @@ def most_differing_bits(threshold: float) -> int:
 
 
 def _facts(docs: DataFrame, size: int) -> DataFrame:
-    """(id, n_shingles, digest, bands, sketch) of each row of ``docs`` (id, text)."""
+    """(id, n_shingles, digest, bands, sketch, parity) of each row of ``docs`` (id, text)."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in range(0, batch.num_rows, 2000):
                 piece = batch.slice(part, 2000)
                 texts = piece.column(1).to_pylist()
-                counts, digests, bands, sketches = [], [], [], []
+                counts, digests, bands, sketches, parities = [], [], [], [], []
                 for text in texts:
                     ws = words(text)
                     s = shingles(ws, size)
@@ -125,13 +134,46 @@ def _facts(docs: DataFrame, size: int) -> DataFrame:
                         digests.append(xxhash.xxh3_128_digest(b" ".join(ws)))
                         bands.append(band_keys(least))
                         sketches.append(odd_sketch(least))
+                        parities.append(parity(s))
                     else:
                         digests.append(None)
                         bands.append(None)
                         sketches.append(None)
-                yield pa.record_batch([piece.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))], ["id", "n_shingles", "digest", "bands", "sketch"])
+                        parities.append(None)
+                yield pa.record_batch([piece.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64())), pa.array(parities, pa.list_(pa.int64()))], ["id", "n_shingles", "digest", "bands", "sketch", "parity"])
+
+    return docs.mapInArrow(make, "id long, n_shingles long, digest binary, bands array<long>, sketch array<long>, parity array<long>")
+
+
+def _marks(ids: np.ndarray) -> np.ndarray:
+    return (mix64(ids.astype(np.int64).view(np.uint64) + np.uint64(77)) % np.uint64(MARKS)).astype(np.int64)
+
+
+def among(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose id may be one of ``wanted``'s: all that are, and few others, so that a join needn't move every text.
+
+    The ids set bits of a map of a fixed ``MARKS`` bits, whatever their number; a full map lets all rows pass.
+    """
 
-    return docs.mapInArrow(make, "id long, n_shingles long, digest binary, bands array<long>, sketch array<long>")
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(MARKS // 64, np.uint64)
+        for batch in batches:
+            at = _marks(batch.column(0).to_numpy(zero_copy_only=False))
+            np.bitwise_or.at(bits, at >> 6, np.uint64(1) << (at & 63).astype(np.uint64))
+        at = np.flatnonzero(bits)
+        yield pa.record_batch([pa.array(at, pa.int64()), pa.array(bits[at].view(np.int64))], ["word", "bits"])
+
+    words_ = wanted.select("id").distinct().mapInArrow(mark, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
+    bits = np.zeros(MARKS // 64, np.int64)
+    bits[words_["word"].to_numpy(np.int64)] = words_["bits"].to_numpy(np.int64)
+    held = docs.sparkSession.sparkContext.broadcast(bits.view(np.uint8))
+
+    @F.arrow_udf("boolean")
+    def marked(ids: pa.Array) -> pa.Array:
+        at = _marks(ids.fill_null(0).to_numpy(zero_copy_only=False))
+        return pa.array((held.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool))
+
+    return docs.filter(marked(F.col("id")))
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -139,7 +181,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataF
     degrees = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("parts"))
     routed = pairs.join(degrees, "hub").select("hub", F.pmod(F.xxhash64("member"), F.col("parts")).cast("int").alias("part"), F.col("member").alias("id"))
     routes = routed.withColumn("kind", F.lit(1)).unionByName(routed.select("hub", "part", F.col("hub").alias("id"), F.lit(0).alias("kind")).distinct())
-    rows = routes.join(docs, "id").select("hub", "part", "kind", "id", "text").repartition("hub", "part").sortWithinPartitions("hub", "part", "kind", "id")
+    rows = routes.join(among(docs, pairs.select(F.col("hub").alias("id")).union(pairs.select("member"))), "id").select("hub", "part", "kind", "id", "text").repartition("hub", "part").sortWithinPartitions("hub", "part", "kind", "id")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, hubs = None, []
@@ -165,18 +207,22 @@ def confirm(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataF
 
 def _likely(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Those of ``pairs`` (hub, member) whose set sizes and sketches allow the threshold."""
-    side = lambda name: nodes.select(F.col("id").alias(name), F.col("n_shingles").alias(f"n_{name}"), F.col("sketch").alias(f"s_{name}"))
+    side = lambda name: nodes.select(F.col("id").alias(name), F.col("n_shingles").alias(f"n_{name}"), F.col("sketch").alias(f"s_{name}"), F.col("parity").alias(f"p_{name}"))
     both = pairs.join(side("hub"), "hub").join(side("member"), "member")
-    differing = F.aggregate(F.zip_with("s_hub", "s_member", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    bits = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    differing = bits("s_hub", "s_member")
+    possible = bits("p_hub", "p_member") * (100 + percent) <= (F.col("n_hub") + F.col("n_member")) * (100 - percent)
     sizes = F.least("n_hub", "n_member") * 100 >= F.greatest("n_hub", "n_member") * percent
-    return both.filter(sizes & (differing <= most_differing_bits(percent / 100))).select("hub", "member")
+    return both.filter(sizes & possible & (differing <= most_differing_bits(percent / 100))).select("hub", "member")
 
 
-def _prefix_pairs(crowd: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Pairs of nodes of ``crowd`` (id, component) in different components that share one of their rarest shingles.
+def _prefix_pairs(crowd: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Pairs (hub, member) of nodes of ``crowd`` (id, component) in different components that may reach the threshold.
 
-    Exact: with the shingles of each set in one order, two sets with Jaccard similarity t share one of the first
-    n - ceil(t n) + 1 of either.
+    Exact: with the shingles of each set in one order, rarest first, two sets with Jaccard similarity t share one of the
+    first n - ceil(t n) + 1 of either, and the first they share leaves enough behind it for the overlap that t needs.
+    The nodes of one shingle are compared in blocks of at most about ``POSTED``, by their parity bitmaps; only pairs
+    that these leave possible become rows.
     """
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,16 +231,52 @@ def _prefix_pairs(crowd: DataFrame, docs: DataFrame, size: int, percent: int) ->
                 s = shingles(words(text), size).view(np.int64)
                 yield pa.record_batch([pa.array(np.full(len(s), key), pa.int64()), pa.array(np.full(len(s), component), pa.int64()), pa.array(s), pa.array(np.full(len(s), len(s)), pa.int64())], ["id", "component", "shingle", "n"])
 
-    each = staged(crowd.join(docs, "id").select("id", "component", "text").mapInArrow(spread, "id long, component long, shingle long, n long").distinct(), "crowd")
+    each = staged(crowd.join(among(docs, crowd), "id").select("id", "component", "text").mapInArrow(spread, "id long, component long, shingle long, n long").distinct(), "crowd")
     common = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("seen")).filter("seen > 1")
     # shingles of one set alone come first in the order and can't meet: they only use up the prefix
-    from pyspark.sql import Window
-
     ranked = each.join(common, "shingle", "left").withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy(F.coalesce("seen", F.lit(1)), "shingle")))
-    prefix = ranked.filter((F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1) & F.col("seen").isNotNull()).select("shingle", "id", "component", "n")
-    other = prefix.select("shingle", F.col("id").alias("other"), F.col("component").alias("c2"), F.col("n").alias("n2"))
-    near = prefix.join(other, "shingle").filter((F.col("id") < F.col("other")) & (F.col("component") != F.col("c2")) & (F.least("n", "n2") * 100 >= F.greatest("n", "n2") * percent))
-    return near.select(F.col("id").alias("hub"), F.col("other").alias("member")).distinct()
+    prefix = ranked.filter((F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1) & F.col("seen").isNotNull()).select("shingle", "id", "component", "n", "place")
+    prefix = staged(prefix.join(nodes.select("id", "parity"), "id"), "prefix")
+    parts = prefix.groupBy("shingle").agg(F.ceil(F.count(F.lit(1)) / POSTED).cast("int").alias("parts"))
+    own = F.pmod(F.xxhash64("id", F.lit(9)), F.col("parts")).cast("int")
+    dealt = prefix.join(parts, "shingle").withColumn("own", own)
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("with")
+    dealt = dealt.select("shingle", "id", "component", "n", "place", "parity", "own", other).select("shingle", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "own", "id", "component", "n", "place", "parity")
+    dealt = dealt.repartition("shingle", "i", "j").sortWithinPartitions("shingle", "i", "j", "id")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        now = None
+
+        def pairs() -> pa.RecordBatch:
+            key, component, n, place, part = (np.array([r[k] for r in held], np.int64) for k in (4, 5, 6, 7, 3))
+            marks = np.array([r[8] for r in held], np.int64)
+            out: list[np.ndarray] = []
+            for at in range(len(held) - 1):
+                to = slice(at + 1, None)
+                both = n[at] + n[to]
+                ok = (component[to] != component[at]) & (key[to] != key[at]) & (np.minimum(n[at], n[to]) * 100 >= np.maximum(n[at], n[to]) * percent)
+                ok &= (np.minimum(n[at] - place[at], n[to] - place[to]) + 1) * (100 + percent) >= both * percent
+                if now[1] != now[2]:
+                    ok &= part[to] != part[at]
+                if len(hit := np.flatnonzero(ok)):
+                    differing = np.bitwise_count((marks[to][hit] ^ marks[at]).view(np.uint64)).sum(1, dtype=np.int64)
+                    hit = hit[differing * (100 + percent) <= both[hit] * (100 - percent)]
+                    out.append(np.stack([np.full(len(hit), key[at]), key[to][hit]], 1))
+            found = np.concatenate(out) if out else np.empty((0, 2), np.int64)
+            return pa.record_batch([pa.array(found[:, 0]), pa.array(found[:, 1])], ["hub", "member"])
+
+        for batch in batches:
+            for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if r[:3] != now:
+                    if len(held) > 1:
+                        yield pairs()
+                    held, now = [], r[:3]
+                held.append(r)
+        if len(held) > 1:
+            yield pairs()
+
+    return dealt.mapInArrow(compare, "hub long, member long").select(F.least("hub", "member").alias("hub"), F.greatest("hub", "member").alias("member")).distinct()
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
@@ -202,7 +284,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     facts = staged(_facts(docs, size), "facts")
     whole = facts.filter("digest is not null and id is not null")
-    nodes = staged(whole.groupBy("digest").agg(F.min("id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "nodes")
+    nodes = staged(whole.groupBy("digest").agg(F.min("id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.first("parity").alias("parity")), "nodes")
     entries = nodes.select("id", F.explode("bands").alias("bucket"))
     buckets = entries.groupBy("bucket").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     crowded = staged(entries.join(buckets, "bucket"), "crowded")
@@ -219,7 +301,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     pairs = small.select("bucket", F.col("id").alias("hub"), "component").join(other, "bucket").filter((F.col("hub") < F.col("member")) & (F.col("component") != F.col("c2"))).select("hub", "member").distinct()
     crowd = open_.filter(F.col("n") > PAIRED).select("id", "component").distinct()
     if not crowd.isEmpty():
-        pairs = pairs.unionByName(_prefix_pairs(crowd, docs, size, percent)).distinct()
+        pairs = pairs.unionByName(_prefix_pairs(crowd, nodes, docs, size, percent)).distinct()
     tested = stars.select("hub", "member")
     more = staged(_likely(pairs.join(tested, ["hub", "member"], "left_anti"), nodes, percent), "more")
     if not more.isEmpty():

@@ -149,9 +149,10 @@ def edited(rng, words, share):
     return [rng.choice(["zu", "vor", "am"]) + str(rng.randint(0, 9999)) if rng.random() < share else w for w in words]
 
 
-@pytest.mark.parametrize("paired", [24, 3])
-def test_near_duplicates_against_brute_force(spark, monkeypatch, paired):
+@pytest.mark.parametrize(("paired", "posted"), [(24, 1024), (3, 1024), (1, 4)])
+def test_near_duplicates_against_brute_force(spark, monkeypatch, paired, posted):
     monkeypatch.setattr(neardup, "PAIRED", paired)
+    monkeypatch.setattr(neardup, "POSTED", posted)
     rng = random.Random(5)
     rows = [(i, t) for i, t in ODD if i not in (7, None)]
     for g in range(8):
