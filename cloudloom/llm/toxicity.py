@@ -78,7 +78,7 @@ def sigmoid(z: float) -> float:
     return 1 / (1 + math.exp(-z)) if z > -700 else 0.0
 
 
-def learn(rows: list[np.ndarray], labels: list[int], alpha: float = 0.1, l1: float = 3.0, l2: float = 1.0, factor_rate: float = 0.02, factor_l2: float = 0.01, least_seen: int = 8, epochs: int = 6) -> Machine:
+def learn(rows: list[np.ndarray], labels: list[int], alpha: float = 0.3, l1: float = 9.0, l2: float = 1.0, factor_rate: float = 0.02, factor_l2: float = 0.01, least_seen: int = 8, epochs: int = 10) -> Machine:
     """Fit by passes over the rows: leader updates for linear weights, adaptive gradient steps for the factors of terms in use."""
     z, n, w = np.zeros(BUCKETS), np.zeros(BUCKETS), np.zeros(BUCKETS)
     v, nv = np.zeros((BUCKETS, FACTORS)), np.full((BUCKETS, FACTORS), 1e-4)
