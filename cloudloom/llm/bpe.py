@@ -14,6 +14,8 @@ from collections.abc import Iterable
 
 import regex
 
+from cloudloom.llm.common import kept
+
 #: The white space of the pre-tokeniser, and its pattern.
 SPACE = r"\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PRETOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -72,9 +74,9 @@ class WordTable:
     any other text goes by ``chunks``.
     """
 
-    def __init__(self, of_chunk, join, most: int):
+    def __init__(self, owner: str, of_chunk, join, most: int):
         self.of_chunk, self.join = of_chunk, join
-        self.units = Bounded(self._of_unit, most)
+        self.units = kept(owner, Bounded(self._of_unit, most))
 
     def _of_unit(self, word: str):
         unit = word if word[:1] == "\n" else " " + word
@@ -113,8 +115,8 @@ class HeapMerger:
         self.letters = byte_letters()
         self.specials = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
         self._special = re.compile("|".join(map(re.escape, self.specials))) if self.specials else None
-        self._pieces = Bounded(self.merged, cached)
-        self._table = WordTable(self._of_chunk, sum, cached)
+        self._pieces = kept("token_counts", Bounded(self.merged, cached))
+        self._table = WordTable("token_counts", self._of_chunk, sum, cached)
 
     def merged(self, piece: str) -> int:
         """Tokens of one pre-token."""

@@ -55,6 +55,35 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Tables that worker processes keep between tasks, by the operator that fills them.
+_TABLES: dict[str, list[dict]] = {}
+_owner = ""
+
+
+def kept(owner: str, table: dict) -> dict:
+    """Register a table of ``owner``."""
+    _TABLES.setdefault(owner, []).append(table)
+    return table
+
+
+def claim(owner: str) -> None:
+    """Empty the tables of all other operators in this process: workers live on from one operator to the next, their tables needn't."""
+    global _owner
+    if owner == _owner:
+        return
+    _owner = owner
+    for name, tables in _TABLES.items():
+        if name != owner:
+            for table in tables:
+                if hasattr(table, "old"):
+                    table.old = {}
+                table.clear()
+    with contextlib.suppress(Exception):
+        import ctypes
+
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def utf8_crc32(column: Column) -> Column:
     """Unsigned CRC-32 of a string's UTF-8 bytes."""
     return F.crc32(column.cast("string").cast("binary"))

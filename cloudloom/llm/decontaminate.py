@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cloudloom.llm.common import mix64
+from cloudloom.llm.common import claim, kept, mix64
 
 SEED = 4
 #: Share of documents up to which an n-gram is rare, and the share of an item's rarest n-grams that are seeds anyway.
@@ -41,13 +41,13 @@ class _Hashes(dict):
     def __missing__(self, word: str) -> int:
         value = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
         if len(word) <= 32:
-            if len(self) >= 500_000:
+            if len(self) >= 300_000:
                 self.clear()
             self[word] = value
         return value
 
 
-_hashes = _Hashes()
+_hashes = kept("licenses", _Hashes())
 
 
 def word_hashes(text: str | None) -> np.ndarray:
@@ -173,6 +173,7 @@ def _frequencies(docs: DataFrame, text_col: str, vocabulary: Vocabulary, keys: d
     held = docs.sparkSession.sparkContext.broadcast((vocabulary, keys))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("decontaminate")
         known, mine = held.value
         seen, n = {s: np.zeros(len(k), np.int64) for s, k in mine.items()}, 0
         for batch in batches:
@@ -218,6 +219,7 @@ def _index(rows: list, docs: DataFrame, text_col: str) -> Index:
 def _matched(held, least: float):
     @F.arrow_udf("array<struct<item_id:long,score:double,first_word:long,end_word:long>>")
     def matched(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        claim("decontaminate")
         index = held.value
         kind = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("first_word", pa.int64()), ("end_word", pa.int64())]))
         for batch in batches:

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cloudloom.llm.common import claim
+
 UNKNOWN = "und"
 BUCKETS = 1 << 15
 LONGEST_GRAM = 3
@@ -130,6 +132,7 @@ def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
     """In how many rows of the one text column each bucket occurs, over all rows; a row for each task and bucket is shuffled."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("langid")
         seen, n = np.zeros(BUCKETS, np.int64), 0
         for batch in batches:
             for text in batch.column(0).to_pylist():
@@ -180,6 +183,7 @@ def predict(df: DataFrame, model: Model, text_col: str = "text") -> Column:
 
     @F.arrow_udf("lang_pred string, score double")
     def answered(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        claim("langid")
         m = held.value
         for batch in batches:
             out = [m.predict(t) for t in batch.to_pylist()]

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cloudloom.llm.common import mix64, odd_constants, staged
+from cloudloom.llm.common import claim, kept, mix64, odd_constants, staged
 from cloudloom.llm.graph import components
 
 BANDS, ROWS = 28, 4
@@ -55,13 +55,13 @@ class _Words(dict):
     def __missing__(self, word: bytes) -> int:
         value = xxhash.xxh3_64_intdigest(word)
         if len(word) <= 32:
-            if len(self) >= 500_000:
+            if len(self) >= 300_000:
                 self.clear()
             self[word] = value
         return value
 
 
-_words = _Words()
+_words = kept("neardup", _Words())
 
 
 def words(text: str | None) -> list[bytes]:
@@ -120,6 +120,7 @@ def _facts(docs: DataFrame, size: int) -> DataFrame:
     """(id, n_shingles, digest, bands, sketch, parity) of each row of ``docs`` (id, text)."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("neardup")
         for batch in batches:
             for part in range(0, batch.num_rows, 2000):
                 piece = batch.slice(part, 2000)
@@ -184,6 +185,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataF
     rows = routes.join(among(docs, pairs.select(F.col("hub").alias("id")).union(pairs.select("member"))), "id").select("hub", "part", "kind", "id", "text").repartition("hub", "part").sortWithinPartitions("hub", "part", "kind", "id")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("neardup")
         now, hubs = None, []
         for batch in batches:
             found: list[tuple[int, int]] = []
@@ -226,6 +228,7 @@ def _prefix_pairs(crowd: DataFrame, nodes: DataFrame, docs: DataFrame, size: int
     """
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("neardup")
         for batch in batches:
             for key, component, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 s = shingles(words(text), size).view(np.int64)

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cloudloom.llm.bpe import PRETOKEN, WordTable, byte_letters
+from cloudloom.llm.common import claim
 
 #: Bits of a sequence id below the power of two: the input partition, and the number in it.
 PARTITION_BITS, NUMBER_BITS = 24, 34
@@ -51,7 +52,7 @@ class ChunkEncoder:
         self._ids = ranked(path) or self._by_library
         if any(self._ids(t) != self._by_library(t) for t in PROBES):
             self._ids = self._by_library
-        self._table = WordTable(self._of_chunk, b"".join, cached)
+        self._table = WordTable("packing", self._of_chunk, b"".join, cached)
 
     def _by_library(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -114,6 +115,7 @@ def pack(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str =
     arrow_id = to_arrow_type(id_type)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("packing")
         enc, end = encoder(vocabulary), np.array([end_id], "<u4").tobytes()
         partition, numbers = TaskContext.get().partitionId(), [0] * 64
         for batch in batches:

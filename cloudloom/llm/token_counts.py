@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cloudloom.llm.bpe import merger
+from cloudloom.llm.common import claim
 
 
 def token_count(text: Column, vocabulary: str) -> Column:
@@ -21,6 +22,7 @@ def token_count(text: Column, vocabulary: str) -> Column:
 
     @F.arrow_udf("long")
     def counted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        claim("token_counts")
         m = merger(vocabulary)
         for batch in batches:
             yield pa.array(m.counts(batch.to_pylist()), pa.int64())

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cloudloom.llm.common import claim, kept
+
 BUCKETS = 1 << 18
 FACTORS = 4
 PREFIXES = (4, 5, 6)
@@ -34,7 +36,7 @@ _WORD = re.compile(r"\w+")
 class Terms(dict):
     """Buckets of a word's terms, kept for short words; emptied when full."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 200_000):
         super().__init__()
         self.most = most
 
@@ -48,7 +50,7 @@ class Terms(dict):
         return value
 
 
-_terms = Terms()
+_terms = kept("toxicity", Terms())
 
 
 def terms(text: str | None) -> np.ndarray:
@@ -145,6 +147,7 @@ def score(df: DataFrame, machine: Machine | None, text_col: str = "text") -> Col
 
     @F.arrow_udf("double")
     def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        claim("toxicity")
         bias, at, w, v = held.value
         m = Machine(bias, np.zeros(BUCKETS), np.zeros((BUCKETS, FACTORS)))
         m.weights[at], m.factors[at] = w, v
