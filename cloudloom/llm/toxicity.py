@@ -1,9 +1,10 @@
 """Toxicity by a factorization machine over hashed terms.
 
 Terms are the distinct words of a text and their first 4, 5 and 6 letters, hashed. A linear weight is
-learned for each term with follow-the-regularised-leader updates, so most are zero; a term gets a factor
-vector once its weight is not zero and enough rows have shown it, and the product of two terms' vectors
-is the weight of their meeting, such as an insult with the mention of a group.
+learned for each term with follow-the-regularised-leader updates, so most are zero; every term that enough
+rows have shown gets a factor vector, whatever its linear weight, and the product of two terms' vectors
+is the weight of their meeting, such as an insult with the mention of a group. The sum over all pairs is
+divided by the number of terms (each row's terms are scaled to unit length), or long texts would drown in it.
 
 Cases: a null or empty text scores by the intercept alone; a text of any length counts whole; ties and
 repeated rows get equal scores; labels that disagree on an id count as the higher; without labels all
@@ -70,7 +71,7 @@ class Machine:
     def margin(self, at: np.ndarray) -> float:
         v = self.factors[at]
         s = v.sum(0)
-        return self.bias + float(self.weights[at].sum()) + 0.5 * float(s @ s - (v * v).sum())
+        return self.bias + float(self.weights[at].sum()) + 0.5 / max(1, len(at)) * float(s @ s - (v * v).sum())
 
     def score(self, text: str | None) -> float:
         return sigmoid(self.margin(terms(text)))
@@ -81,7 +82,7 @@ def sigmoid(z: float) -> float:
 
 
 def learn(rows: list[np.ndarray], labels: list[int], alpha: float = 0.3, l1: float = 9.0, l2: float = 1.0, factor_rate: float = 0.02, factor_l2: float = 0.01, least_seen: int = 8, epochs: int = 10) -> Machine:
-    """Fit by passes over the rows: leader updates for linear weights, adaptive gradient steps for the factors of terms in use."""
+    """Fit by passes over the rows: leader updates for linear weights, adaptive gradient steps for the factors of terms seen often enough."""
     z, n, w = np.zeros(BUCKETS), np.zeros(BUCKETS), np.zeros(BUCKETS)
     v, nv = np.zeros((BUCKETS, FACTORS)), np.full((BUCKETS, FACTORS), 1e-4)
     seen = np.zeros(BUCKETS, np.int64)
@@ -95,14 +96,15 @@ def learn(rows: list[np.ndarray], labels: list[int], alpha: float = 0.3, l1: flo
         for i in order.permutation(len(rows)):
             at = rows[i]
             wa = w[at]
-            used = at[(wa != 0) & (seen[at] >= least_seen)]
+            used = at[seen[at] >= least_seen]
             new = used[~started[used]]
             if len(new):
                 v[new] = order.normal(0, 0.02, (len(new), FACTORS))
                 started[new] = True
             va = v[used]
             s = va.sum(0)
-            g = sigmoid(bias + wa.sum() + 0.5 * (s @ s - (va * va).sum())) - labels[i]
+            share = 1 / max(1, len(at))
+            g = sigmoid(bias + wa.sum() + 0.5 * share * (s @ s - (va * va).sum())) - labels[i]
             bias_n += g * g
             bias -= 0.1 * g / math.sqrt(bias_n)
             was = n[at]
@@ -111,10 +113,9 @@ def learn(rows: list[np.ndarray], labels: list[int], alpha: float = 0.3, l1: flo
             z[at], n[at] = za, now
             w[at] = np.where(np.abs(za) <= l1, 0.0, -(za - np.sign(za) * l1) / ((1.0 + np.sqrt(now)) / alpha + l2))
             if len(used):
-                gv = g * (s - va) + factor_l2 * va
+                gv = g * share * (s - va) + factor_l2 * va
                 nv[used] += gv * gv
                 v[used] = va - factor_rate * gv / np.sqrt(nv[used])
-    v[w == 0] = 0.0
     return Machine(bias, w, v)
 
 
@@ -142,7 +143,7 @@ def score(df: DataFrame, machine: Machine | None, text_col: str = "text") -> Col
     """The probability of label 1 for ``df[text_col]``."""
     if machine is None:
         return F.lit(0.0)
-    at = np.flatnonzero(machine.weights)
+    at = np.flatnonzero((machine.weights != 0) | machine.factors.any(1))
     held = df.sparkSession.sparkContext.broadcast((machine.bias, at, machine.weights[at], machine.factors[at]))  # at most one entry a bucket
 
     @F.arrow_udf("double")

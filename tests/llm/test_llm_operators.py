@@ -355,5 +355,22 @@ def test_toxicity_learns_terms_and_pairs(spark):
     assert df.select(toxicity.score(df, None).alias("s")).first().s == 0.0
 
 
+def test_toxicity_learns_terms_that_are_neutral_alone():
+    rng = random.Random(4)
+
+    def drawn(times):
+        pairs = [(a, b) for a in range(30) for b in range(30)] * times  # each term meets as many of one label as of the other
+        rng.shuffle(pairs)
+        texts = [" ".join([f"i{a}", f"g{b}", *(f"plain{k}" for k in rng.sample(range(200), 10))]) for a, b in pairs]
+        return [toxicity.terms(t) for t in texts], [(a + b) % 2 for a, b in pairs]
+
+    rows, labels = drawn(8)
+    machine = toxicity.learn(rows, labels)
+    held_out, truth = drawn(1)
+    scores = np.array([machine.margin(at) for at in held_out])
+    truth = np.array(truth, bool)
+    assert (scores[truth][:, None] > scores[~truth]).mean() > 0.9  # the area under the curve
+
+
 def test_word_hashes_do_not_depend_on_the_process():
     assert neardup._words[b"abc"] == xxhash.xxh3_64_intdigest(b"abc")
