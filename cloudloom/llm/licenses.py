@@ -3,17 +3,20 @@
 Words are lower-cased runs of letters and digits. A template with b distinct bigrams can only reach a
 coefficient t with a stretch of t/(2-t) * b to (2-t)/t * b bigrams: templates too large for a whole
 document are pruned by that bound, and so are those of whose bigrams the document has too few.
-For the rest, running sums over the document give the most that each stretch of the template's length can share, and only
-stretches whose bound reaches the threshold are scored exactly, on sets.
+For the rest, stretches of any size within the bounds are scored on sets. Only those are candidates that begin and end on a bigram of the
+template that stands in them once up to there: any other has a shorter one inside with at least its score. A start is left out
+where the bigrams in common that it needs come after its own bigram is repeated, or after too many others.
 
-Cases: null and empty texts, and texts of one word, match nothing; a text of any length is scanned whole; of
-stretches with equal scores the first is reported, one for each template; of matches that overlap in a
-document the best is reported, then the longest, then the first template; repeated rows each give their rows; an empty table gives no rows; columns other than the named ones are not read.
+Cases: null and empty texts, and texts of one word, match nothing; a text of any length is scanned whole; a template is
+reported at every place that holds it; of stretches that overlap, of one template or of several, the one with the best score is reported, then
+that of the longest template, the first template, the shortest and the first stretch, then widened by bigrams of the template that it has already, up to the template's length; repeated rows each give their rows; an empty table gives no rows; columns other than the named ones are not read.
 """
 
 from __future__ import annotations
 
+import math
 import re
+from bisect import bisect
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -63,43 +66,73 @@ class Scanner:
 
     def __post_init__(self) -> None:
         self.known = np.unique(np.concatenate(self.sets)) if self.sets else np.empty(0, np.uint64)
+        self.needs = [math.ceil(self.least / (2 - self.least) * len(s) - 1e-9) for s in self.sets]  # fewer bigrams in common can't reach the threshold at any size
 
     def scan(self, text: str | None) -> list[tuple[str, int, float, int, int]]:
-        """(licence, template, dice, first word, words) of every template that a stretch of the text reaches ``least`` with."""
+        """(licence, template, dice, first word, words) of the stretches of the text that reach ``least`` with a template; of overlapping ones the best."""
         g = grams(word_hashes(text), 2)
         if not len(g) or not len(self.known):
             return []
         at = np.searchsorted(self.known, g)
         at[at == len(self.known)] = 0
         met = np.flatnonzero(self.known[at] == g)
-        out, t = [], self.least
-        for k, (own, length) in enumerate(zip(self.sets, self.lengths, strict=True)):
-            need = t / (2 - t) * len(own)  # fewer bigrams in common can't reach the threshold at any size
-            if len(g) < need or len(met) < need:
+        if len(met) < min(self.needs):
+            return []
+        _, number = np.unique(g, return_inverse=True)
+        order = np.argsort(number, kind="stable")
+        same = number[order[1:]] == number[order[:-1]]
+        before, after = np.full(len(g), -1), np.full(len(g), len(g))  # where the same bigram stands last and next
+        before[order[1:][same]] = order[:-1][same]
+        after[order[:-1][same]] = order[1:][same]
+        alone = np.cumsum((before < 0) & (after == len(g)))
+        found: list[tuple[float, int, int, int, int]] = []
+        for k, (own, need) in enumerate(zip(self.sets, self.needs, strict=True)):
+            if len(met) < need:
                 continue
             marks = met[np.isin(g[met], own)]
             if len(marks) < need:
                 continue
-            share = np.zeros(len(g) + 1, np.int64)
-            share[marks + 1] = 1
-            share = np.cumsum(share)
-            width = min(length, len(g))
-            most = share[width:] - share[: len(g) - width + 1]
-            best = (0.0, 0)
-            for i in np.flatnonzero(2 * most >= t * (len(own) + 1)).tolist():
-                if 2 * most[i] / (most[i] + len(own)) <= best[0]:
-                    continue
-                stretch = np.unique(g[i : i + width])
-                dice = 2 * len(np.intersect1d(stretch, own, assume_unique=True)) / (len(stretch) + len(own))
-                if dice > best[0]:
-                    best = (dice, i)
-            if best[0] >= t:
-                out.append((self.names[k], k, best[0], best[1], width + 1))
+            first, reach = marks[: len(marks) - need + 1], marks[need - 1 :]
+            most = int((2 - self.least) / self.least * len(own) + 1e-9)  # more distinct bigrams can't reach the threshold
+            marked = np.zeros(len(g), bool)
+            marked[marks] = True
+            for i in first[(reach < after[first]) & (alone[reach] - alone[first] <= most)].tolist():
+                found += [(-dice, -self.lengths[k], k, end - i, i) for dice, end in self.ends(marked, before, i, int(after[i]), len(own), most)]
         kept: list[tuple[str, int, float, int, int]] = []
-        for m in sorted(out, key=lambda m: (-m[2], -m[4], m[1])):
-            if all(m[3] + m[4] <= o[3] or o[3] + o[4] <= m[3] for o in kept):
-                kept.append(m)
-        return sorted(kept, key=lambda m: m[3])
+        starts: list[int] = []
+        for dice, _, k, width, i in sorted(found):
+            place = bisect(starts, i)
+            if (place and kept[place - 1][3] + kept[place - 1][4] > i) or (place < len(kept) and i + width + 1 > starts[place]):
+                continue
+            starts.insert(place, i)
+            kept.insert(place, (self.names[k], k, -dice, i, width + 1))
+        return [self.widened(g, m, kept[n - 1][3] + kept[n - 1][4] if n else 0, kept[n + 1][3] - 1 if n + 1 < len(kept) else len(g)) for n, m in enumerate(kept)]
+
+    def widened(self, g: np.ndarray, match: tuple[str, int, float, int, int], low: int, high: int) -> tuple[str, int, float, int, int]:
+        """``match`` with the template's bigrams beside it that are in it already, up to the template's length and within ``low`` and ``high``: the score stays."""
+        name, k, dice, i, words = match
+        end = i + words - 1
+        if end - i < self.lengths[k]:
+            own = set(np.intersect1d(g[i:end], self.sets[k]).tolist())
+            while end < high and end - i < self.lengths[k] and int(g[end]) in own:
+                end += 1
+            while i > low and end - i < self.lengths[k] and int(g[i - 1]) in own:
+                i -= 1
+        return name, k, dice, i, end - i + 1
+
+    def ends(self, marked: np.ndarray, before: np.ndarray, i: int, stop: int, size: int, most: int) -> list[tuple[float, int]]:
+        """(dice, end) of the stretches of bigrams from ``i`` that reach the threshold, end on a bigram of the template that is new in them, and don't reach ``stop``."""
+        span = 2 * most
+        while True:
+            new = before[i : min(stop, i + span)] < i
+            distinct = np.cumsum(new)
+            if distinct[-1] > most or i + span >= stop:
+                break
+            span *= 4
+        shared = np.cumsum(new & marked[i : i + len(new)])
+        dice = 2 * shared / (distinct + size)
+        at = np.flatnonzero((dice >= self.least) & new & marked[i : i + len(new)])
+        return list(zip(dice[at].tolist(), (at + i + 1).tolist(), strict=True))
 
 
 def licence_matches(text: Column, templates: list[tuple[str, str]] | None = None, least: float = LEAST) -> Column:

@@ -334,6 +334,44 @@ def test_temperature_lowers_loss():
     assert loss(t) < loss(1.0) and t > 1
 
 
+def test_licence_stretches_of_any_size():
+    scan = licenses.Scanner.of(licenses.TEMPLATES, 0.8).scan
+    mit, gpl3, gpl2 = (licenses.TEMPLATES[k][1] for k in (2, 6, 8))
+    cut = mit.split()
+    longer = " ".join(cut[:40] + [f"new{i}" for i in range(25)] + cut[40:])
+    assert [(m[1], m[3], m[4]) for m in scan("a b c " + longer + " d e")] == [(2, 3, len(licenses.word_hashes(longer)) - 2)]  # "the Software" at the end stands in it before
+    assert [m[1] for m in scan("before " + " ".join(cut[: len(cut) * 3 // 4]) + " after")] == [2]
+    edited = gpl3.replace("published by", "made public by").replace("any later version", "later ones")
+    assert [m[0] for m in scan(gpl2 + " and some prose between them " + edited)] == ["GPL-2.0", "GPL-3.0"]
+    assert [(m[1], m[2]) for m in scan(" some prose ".join([mit] * 3))] == [(2, 1.0)] * 3
+
+
+def test_licence_stretches_against_brute_force():
+    rng = random.Random(8)
+    templates = [("A", "a b c d e f g h"), ("B", "a b c x e f g y z"), ("C", "p q r s p q t")]
+    for _ in range(150):
+        parts = [rng.choice(templates)[1].split() if rng.random() < 0.5 else rng.choices("abcdefghxyzpqrst", k=5) for _ in range(4)]
+        words = [w for part in parts for w in part if rng.random() > 0.05]
+        g = decontaminate.grams(decontaminate.word_hashes(" ".join(words)), 2).tolist()
+        every = []
+        for k, (_, t) in enumerate(templates):
+            own = set(decontaminate.grams(decontaminate.word_hashes(t), 2).tolist())
+            for i in range(len(g)):
+                for j in range(i + 1, len(g) + 1):
+                    dice = 2 * len(set(g[i:j]) & own) / (len(set(g[i:j])) + len(own))
+                    if dice >= 0.8:
+                        every.append((-dice, -(len(t.split()) - 1), k, j - i, i))
+        want = []
+        for m in sorted(every):
+            if all(m[4] + m[3] + 1 <= o[4] or o[4] + o[3] + 1 <= m[4] for o in want):
+                want.append(m)
+        got = licenses.Scanner.of(templates, 0.8).scan(" ".join(words))
+        want.sort(key=lambda m: m[4])
+        assert [(m[1], m[2]) for m in got] == [(m[2], -m[0]) for m in want]
+        assert all(m[3] <= o[4] and o[4] + o[3] + 1 <= m[3] + m[4] and (-o[0], o[2], m[4] - 1, m[3]) in {(-e[0], *e[2:]) for e in every} for m, o in zip(got, want, strict=True))
+        assert all(a[3] + a[4] <= b[3] for a, b in zip(got, got[1:]))
+
+
 def test_toxicity_learns_terms_and_pairs(spark):
     rng = random.Random(9)
     plain = [f"plain{i}" for i in range(60)]
