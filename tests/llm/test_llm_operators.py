@@ -346,6 +346,18 @@ def test_licence_stretches_of_any_size():
     assert [(m[1], m[2]) for m in scan(" some prose ".join([mit] * 3))] == [(2, 1.0)] * 3
 
 
+def test_licences_near_others_have_their_own_name():
+    scan = licenses.Scanner.of(licenses.TEMPLATES, 0.8).scan
+    for name, text in licenses.TEMPLATES:
+        assert [(m[0], m[2]) for m in scan(f"before {text} after")] == [(name, 1.0)]
+    gnu = "{0} is free software{1} you can redistribute it and/or modify it under the terms of the GNU {2} General Public License as published by the Free Software Foundation{3} either version {4} of the License, or (at your option) any later version."
+    assert [m[0] for m in scan(gnu.format("This library", ";", "Lesser", ";", "2.1"))] == ["LGPL-2.1"]
+    assert [m[0] for m in scan(gnu.format("This program", ":", "Affero", ",", "3"))] == ["AGPL-3.0"]
+    bsd = next(t for n, t in licenses.TEMPLATES if n == "BSD-2-Clause")
+    tail = " 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+    assert [m[0] for m in scan(bsd + tail)] == ["BSD-3-Clause"]
+
+
 def test_licence_stretches_against_brute_force():
     rng = random.Random(8)
     templates = [("A", "a b c d e f g h"), ("B", "a b c x e f g y z"), ("C", "p q r s p q t")]
