@@ -11,18 +11,25 @@ from cloudloom.functions import exprs as E
 from cloudloom.sources.shared import staged
 
 AXES = E.AXES
+#: Levels between two that are written, so that plans don't grow with the square of the depth.
+STAGED_LEVELS = 3
 #: Pairs of a 2x2x2 block that each step of the transform joins, z then y then x.
 STEPS = (((0, 1), (2, 3), (4, 5), (6, 7)), ((0, 2), (4, 6), (1, 3), (5, 7)), ((0, 4), (1, 5), (2, 6), (3, 7)))
 
 
 def octree(df: DataFrame, depth: int) -> DataFrame:
-    """(level, nx, ny, nz, n, occupancy) of every node of every level, from one pass: each level rolls up the one below."""
+    """(level, nx, ny, nz, n, occupancy) of every node of every level, from one pass: each level rolls up the one below.
+
+    Every third level is staged, so that the plan of a level holds at most three aggregates whatever the depth.
+    """
     nodes = df.groupBy(*(F.col(a).alias(f"n{a}") for a in AXES)).agg(F.count(F.lit(1)).alias("n")).select("*", F.lit(0).alias("occupancy"), F.lit(0).alias("level"))
     out, below = None, nodes
     for level in range(1, depth + 1):
         child = 4 * F.col("nx").bitwiseAND(1) + 2 * F.col("ny").bitwiseAND(1) + F.col("nz").bitwiseAND(1)
         up = below.select(*(F.shiftright(f"n{a}", 1).alias(f"n{a}") for a in AXES), "n", child.alias("child"))
         below = up.groupBy("nx", "ny", "nz").agg(F.sum("n").alias("n"), F.bit_or(F.call_function("shiftleft", F.lit(1), F.col("child"))).alias("occupancy")).withColumn("level", F.lit(level))
+        if level % STAGED_LEVELS == 0 and level < depth:
+            below = staged(below, "octree")
         out = below if out is None else out.unionByName(below)
     return out.select("level", "nx", "ny", "nz", "n", "occupancy")
 
@@ -67,9 +74,11 @@ def raht_blocks(df: DataFrame, levels: Sequence[int], value: str) -> DataFrame:
     """
     base = df.groupBy(E.morton(*AXES).alias("m")).agg(F.count(F.lit(1)).alias("w"), F.sum(F.col(value).cast("bigint")).alias("s"))
     out, below, at = None, base, 0
-    for level in sorted(levels):
+    for i, level in enumerate(sorted(levels)):
         if level > at:
             below, at = below.groupBy(F.shiftright("m", level - at).alias("m")).agg(F.sum("w").alias("w"), F.sum("s").alias("s")), level
+        if i % STAGED_LEVELS == 0:
+            below = staged(below, "raht-level")
         child = F.col("m").bitwiseAND(7)
         block = below.groupBy(F.shiftright("m", 3).alias("node")).agg(*(F.coalesce(F.sum(F.when(child == i, F.col("w"))), F.lit(0)).alias(f"w{i}") for i in range(8)), *(F.coalesce(F.sum(F.when(child == i, F.col("s"))), F.lit(0)).alias(f"s{i}") for i in range(8))).withColumn("level", F.lit(level))
         out = block if out is None else out.unionByName(block)
@@ -132,3 +141,12 @@ def inverse_raht(blocks: DataFrame, coefficients: DataFrame, depth: int) -> Data
         below = t.select("node", children).filter("e.w > 0").select((F.col("node") * 8 + F.col("e.i")).alias("node"), F.col("e.w").alias("w"), F.col("e.c").alias("c0"))
         dc = staged(below.select("node", "c0") if k else below, "unraht")
     return dc.select(F.col("node").alias("m"), "w", (F.col("c0") * F.sqrt("w")).alias("s"))
+
+
+def joined_levels(df: DataFrame, value: str, levels: Sequence[int], frame: str = "frame") -> DataFrame:
+    """(frame, level, node, w, v, ref_w, ref_v): nodes that a frame shares with the one before it, at each level, with the weights and sums of both."""
+    rolled = df.groupBy(frame, F.shiftright(E.morton(*AXES), min(levels)).alias("m")).agg(F.count(F.lit(1)).alias("w"), F.sum(value).alias("v"))
+    each = rolled.select(frame, "m", "w", "v", F.explode(F.array(*map(F.lit, levels))).alias("level"))
+    nodes = each.groupBy(frame, "level", F.expr(f"shiftright(m, level - {min(levels)})").alias("node")).agg(F.sum("w").alias("w"), F.sum("v").alias("v"))
+    before = nodes.select((F.col(frame) + 1).alias(frame), "level", "node", F.col("w").alias("ref_w"), F.col("v").alias("ref_v"))
+    return nodes.join(before, [frame, "level", "node"])

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from functools import reduce as fold
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,110 +14,173 @@ from cloudloom.functions import exprs as E
 from cloudloom.sources.shared import staged
 
 AXES = E.AXES
-#: Source rows wanted in a cell of the search grid.
-CELL_ROWS = 8
-#: Most rows of a table that a join sends to every task; larger tables are shuffled.
-SMALL_ROWS = 10_000
+#: Source rows wanted in a cell of the search grid, and most in the fullest cell where the search starts.
+CELL_ROWS, CELL_MOST = 8, 64
+#: Most rows of a table that becomes one expression, and most that a join sends to every task; larger tables are shuffled.
+EXPRESSION_ROWS, SMALL_ROWS = 256, 1_000_000
 
 
-def knn_join(targets: DataFrame, sources: DataFrame, k: int, cell: int | None = None) -> DataFrame:
+def around(df: DataFrame, columns: list[str], by: list[str]) -> DataFrame:
+    """``df`` once for each of the 27 grid cells (gx, gy, gz) around its own."""
+    steps = F.array(*(F.struct(F.lit(i).alias("dx"), F.lit(j).alias("dy"), F.lit(m).alias("dz")) for i in (-1, 0, 1) for j in (-1, 0, 1) for m in (-1, 0, 1)))
+    near = df.select(*by, *columns, *(f"g{a}" for a in AXES), F.explode(steps).alias("o"))
+    return near.select(*by, *columns, *((F.col(f"g{a}") + F.col(f"o.d{a}")).alias(f"g{a}") for a in AXES))
+
+
+def knn_join(targets: DataFrame, sources: DataFrame, k: int, cell: int | None = None, by: tuple[str, ...] = ()) -> DataFrame:
     """(t, s, d2, rank) of the ``k`` sources nearest to each target by squared distance, ties to the smaller source.
 
-    Both need ``idx, x, y, z``. Targets meet the sources of the 27 grid cells around them; a target is
-    done when its k-th distance is no more than the cell width, for nothing outside those cells can then be nearer. The
-    rest go on in cells twice as wide, until the grid is one cell.
+    Both need ``idx, x, y, z`` and the columns of ``by``, within whose values points are compared. Exact for any data:
+
+    * A place counts once on both sides: equal targets are searched together, and of equal sources only the first ``k`` can be answers.
+    * The grid starts as fine as its fullest cell asks. A place is compared with the sources of the 27 cells around it once
+      these hold enough of them; counts tell that before any pair is made, so dense regions are done in fine cells and only what is left goes on in wider ones.
+    * A place is done when its k-th distance is no more than the cell width, for nothing outside those cells can then be nearer.
     """
-    n, low, high = sources.agg(F.count(F.lit(1)), F.least(*(F.min(a) for a in AXES)), F.greatest(*(F.max(a) for a in AXES))).first()
-    schema = "t long, s long, d2 long, rank int"
-    if not n:
-        return targets.sparkSession.createDataFrame([], schema)
-    k_here, extent = min(k, n), max(1, high - low + 1)
+    by, g = list(by), [f"g{a}" for a in AXES]
+    spark, schema = targets.sparkSession, "t long, s long, d2 long, rank int"
+    box = lambda df: df.agg(F.count(F.lit(1)), *(f(a) for a in AXES for f in (F.min, F.max))).first()
+    stats, t_stats = box(sources), box(targets)
+    n = stats[0]
+    if not n or not t_stats[0]:
+        return spark.createDataFrame([], schema)
+    low, high = (min(x[1::2]) for x in (stats, t_stats)), (max(x[2::2]) for x in (stats, t_stats))
+    extent = max(high) - min(low) + 1
+    first = Window.partitionBy(*by, *AXES).orderBy("idx")
+    src = sources.select(*by, "idx", *AXES, F.row_number().over(first).alias("__r")).filter(F.col("__r") <= k).select(*by, F.col("idx").alias("s"), *(F.col(a).alias(f"s{a}") for a in AXES))
+    src = staged(src, "knn-sources")
     if cell is None:
-        spans = sources.agg(*((F.max(a) - F.min(a) + 1).alias(a) for a in AXES)).first()
-        cell = max(1, round((math.prod(float(s) for s in spans) * CELL_ROWS / n) ** (1 / 3)))
-    t_low, t_high = targets.agg(F.least(*(F.min(a) for a in AXES)), F.greatest(*(F.max(a) for a in AXES))).first()
-    if t_low is None:
-        return targets.sparkSession.createDataFrame([], schema)
-    extent = max(extent, high - min(low, t_low), max(high, t_high) - low) + 1
-    src = sources.select(F.col("idx").alias("s"), *(F.col(a).alias(f"s{a}") for a in AXES))
-    rest = targets.select(F.col("idx").alias("t"), *AXES)
+        spans = [stats[2 + 2 * i] - stats[1 + 2 * i] + 1 for i in range(3)]
+        cell = max(1, round((math.prod(map(float, spans)) * CELL_ROWS / n) ** (1 / 3)))
+        fullest = src.groupBy(*by, *(F.floor(F.col(f"s{a}") / cell) for a in AXES)).count().agg(F.max("count")).first()[0]
+        while fullest > CELL_MOST and cell > 1:
+            cell, fullest = -(-cell // 2), fullest / 8
+    need = src.groupBy(*by).agg(F.least(F.count(F.lit(1)), F.lit(k)).cast("int").alias("need"))
+    places = targets.select(*by, *AXES).distinct()
+    rest = places.join(need, by) if by else places.crossJoin(F.broadcast(need))  # one row
+    rest = staged(rest, "knn-places")
     parts = []
     while True:
-        at = [F.floor(F.col(a) / cell).cast("long") for a in AXES]
-        around = F.array(*(F.struct(F.lit(i).alias("dx"), F.lit(j).alias("dy"), F.lit(m).alias("dz")) for i in (-1, 0, 1) for j in (-1, 0, 1) for m in (-1, 0, 1)))
-        asked = rest.select("t", *AXES, *(c.alias(f"g{a}") for a, c in zip(AXES, at, strict=True)), F.explode(around).alias("o")).select("t", *AXES, *((F.col(f"g{a}") + F.col(f"o.d{a}")).alias(f"g{a}") for a in AXES))
-        there = src.select("s", *(f"s{a}" for a in AXES), *(F.floor(F.col(f"s{a}") / cell).cast("long").alias(f"g{a}") for a in AXES))
+        last = cell >= extent
+        at = lambda p, cell=cell: [F.floor(F.col(f"{p}{a}") / cell).cast("long").alias(f"g{a}") for a in AXES]
+        here = rest.select(*by, *AXES, "need", *at(""))
+        there = src.select(*by, "s", *(f"s{a}" for a in AXES), *at("s"))
+        held = there.groupBy(*by, *g).agg(F.count(F.lit(1)).alias("__n"))
+        own = here.groupBy(*by, *g).agg(F.max("need").alias("need"))
+        named = own.select(*by, *g, "need", *(F.col(x).alias(f"c{x}") for x in g))
+        full = around(named, [f"c{x}" for x in g] + ["need"], by).join(held, by + g).groupBy(*by, *(f"c{x}" for x in g)).agg(F.sum("__n").alias("__n"), F.max("need").alias("need"))
+        if not last:
+            full = full.filter(F.col("__n") >= F.col("need"))
+        ready = here.join(full.select(*by, *(F.col(f"c{x}").alias(x) for x in g)), by + g, "left_semi")
         d2 = E.distance2(*((F.col(a), F.col(f"s{a}")) for a in AXES))
-        near = asked.join(there, [f"g{a}" for a in AXES]).select("t", "s", d2.alias("d2"))
-        ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("t").orderBy("d2", "s"))).filter(F.col("rank") <= k_here)
-        if cell >= extent:
+        near = around(ready, [*AXES, "need"], by).join(there, by + g).select(*by, *AXES, "need", "s", d2.alias("d2"))
+        ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy(*by, *AXES).orderBy("d2", "s"))).filter(F.col("rank") <= k)
+        if last:
             parts.append(ranked)
             break
         ranked = staged(ranked, "knn")
-        done = ranked.filter((F.col("rank") == k_here) & (F.col("d2") <= cell * cell)).select("t")
-        parts.append(ranked.join(done, "t", "left_semi"))
-        rest = staged(rest.join(done, "t", "left_anti"), "knn-rest")
+        done = ranked.filter((F.col("rank") == F.col("need")) & (F.col("d2") <= cell * cell)).select(*by, *AXES)
+        parts.append(ranked.join(done, by + list(AXES), "left_semi"))
+        rest = staged(rest.join(done, by + list(AXES), "left_anti"), "knn-rest")
         if rest.isEmpty():
             break
         cell *= 2
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out
+    return targets.select(F.col("idx").alias("t"), *by, *AXES).join(out, by + list(AXES)).select("t", "s", "d2", "rank")
 
 
 def nearest_value(df: DataFrame, value: Column, table: DataFrame, table_value: str, table_key: str, name: str) -> DataFrame:
-    """``df`` with the key of the small table's row whose value is nearest, ties to the lower key. The table's size is checked."""
+    """``df`` with the key of the table's row whose value is nearest, ties to the lower key.
+
+    A table of a few hundred rows is one expression; up to ``SMALL_ROWS``, which is checked, it is sorted, sent to every task and searched by halves.
+    """
     rows = table.select(table_key, table_value).orderBy(table_key).limit(SMALL_ROWS + 1).collect()
     if len(rows) > SMALL_ROWS:
         raise ValueError(f"nearest_value is for tables of at most {SMALL_ROWS} rows")
-    known = F.array(*(F.struct(F.lit(r[1]).alias("v"), F.lit(r[0]).alias("k")) for r in rows))
-    best = F.array_min(F.transform(known, lambda e: F.struct(F.abs(value - e["v"]).alias("d"), e["k"].alias("k"))))
-    return df.withColumn(name, best["k"])
+    if len(rows) <= EXPRESSION_ROWS:
+        known = F.array(*(F.struct(F.lit(r[1]).alias("v"), F.lit(r[0]).alias("k")) for r in rows))
+        best = F.array_min(F.transform(known, lambda e: F.struct(F.abs(value - e["v"]).alias("d"), e["k"].alias("k"))))
+        return df.withColumn(name, best["k"])
+    first: dict = {}
+    for k, v in rows:  # by key, so a value keeps its lowest key
+        first.setdefault(v, k)
+    values, keys = np.array(sorted(first), np.float64), np.array([first[v] for v in sorted(first)], np.int64)
+    held = df.sparkSession.sparkContext.broadcast((values, keys))  # at most SMALL_ROWS rows
+
+    @F.arrow_udf("long")
+    def nearest(x: pa.Array) -> pa.Array:
+        known, names = held.value
+        v = x.to_numpy(zero_copy_only=False).astype(np.float64)
+        up = np.clip(np.searchsorted(known, v), 0, len(known) - 1)
+        down = np.maximum(up - 1, 0)
+        a, b = np.abs(known[up] - v), np.abs(v - known[down])
+        best = np.where(b < a, names[down], np.where(a < b, names[up], np.minimum(names[up], names[down])))
+        return pa.array(best, pa.int64(), mask=np.isnan(v))
+
+    return df.withColumn(name, nearest(value.cast("double")))
 
 
 def first_box(df: DataFrame, boxes: DataFrame, value: str, default: int) -> DataFrame:
-    """``df`` with the value of the first box, by ``ord``, that holds the point. Boxes up to ``SMALL_ROWS`` are one array; larger tables need ``tiled_boxes``."""
-    rows = boxes.orderBy("ord").limit(SMALL_ROWS + 1).collect()
-    if len(rows) > SMALL_ROWS:
-        raise ValueError(f"first_box is for tables of at most {SMALL_ROWS} rows")
-    out = F.lit(default)
-    for r in reversed(rows):
-        inside = F.lit(True)
-        for a in AXES:
-            inside = inside & F.col(a).between(r[f"min_{a}"], r[f"max_{a}"])
-        out = F.when(inside, F.lit(r[value])).otherwise(out)
-    return df.withColumn(value, out)
+    """``df`` with the value of the first box, by ``ord``, that holds the point. A few hundred boxes are one expression; more go by ``tiled_boxes``."""
+    rows = boxes.orderBy("ord").limit(EXPRESSION_ROWS + 1).collect()
+    if len(rows) > EXPRESSION_ROWS:
+        return tiled_boxes(df, boxes, value, default)
+    known = F.array(*(F.struct(*(F.lit(r[f"{m}_{a}"]).alias(f"{m}_{a}") for m in ("min", "max") for a in AXES), F.lit(r[value]).alias("value")) for r in rows)) if rows else None
+    if known is None:
+        return df.withColumn(value, F.lit(default))
+    return df.withColumn(value, F.coalesce(F.get(F.filter(known, _inside), F.lit(0))["value"], F.lit(default)))
+
+
+def _inside(b: Column) -> Column:
+    return fold(lambda p, q: p & q, (F.col(a).between(b[f"min_{a}"], b[f"max_{a}"]) for a in AXES))
+
+
+def tiled_boxes(df: DataFrame, boxes: DataFrame, value: str, default: int, cell: int | None = None) -> DataFrame:
+    """``first_box`` for any number of boxes: boxes are listed by the cells of x that they span, and a point meets the list of its cell.
+
+    Cells are as wide as the average box, so a list holds the boxes that overlap there.
+    """
+    if cell is None:
+        cell = max(1, math.ceil(boxes.agg(F.avg(F.col("max_x") - F.col("min_x") + 1)).first()[0] or 1))
+    span = F.explode(F.sequence(F.floor(F.col("min_x") / cell), F.floor(F.col("max_x") / cell))).alias("__cell")
+    each = boxes.select(span, F.struct("ord", *(f"{m}_{a}" for m in ("min", "max") for a in AXES), F.col(value).alias("value")).alias("b"))
+    lists = each.groupBy("__cell").agg(F.sort_array(F.collect_list("b")).alias("__boxes"))
+    met = df.withColumn("__cell", F.floor(F.col("x") / cell)).join(lists, "__cell", "left")
+    found = F.get(F.filter("__boxes", _inside), F.lit(0))["value"]
+    return met.select(*df.columns, F.coalesce(found, F.lit(default)).alias(value))
 
 
-def asof_next(df: DataFrame, reference: DataFrame, key: str, by: str, order: str = "idx", skip: int = 0) -> DataFrame:
+def asof_next(df: DataFrame, reference: DataFrame, key: str | list[str], by: str, order: str = "idx", skip: int = 0) -> DataFrame:
     """``df`` with the reference row (``ref_by``, ``ref_id``) of the next larger ``by`` within ``key``; ``skip`` goes that many further.
 
-    One shuffle by key: both sides are united, and a window runs over the reference rows behind each row.
+    One shuffle by key: both sides are united, and a running window from the largest ``by`` down keeps the last reference row met.
     Reference rows that share ``by`` count once, by their first in ``order``.
     """
-    firsts = reference.groupBy(key, by).agg(F.min(order).alias("ref_id"))
+    keys = [key] if isinstance(key, str) else list(key)
+    firsts = reference.groupBy(*keys, by).agg(F.min(order).alias("ref_id"))
     if skip:
-        w = Window.partitionBy(key).orderBy(by)
-        firsts = firsts.select(key, by, F.lead("ref_id", skip).over(w).alias("ref_id"), F.lead(by, skip).over(w).alias("ref_by"))
+        w = Window.partitionBy(*keys).orderBy(by)
+        firsts = firsts.select(*keys, by, F.lead("ref_id", skip).over(w).alias("ref_id"), F.lead(by, skip).over(w).alias("ref_by"))
     else:
         firsts = firsts.withColumn("ref_by", F.col(by))
     none = F.lit(None)
     rows = df.select("*", none.cast("long").alias("ref_id"), none.cast("long").alias("ref_by"), F.lit(1).alias("__own"))
-    refs = firsts.select(key, by, F.col("ref_id").cast("long"), F.col("ref_by").cast("long"), F.lit(0).alias("__own"))
+    refs = firsts.select(*keys, by, F.col("ref_id").cast("long"), F.col("ref_by").cast("long"), F.lit(0).alias("__own"))
     both = rows.unionByName(refs, allowMissingColumns=True)
-    # strictly larger: among equal values the reference rows stand before, so they are behind the window's start
-    w = Window.partitionBy(key).orderBy(F.col(by), F.col("__own")).rowsBetween(1, Window.unboundedFollowing)
-    ref = F.first(F.when(F.col("__own") == 0, F.struct("ref_id", "ref_by")), ignorenulls=True).over(w)
+    # strictly larger: among equal values the own rows stand before the reference rows
+    w = Window.partitionBy(*keys).orderBy(F.col(by).desc(), F.col("__own").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    ref = F.last(F.when(F.col("__own") == 0, F.struct("ref_id", "ref_by")), ignorenulls=True).over(w)
     return both.withColumn("__ref", ref).filter("__own = 1").select(*df.columns, F.col("__ref.ref_id").alias("ref_id"), F.col("__ref.ref_by").alias("ref_by"))
 
 
-def near_blocks(df: DataFrame, reference: DataFrame, block: int, within: int) -> DataFrame:
-    """Rows whose block is touched by a reference point moved by -+ ``within`` on any axis: explode, distinct, semi join."""
+def near_blocks(df: DataFrame, reference: DataFrame, block: int, within: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """Rows whose block is touched by a reference point (of equal ``by``) moved by -+ ``within`` on any axis: explode, distinct, semi join."""
     offsets = F.array(*(F.struct(*(F.lit(s * within).alias(a) for s, a in zip(signs, AXES, strict=True))) for signs in ((i, j, m) for i in (-1, 1) for j in (-1, 1) for m in (-1, 1))))
-    touched = reference.select(*(F.col(a).alias(f"p{a}") for a in AXES), F.explode(offsets).alias("o")).select(*(F.floor((F.col(f"p{a}") + F.col(f"o.{a}")) / block).alias(f"b{a}") for a in AXES)).distinct()
+    touched = reference.select(*by, *(F.col(a).alias(f"p{a}") for a in AXES), F.explode(offsets).alias("o")).select(*by, *(F.floor((F.col(f"p{a}") + F.col(f"o.{a}")) / block).alias(f"b{a}") for a in AXES)).distinct()
     keyed = df.select("*", *(F.floor(F.col(a) / block).alias(f"b{a}") for a in AXES))
-    return keyed.join(touched, [f"b{a}" for a in AXES], "left_semi").select(*df.columns)
+    return keyed.join(touched, [*by, *(f"b{a}" for a in AXES)], "left_semi").select(*df.columns)
 
 
 def node_neighbours(df: DataFrame, bits: int) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cloudloom.functions import exprs as E
+from cloudloom.sources.shared import staged
 
 AXES = E.AXES
 
@@ -34,19 +35,33 @@ def quantise_dedup(df: DataFrame, scale: float) -> DataFrame:
 
 def level_counts(df: DataFrame, levels: int) -> DataFrame:
     """Occupied nodes and points of each octree level. The levels are rolled up one from the other, so a row is read once."""
-    nodes = df.groupBy(*AXES).agg(F.count(F.lit(1)).alias("n"))
-    each = nodes.select(*AXES, "n", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))).alias("level"))
-    cells = each.groupBy("level", *(F.expr(f"shiftright({a}, level)").alias(a) for a in AXES)).agg(F.sum("n").alias("n"))
-    return cells.groupBy("level").agg(F.count(F.lit(1)).alias("nodes"), F.sum("n").alias("points"))
-
-
-def occupancy(df: DataFrame, levels: Sequence[int]) -> DataFrame:
+    count = [F.count(F.lit(1)).alias("nodes"), F.sum("n").alias("points")]
+    nodes = staged(df.groupBy(*AXES).agg(F.count(F.lit(1)).alias("n")), "nodes")
+    out = nodes.agg(F.lit(0).alias("level"), *count)
+    for level in range(1, levels):
+        nodes = nodes.groupBy(*(F.shiftright(a, 1).alias(a) for a in AXES)).agg(F.sum("n").alias("n"))
+        if level % 3 == 0:
+            nodes = staged(nodes, "nodes")
+        out = out.unionByName(nodes.agg(F.lit(level).alias("level"), *count))
+    return out.select("level", "nodes", "points")
+
+
+def occupancy(df: DataFrame, levels: Sequence[int], by: tuple[str, ...] = ()) -> DataFrame:
     """The child occupancy byte of each node: bit 4x + 2y + z of the child."""
     bits = F.array(*map(F.lit, levels))
-    each = df.select(*AXES, F.explode(bits).alias("level"))
+    each = df.select(*by, *AXES, F.explode(bits).alias("level"))
     child = F.expr("4 * (shiftright(x, level) & 1) + 2 * (shiftright(y, level) & 1) + (shiftright(z, level) & 1)")
     node = [F.expr(f"shiftright({a}, level + 1)").alias(f"n{a}") for a in AXES]
-    return each.select("level", *node, child.alias("child")).groupBy("level", "nx", "ny", "nz").agg(F.bit_or(F.expr("shiftleft(1, child)")).alias("occupancy"))
+    return each.select(*by, "level", *node, child.alias("child")).groupBy(*by, "level", "nx", "ny", "nz").agg(F.bit_or(F.expr("shiftleft(1, child)")).alias("occupancy"))
+
+
+def mispredicts(df: DataFrame, levels: Sequence[int], frame: str = "frame") -> DataFrame:
+    """(frame, level, nodes, missed): children that differ between each frame and the one before it, over the nodes of either."""
+    own = occupancy(df, levels, (frame,))
+    before = own.withColumn(frame, F.col(frame) + 1).withColumnRenamed("occupancy", "predicted")
+    both = own.join(before, [frame, "level", "nx", "ny", "nz"], "full")
+    wrong = F.bit_count(F.coalesce("occupancy", F.lit(0)).bitwiseXOR(F.coalesce("predicted", F.lit(0))))
+    return both.groupBy(frame, "level").agg(F.count(F.lit(1)).alias("nodes"), F.sum(wrong).alias("missed"))
 
 
 def histogram(df: DataFrame, column: str, width: int) -> DataFrame:

@@ -39,15 +39,6 @@ def tree_order(df: DataFrame, bits: int) -> DataFrame:
     return rows.join(few, "node").select("idx", "direct", "node")
 
 
-def tight_boxes(df: DataFrame, bits: int) -> DataFrame:
-    """Per node: rows, tight box inside the node, and the box's diagonal over the root of the rows."""
-    low = {f"lo_{a}": F.min(F.col(a).bitwiseAND((1 << bits) - 1)) for a in AXES}
-    high = {f"hi_{a}": F.max(F.col(a).bitwiseAND((1 << bits) - 1)) for a in AXES}
-    g = df.groupBy(*(F.shiftright(a, bits).alias(f"n{a}") for a in AXES)).agg(F.count(F.lit(1)).alias("n"), *(v.alias(k) for k, v in (low | high).items()))
-    diagonal = sum((F.pow(F.col(f"hi_{a}") - F.col(f"lo_{a}") + 1, 2) for a in AXES[1:]), F.pow(F.col("hi_x") - F.col("lo_x") + 1, 2))
-    return g.withColumn("step", F.sqrt(diagonal) / F.sqrt("n"))
-
-
 def propagated_weights(edges: DataFrame, own: int = 256) -> DataFrame:
     """(s, weight): what one level of points, each worth ``own``, passes to its neighbours by their weights in 8 bits."""
     return edges.groupBy("s").agg((F.sum(E.shift_half_away(F.col("weight") * own, 8)) + own).alias("weight"))

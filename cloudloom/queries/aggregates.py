@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cloudloom.functions import exprs as E
-from cloudloom.operators import partition, reduce
+from cloudloom.operators import kernels, partition, reduce
 from cloudloom.queries.projections import sql_morton
 from cloudloom.queries.registry import query
 from cloudloom.sources.clouds import SQL_FRAMES, SQL_INDEXED, SQL_POINTS, SQL_SMALL, frames, indexed_points, points, small_points
@@ -82,14 +82,12 @@ def agg11_child_counts(s, d):
     return points(s, d, "x", "y", "z").groupBy(*(F.shiftright(F.col(a), 5).alias(f"n{a}") for a in "xyz"), child.alias("child")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(FR + f", f1 AS (SELECT * FROM frames WHERE frame = 1), f0 AS (SELECT * FROM frames WHERE frame = 0), a AS ({SQL_OCC.format(t='f1')}), b AS ({SQL_OCC.format(t='f0')}) SELECT level, count(*) AS nodes, CAST(sum(bit_count(xor(coalesce(a.occupancy, 0), coalesce(b.occupancy, 0)))) AS BIGINT) AS missed FROM a FULL JOIN b USING (level, nx, ny, nz) GROUP BY level")
+SQL_OCC_BY_FRAME = "SELECT frame, level, x >> (level+1) AS nx, y >> (level+1) AS ny, z >> (level+1) AS nz, bit_or(1 << (4*((x >> level) & 1) + 2*((y >> level) & 1) + ((z >> level) & 1))) AS occupancy FROM frames, (SELECT CAST(unnest([2, 4, 6]) AS INT) AS level) GROUP BY 1, 2, 3, 4, 5"
+
+
+@query(FR + f", o AS ({SQL_OCC_BY_FRAME}), b AS (SELECT frame + 1 AS frame, level, nx, ny, nz, occupancy FROM o) SELECT frame, level, count(*) AS nodes, CAST(sum(bit_count(xor(coalesce(o.occupancy, 0), coalesce(b.occupancy, 0)))) AS BIGINT) AS missed FROM o FULL JOIN b USING (frame, level, nx, ny, nz) GROUP BY 1, 2")
 def agg12_occupancy_mispredicts(s, d):
-    f = frames(s, d)
-    a = reduce.occupancy(f.filter("frame = 1"), [2, 4, 6])
-    b = reduce.occupancy(f.filter("frame = 0"), [2, 4, 6]).withColumnRenamed("occupancy", "predicted")
-    both = a.join(b, ["level", "nx", "ny", "nz"], "full")
-    wrong = F.bit_count(F.coalesce("occupancy", F.lit(0)).bitwiseXOR(F.coalesce("predicted", F.lit(0))))
-    return both.groupBy("level").agg(F.count(F.lit(1)).alias("nodes"), F.sum(wrong).alias("missed"))
+    return reduce.mispredicts(frames(s, d), [2, 4, 6])
 
 
 @query(P + ", n AS (SELECT count(*) AS n FROM pts GROUP BY x >> 6, y >> 6, z >> 6), c AS (SELECT n, sum(n) OVER (ORDER BY n RANGE UNBOUNDED PRECEDING) / sum(n) OVER () AS share FROM n) SELECT min(CASE WHEN share > 0.05 THEN n END) AS th1, min(CASE WHEN share > 0.6 THEN n END) AS th2 FROM c")
@@ -131,15 +129,17 @@ def agg19_last_component_weights(s, d):
     return reduce.last_component_weights(r, "lod", "r1", "r2")
 
 
-@query(FR + ", m AS (SELECT a.x AS ax, a.y AS ay, a.z AS az, b.x AS bx, b.y AS by_, b.z AS bz FROM frames a JOIN frames b ON a.frame = 0 AND b.frame = 1 AND a.x = b.x AND a.slice = b.slice) SELECT count(*) AS n, CAST(sum(ax*ax) AS BIGINT) AS xx, CAST(sum(CAST(ax AS BIGINT)*ay) AS BIGINT) AS xy, CAST(sum(CAST(ax AS BIGINT)*az) AS BIGINT) AS xz, CAST(sum(CAST(ay AS BIGINT)*ay) AS BIGINT) AS yy, CAST(sum(CAST(ay AS BIGINT)*az) AS BIGINT) AS yz, CAST(sum(CAST(az AS BIGINT)*az) AS BIGINT) AS zz, CAST(sum(CAST(bx AS BIGINT)*ax) AS BIGINT) AS b0x, CAST(sum(CAST(by_ AS BIGINT)*ay) AS BIGINT) AS b1y, CAST(sum(CAST(bz AS BIGINT)*az) AS BIGINT) AS b2z FROM m")
+SQL_MOTION = "m AS (SELECT t.frame, s.x AS ax, s.y AS ay, s.z AS az, t.x AS bx, t.y AS by_, t.z AS bz FROM (SELECT t.idx AS t, arg_min(s.idx, row({d}, s.idx)) AS s FROM frames t JOIN frames s ON s.frame = t.frame - 1 GROUP BY 1) e JOIN frames t ON t.idx = e.t JOIN frames s ON s.idx = e.s)".format(d=" + ".join(f"CAST(t.{x}-s.{x} AS BIGINT)*(t.{x}-s.{x})" for x in "xyz"))
+
+
+def sql_motion_sums() -> str:
+    return ", ".join(f"CAST(sum(CAST({p.replace('by', 'by_')} AS BIGINT) * {q}) AS BIGINT) AS {name}" for name, (p, q) in kernels.MOTION_SUMS.items())
+
+
+@query(FR + f", {SQL_MOTION} SELECT frame, {sql_motion_sums()} FROM m GROUP BY 1")
 def agg20_normal_equations(s, d):
     f = frames(s, d)
-    a = f.filter("frame = 0").select(F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("z").alias("az"), "slice")
-    b = f.filter("frame = 1").select(F.col("x").alias("bx"), F.col("y").alias("by_"), F.col("z").alias("bz"), "slice")
-    m = a.join(b, [a.ax == b.bx, a.slice == b.slice])
-    total = lambda p, q: F.sum(F.col(p).cast("bigint") * F.col(q))
-    names = {"xx": ("ax", "ax"), "xy": ("ax", "ay"), "xz": ("ax", "az"), "yy": ("ay", "ay"), "yz": ("ay", "az"), "zz": ("az", "az"), "b0x": ("bx", "ax"), "b1y": ("by_", "ay"), "b2z": ("bz", "az")}
-    return m.agg(F.count(F.lit(1)).alias("n"), *(total(*v).alias(k) for k, v in names.items()))
+    return kernels.motion_sums(f.withColumn("frame", F.col("frame") + 1), f)
 
 
 SQL_METRIC = "m AS (SELECT slice AS sequence, CAST(refl*8 + 8 AS BIGINT) AS bits, CAST(x + 1 AS BIGINT) AS points, z AS peak, CASE WHEN refl % 10 = 0 THEN 'mismatch' ELSE 'ok' END AS status, CAST(refl + 1 AS DOUBLE) / 10 AS seconds, CAST(y AS DOUBLE) / 1000 AS psnr FROM frames)"
@@ -161,17 +161,13 @@ def agg23_summarise_metrics(s, d):
     return m.select("sequence", F.round(F.col("bits") / F.col("points"), 6).alias("bpp"), (F.col("status") == "ok").alias("all_ok"))
 
 
-@query(P + "SELECT x >> 6 AS nx, y >> 6 AS ny, z >> 6 AS nz, round(avg(x), 6) AS cx, round(avg(y), 6) AS cy, round(avg(z), 6) AS cz, count(*) AS n FROM pts GROUP BY 1, 2, 3")
-def agg24_node_centroids(s, d):
-    return points(s, d, "x", "y", "z").groupBy(*(F.shiftright(F.col(a), 6).alias(f"n{a}") for a in "xyz")).agg(*(F.round(F.avg(a), 6).alias(f"c{a}") for a in "xyz"), F.count(F.lit(1)).alias("n"))
 
-
-@query(FR + ", s AS (SELECT a.slice, CAST(sum(a.refl*b.refl) AS BIGINT) AS cross_, CAST(sum(b.refl*b.refl) AS BIGINT) AS auto_ FROM frames a JOIN frames b ON a.frame = 1 AND b.frame = 0 AND a.x = b.x AND a.slice = b.slice GROUP BY 1) SELECT slice, cross_, auto_, CAST(floor(cross_ * 128.0::DOUBLE / auto_) AS BIGINT) AS tap FROM s WHERE auto_ > 0")
+@query(FR + ", g AS (SELECT frame, x, slice, CAST(sum(refl) AS BIGINT) AS v FROM frames GROUP BY 1, 2, 3), s AS (SELECT a.frame, a.slice, CAST(sum(a.v*b.v) AS BIGINT) AS cross_, CAST(sum(b.v*b.v) AS BIGINT) AS auto_ FROM g a JOIN g b ON b.frame = a.frame - 1 AND a.x = b.x AND a.slice = b.slice GROUP BY 1, 2) SELECT frame, slice, cross_, auto_, CAST(floor(cross_ * 128.0::DOUBLE / auto_) AS BIGINT) AS tap FROM s WHERE auto_ > 0")
 def agg25_filter_tap(s, d):
-    f = frames(s, d)
-    a = f.filter("frame = 1").select("x", "slice", F.col("refl").alias("ra"))
-    b = f.filter("frame = 0").select("x", "slice", F.col("refl").alias("rb"))
-    sums = a.join(b, ["x", "slice"]).groupBy("slice").agg(F.sum(F.col("ra") * F.col("rb")).alias("cross_"), F.sum(F.col("rb") * F.col("rb")).alias("auto_"))
+    # values of one node are summed first, so that a node meets one partner
+    g = frames(s, d).groupBy("frame", "x", "slice").agg(F.sum("refl").alias("a"))
+    both = g.join(g.select((F.col("frame") + 1).alias("frame"), "x", "slice", F.col("a").alias("b")), ["frame", "x", "slice"])
+    sums = both.groupBy("frame", "slice").agg(F.sum(F.col("a") * F.col("b")).alias("cross_"), F.sum(F.col("b") * F.col("b")).alias("auto_"))
     return sums.filter("auto_ > 0").withColumn("tap", F.floor(F.col("cross_") * 128.0 / F.col("auto_")))
 
 
@@ -345,10 +341,11 @@ def set04_accumulate_slices(s, d):
     return local.select("idx", "frame", *((F.col(a) + F.col(f"o{a}")).alias(a) for a in "xyz"))
 
 
-@query(FR + "SELECT idx, 4 AS target, x, y, z FROM frames WHERE frame IN (3, 5)")
+@query(FR + "SELECT idx, frame + 1 AS target, x, y, z FROM frames UNION ALL SELECT idx, frame - 1, x, y, z FROM frames")
 def set05_two_references(s, d):
     f = frames(s, d)
-    return f.filter("frame = 3").unionByName(f.filter("frame = 5")).select("idx", F.lit(4).alias("target"), "x", "y", "z")
+    both = [f.select("idx", (F.col("frame") + step).alias("target"), "x", "y", "z") for step in (1, -1)]
+    return both[0].unionByName(both[1])
 
 
 @query(P + "SELECT DISTINCT x >> 5 AS x, y >> 5 AS y, z >> 5 AS z FROM pts")

@@ -104,11 +104,6 @@ def prj11_reflectance_affine(s, d):
     return points(s, d, "refl").select("refl", project.reflectance_forward(r, 10, 4, 3).alias("fwd"), project.reflectance_inverse(r, 10, 4, 3).alias("inv"))
 
 
-@query(P + "SELECT x, y, round(sqrt(CAST((x-500)*(x-500) + (y-900)*(y-900) AS DOUBLE)), 6) AS radius, round(atan2(CAST(y-900 AS DOUBLE), CAST(x-500 AS DOUBLE)), 6) AS azimuth FROM pts")
-def prj12_spherical(s, d):
-    p = project.spherical(points(s, d, "x", "y"), (500, 900, 0))
-    return p.select("x", "y", F.round("radius", 6).alias("radius"), F.round("azimuth", 6).alias("azimuth"))
-
 
 SQL_WEIGHTS = """box AS (SELECT min(x) AS min_x, min(y) AS min_y, min(z) AS min_z, max(x)-min(x)+1 AS wx, max(y)-min(y)+1 AS wy, max(z)-min(z)+1 AS wz FROM pts),
 w AS (SELECT min_x, min_y, min_z, (CAST(least(2097152, greatest(wx, wy, wz)) AS BIGINT) << 8) // wx AS w_x, (CAST(least(2097152, greatest(wx, wy, wz)) AS BIGINT) << 8) // wy AS w_y, (CAST(least(2097152, greatest(wx, wy, wz)) AS BIGINT) << 8) // wz AS w_z FROM box)"""
@@ -156,11 +151,6 @@ def prj22_div_approx(s, d):
     return points(s, d, "x", "y").select(a.alias("a"), b.alias("b")).select("a", "b", E.div_approx(F.col("a"), F.col("b"), 8).alias("q"))
 
 
-@query(P + "SELECT x, y, CAST(floor(sqrt(CAST(x AS DOUBLE)*x + CAST(y AS DOUBLE)*y)) AS BIGINT) AS root, round(sin(CAST(z AS DOUBLE)/1000), 6) AS sin_z, round(cos(CAST(z AS DOUBLE)/1000), 6) AS cos_z FROM pts")
-def prj23_roots_and_trig(s, d):
-    p, x, y, z = points(s, d, "x", "y", "z"), F.col("x").cast("double"), F.col("y").cast("double"), F.col("z").cast("double")
-    return p.select("x", "y", F.floor(F.sqrt(x * x + y * y)).alias("root"), F.round(F.sin(z / 1000), 6).alias("sin_z"), F.round(F.cos(z / 1000), 6).alias("cos_z"))
-
 
 @query(P + """SELECT refl, qp, step, refl * step AS scaled, (refl * (67108864 // step) + 22369621) >> 26 AS level FROM (
 SELECT CAST(refl AS BIGINT) AS refl, qp, CAST([161,181,203,228,256,287][greatest(qp,4) % 6 + 1] AS BIGINT) << (greatest(qp,4) // 6) AS step FROM (SELECT refl, laser * 7 AS qp FROM pts))""")
@@ -241,10 +231,12 @@ def flt02_box_intersections(s, d):
     return filters.intersecting(reduce.bounding_box(p, "tile"), "tile", margin_x=130)
 
 
-@query(FR + ", b AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1, min(z) AS z0, max(z) AS z1 FROM frames WHERE frame = 1 AND slice = 'click') SELECT idx, x, y, z FROM frames, b WHERE frame = 0 AND x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1 AND z BETWEEN z0 AND z1")
+@query(FR + ", b AS (SELECT frame, slice, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1, min(z) AS z0, max(z) AS z1 FROM frames GROUP BY 1, 2) SELECT b.frame, b.slice, f.idx, x, y, z FROM frames f JOIN b ON b.frame = f.frame + 1 WHERE x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1 AND z BETWEEN z0 AND z1")
 def flt03_crop_reference(s, d):
     f = frames(s, d)
-    return filters.crop(f.filter("frame = 0").select("idx", "x", "y", "z"), f.filter("frame = 1 and slice = 'click'"))
+    # each slice of a frame has the whole frame before it as its reference
+    reference = f.select((F.col("frame") + 1).alias("frame"), "idx", "x", "y", "z").join(f.select("frame", "slice").distinct(), "frame")
+    return filters.crop(reference.select("frame", "slice", "idx", "x", "y", "z"), f, by=("frame", "slice"))
 
 
 @query(FR + "SELECT idx, z < 20 OR z > 150 AS is_object FROM frames")

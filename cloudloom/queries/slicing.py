@@ -45,10 +45,6 @@ def oct10_output_order(s, d):
     return slices.tree_order(indexed_points(s, d, "x", "y", "z"), 6)
 
 
-@query(I + "SELECT x >> 6 AS nx, y >> 6 AS ny, z >> 6 AS nz, count(*) AS n, " + ", ".join(f"min({a} & 63) AS lo_{a}, max({a} & 63) AS hi_{a}" for a in "xyz") + ", round(sqrt(CAST((max(x & 63)-min(x & 63)+1)**2 + (max(y & 63)-min(y & 63)+1)**2 + (max(z & 63)-min(z & 63)+1)**2 AS DOUBLE)) / sqrt(CAST(count(*) AS DOUBLE)), 6) AS step FROM pts GROUP BY 1, 2, 3")
-def tri03_sampling_estimates(s, d):
-    return slices.tight_boxes(indexed_points(s, d, "x", "y", "z"), 6).withColumn("step", F.round("step", 6))
-
 
 @query(I + "SELECT x & ~63 AS x, y & ~63 AS y, z & ~63 AS z, least((x & ~63) + 63, 1000) AS hx, least((y & ~63) + 63, 1500) AS hy, least((z & ~63) + 63, 2000) AS hz FROM pts")
 def tri07_clipped_nodes(s, d):

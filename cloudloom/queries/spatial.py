@@ -51,10 +51,16 @@ def jn02_reverse_knn(s, d):
     return back.groupBy(F.col("s").alias("t")).agg(F.count(F.lit(1)).alias("votes"), F.min("d2").alias("least"))
 
 
-@query(FR + ", f AS (SELECT * FROM frames WHERE frame < 4), t AS (SELECT * FROM f WHERE frame = 1), s AS (SELECT * FROM f WHERE frame = 0) " + sql_knn("t", "s", 3))
-def jn01_knn_between_frames(s, d):
+def with_reference(s, d):
+    """The frames, and each frame as the reference of the next one."""
     f = frames(s, d)
-    return joins.knn_join(f.filter("frame = 1"), f.filter("frame = 0"), 3)
+    return f, f.withColumn("frame", F.col("frame") + 1)
+
+
+@query(FR + f"SELECT t, s, d2, rank FROM (SELECT t.idx AS t, s.idx AS s, {d2('t', 's')} AS d2, CAST(row_number() OVER (PARTITION BY t.idx ORDER BY {d2('t', 's')}, s.idx) AS INT) AS rank FROM frames t JOIN frames s ON s.frame = t.frame - 1) WHERE rank <= 3")
+def jn01_knn_between_frames(s, d):
+    f, reference = with_reference(s, d)
+    return joins.knn_join(f, reference, 3, by=("frame",))
 
 
 @query(I + ", q AS (SELECT idx, CAST(round(x*0.125) AS INT) AS qx, CAST(round(y*0.125) AS INT) AS qy, CAST(round(z*0.125) AS INT) AS qz FROM pts), r AS (SELECT qx, qy, qz, min(idx) AS dst FROM q GROUP BY 1, 2, 3) SELECT dst, idx AS src FROM q JOIN r USING (qx, qy, qz)")
@@ -70,35 +76,44 @@ def jn04_index_gather(s, d):
     return p.join(p.filter("laser = 2").select("idx"), "idx").select("idx", "x", "y", "z")
 
 
-SQL_ASOF = FR + ", r AS (SELECT refl, y, min(idx) AS idx FROM frames WHERE frame = 0 GROUP BY 1, 2), t AS (SELECT idx, refl, y FROM frames WHERE frame = 1), m AS (SELECT t.idx, t.refl, t.y, r.idx AS ref_id, r.y AS ref_by, row_number() OVER (PARTITION BY t.idx ORDER BY r.y) AS k FROM t LEFT JOIN r ON r.refl = t.refl AND r.y > t.y) "
+SQL_ASOF = FR + ", r AS (SELECT frame + 1 AS frame, refl, y, min(idx) AS idx FROM frames GROUP BY 1, 2, 3), t AS (SELECT idx, frame, refl, y FROM frames), m AS (SELECT t.idx, t.frame, t.refl, t.y, r.idx AS ref_id, r.y AS ref_by, row_number() OVER (PARTITION BY t.idx ORDER BY r.y) AS k FROM t LEFT JOIN r ON r.frame = t.frame AND r.refl = t.refl AND r.y > t.y) "
 
 
-@query(SQL_ASOF + "SELECT idx, refl, y, ref_id, CAST(ref_by AS BIGINT) AS ref_by FROM m WHERE k = 1")
+@query(SQL_ASOF + "SELECT idx, frame, refl, y, ref_id, CAST(ref_by AS BIGINT) AS ref_by FROM m WHERE k = 1")
 def jn05_asof_next(s, d):
-    f = frames(s, d)
-    return joins.asof_next(f.filter("frame = 1").select("idx", "refl", "y"), f.filter("frame = 0"), "refl", "y")
+    f, reference = with_reference(s, d)
+    return joins.asof_next(f.select("idx", "frame", "refl", "y"), reference, ["frame", "refl"], "y")
 
 
-@query(SQL_ASOF + ", n AS (SELECT DISTINCT idx, refl, y FROM t) SELECT n.idx, n.refl, n.y, m.ref_id, CAST(m.ref_by AS BIGINT) AS ref_by FROM n LEFT JOIN m ON m.idx = n.idx AND m.k = 2")
+@query(SQL_ASOF + ", n AS (SELECT DISTINCT idx, frame, refl, y FROM t) SELECT n.idx, n.frame, n.refl, n.y, m.ref_id, CAST(m.ref_by AS BIGINT) AS ref_by FROM n LEFT JOIN m ON m.idx = n.idx AND m.k = 2")
 def jn05_asof_next_next(s, d):
-    f = frames(s, d)
-    return joins.asof_next(f.filter("frame = 1").select("idx", "refl", "y"), f.filter("frame = 0"), "refl", "y", skip=1)
+    f, reference = with_reference(s, d)
+    return joins.asof_next(f.select("idx", "frame", "refl", "y"), reference, ["frame", "refl"], "y", skip=1)
 
 
-@query(FR + "SELECT slice, y // 600 AS phi, min(idx) AS idx FROM frames WHERE frame = 2 GROUP BY 1, 2")
+@query(FR + "SELECT frame, slice, y // 600 AS phi, min(idx) AS idx FROM frames GROUP BY 1, 2, 3")
 def jn06_asof_insert_first_wins(s, d):
-    return frames(s, d).filter("frame = 2").groupBy("slice", E.idiv(F.col("y"), 600).alias("phi")).agg(F.min("idx").alias("idx"))
+    return frames(s, d).groupBy("frame", "slice", E.idiv(F.col("y"), 600).alias("phi")).agg(F.min("idx").alias("idx"))
 
 
-@query(FR + "SELECT slice, y // 600 AS phi, min(z) AS radius, arg_min(idx, row(z, idx)) AS idx FROM frames WHERE frame = 2 GROUP BY 1, 2")
+@query(FR + "SELECT frame, slice, y // 600 AS phi, min(z) AS radius, arg_min(idx, row(z, idx)) AS idx FROM frames GROUP BY 1, 2, 3")
 def jn07_smallest_radius(s, d):
-    g = frames(s, d).filter("frame = 2").groupBy("slice", E.idiv(F.col("y"), 600).alias("phi")).agg(F.min(F.struct("z", "idx")).alias("m"))
-    return g.select("slice", "phi", F.col("m.z").alias("radius"), F.col("m.idx").alias("idx"))
+    return kernels.smallest_radius(frames(s, d), ["frame", "slice"], 600).select("frame", "slice", "phi", "radius", "idx")
+
 
+SQL_SETS = """own AS (SELECT frame, slice, y // 600 AS phi, arg_min(y, idx) AS y, min(idx) AS idx FROM frames GROUP BY 1, 2, 3),
+rf AS (SELECT frame + 1 AS frame, slice, y // 600 AS phi, arg_min(y, row(z, idx)) AS y, min(z) AS r FROM frames GROUP BY 1, 2, 3),
+n AS (SELECT o.frame, o.slice, o.phi, o.y, o.idx, arg_min(struct_pack(y := rf.y, r := rf.r), rf.phi) FILTER (WHERE rf.phi = o.phi) AS e,
+  arg_min(struct_pack(y := rf.y, r := rf.r), rf.phi) FILTER (WHERE rf.phi > o.phi) AS nx, arg_max(struct_pack(y := rf.y, r := rf.r), rf.phi) FILTER (WHERE rf.phi < o.phi) AS pv
+  FROM own o JOIN rf USING (frame, slice) GROUP BY 1, 2, 3, 4, 5),
+c AS (SELECT *, CASE WHEN e IS NOT NULL THEN e WHEN nx IS NOT NULL THEN nx ELSE pv END AS a, CASE WHEN e IS NOT NULL THEN CASE WHEN e.y < y THEN coalesce(nx, e) WHEN e.y > y THEN coalesce(pv, e) ELSE e END ELSE coalesce(pv, nx) END AS b FROM n),
+g AS (SELECT frame, slice, phi, idx, a.r AS ar, CAST(a.y - b.y AS BIGINT) AS da, CAST(a.r - b.r AS BIGINT) AS dr, CAST(y - a.y AS BIGINT) AS dy FROM c)"""
 
-@query(FR + ", t AS (SELECT idx, slice, y, z, lag(y) OVER w AS y0, lag(z) OVER w AS z0, lead(y) OVER w AS y1, lead(z) OVER w AS z1 FROM frames WHERE frame = 3 WINDOW w AS (PARTITION BY slice ORDER BY y, idx)) SELECT idx, CASE WHEN y1 > y0 THEN round(z0 + CAST((z1 - z0) AS DOUBLE) * (y - y0) / (y1 - y0), 6) END AS radius FROM t WHERE y0 IS NOT NULL AND y1 IS NOT NULL")
-def jn08_interpolated_radius(s, d):
-    return kernels.interpolated(frames(s, d).filter("frame = 3"), "slice", "y", "z").select("idx", F.round("value", 6).alias("radius"))
+
+@query(FR + f", {SQL_SETS} SELECT frame, slice, phi, idx, CAST(CASE WHEN da = 0 OR dr = 0 THEN ar ELSE ar + CASE WHEN dr * dy * da > 0 THEN 1 ELSE -1 END * ((abs(dr * dy) + (abs(da) >> 1)) // abs(da)) END AS BIGINT) AS radius FROM g")
+def jn08_resampled_radius(s, d):
+    f, reference = with_reference(s, d)
+    return kernels.resampled(f, reference, ["frame", "slice"], 600)
 
 
 @query(I + f", {SQL_LASERS} SELECT idx, arg_min(l, row(abs(z - theta), l)) AS nearest FROM pts, lasers GROUP BY 1")
@@ -113,10 +128,10 @@ def jn10_first_region(s, d):
     return joins.first_box(points(s, d, "x", "y", "z"), regions, "qp", 0)
 
 
-@query(FR + ", o AS (SELECT DISTINCT CAST(floor((x + dx)/64.0) AS BIGINT) AS bx, CAST(floor((y + dy)/64.0) AS BIGINT) AS by_, CAST(floor((z + dz)/64.0) AS BIGINT) AS bz FROM frames, (SELECT unnest([-20, 20]) AS dx), (SELECT unnest([-20, 20]) AS dy), (SELECT unnest([-20, 20]) AS dz) WHERE frame = 0) SELECT idx, x, y, z FROM frames f WHERE frame = 1 AND EXISTS (SELECT 1 FROM o WHERE o.bx = CAST(floor(f.x/64.0) AS BIGINT) AND o.by_ = CAST(floor(f.y/64.0) AS BIGINT) AND o.bz = CAST(floor(f.z/64.0) AS BIGINT))")
+@query(FR + ", o AS (SELECT DISTINCT frame + 1 AS frame, CAST(floor((x + dx)/64.0) AS BIGINT) AS bx, CAST(floor((y + dy)/64.0) AS BIGINT) AS by_, CAST(floor((z + dz)/64.0) AS BIGINT) AS bz FROM frames, (SELECT unnest([-20, 20]) AS dx), (SELECT unnest([-20, 20]) AS dy), (SELECT unnest([-20, 20]) AS dz)) SELECT idx, f.frame, x, y, z FROM frames f JOIN o ON o.frame = f.frame AND o.bx = CAST(floor(f.x/64.0) AS BIGINT) AND o.by_ = CAST(floor(f.y/64.0) AS BIGINT) AND o.bz = CAST(floor(f.z/64.0) AS BIGINT)")
 def jn11_near_blocks(s, d):
-    f = frames(s, d)
-    return joins.near_blocks(f.filter("frame = 1").select("idx", "x", "y", "z"), f.filter("frame = 0"), 64, 20)
+    f, reference = with_reference(s, d)
+    return joins.near_blocks(f.select("idx", "frame", "x", "y", "z"), reference, 64, 20, by=("frame",))
 
 
 SQL_L1 = "n AS (SELECT t.idx, min(abs(t.x-s.x)+abs(t.y-s.y)+abs(t.z-s.z)) AS d1 FROM (SELECT * FROM emb3 WHERE idx % 2 = 1) t, (SELECT * FROM emb3 WHERE idx % 2 = 0) s GROUP BY 1)"
@@ -128,11 +143,9 @@ def jn12_l1_nearest_residual_filter(s, d):
     return kernels.l1_inliers(t, src)
 
 
-@query(FR + f", a AS (SELECT {sql_morton('x', 'y >> 1', 'z')} >> 9 AS node, count(*) AS w, CAST(sum(refl) AS BIGINT) AS v FROM frames WHERE frame = 1 GROUP BY 1), b AS (SELECT {sql_morton('x', 'y >> 1', 'z')} >> 9 AS node, count(*) AS w, CAST(sum(refl) AS BIGINT) AS v FROM frames WHERE frame = 0 GROUP BY 1) SELECT node, a.w, a.v, b.w AS ref_w, b.v AS ref_v FROM a JOIN b USING (node)")
+@query(FR + f", a AS (SELECT frame, level, {sql_morton('x', 'y >> 1', 'z')} >> level AS node, count(*) AS w, CAST(sum(refl) AS BIGINT) AS v FROM frames, (SELECT unnest([15, 18, 21, 24, 27]) AS level) GROUP BY 1, 2, 3) SELECT a.frame, a.level, a.node, a.w, a.v, b.w AS ref_w, b.v AS ref_v FROM a JOIN a b ON b.frame = a.frame - 1 AND b.level = a.level AND b.node = a.node")
 def jn13_hierarchies_at_level(s, d):
-    f = frames(s, d)
-    side = lambda k: f.filter(F.col("frame") == k).groupBy(F.shiftright(E.morton("x", F.shiftright("y", 1), "z"), 9).alias("node")).agg(F.count(F.lit(1)).alias("w"), F.sum("refl").alias("v"))
-    return side(1).join(side(0).select("node", F.col("w").alias("ref_w"), F.col("v").alias("ref_v")), "node")
+    return hierarchy.joined_levels(frames(s, d).withColumn("y", F.shiftright("y", 1)), "refl", [15, 18, 21, 24, 27])
 
 
 SQL_FACES = ", n AS (SELECT DISTINCT x >> 6 AS nx, y >> 6 AS ny, z >> 6 AS nz FROM pts), s AS (SELECT * FROM (VALUES (1,0,0,1),(-1,0,0,2),(0,1,0,4),(0,-1,0,8),(0,0,1,16),(0,0,-1,32)) AS t(dx, dy, dz, bit)) "
@@ -174,7 +187,7 @@ fv AS (SELECT t, {', '.join(f"CASE WHEN least = 0 THEN CAST(f{i} AS DOUBLE) ELSE
 SQL_BACK = f"""bk AS ({sql_knn('src', 'tgt', 1)}), bv AS (SELECT s AS t, count(*) AS n, {', '.join(f"CAST(sum(c{i}) AS BIGINT) AS s{i}, CAST(sum(CAST(c{i} AS BIGINT)*c{i}) AS BIGINT) AS q{i}, round(round(sum(c{i} / (sqrt(CAST(d2 AS DOUBLE)) + 4.0::DOUBLE)) / sum(1.0::DOUBLE / (sqrt(CAST(d2 AS DOUBLE)) + 4.0::DOUBLE)), 9)) AS c{i}" for i in range(3))} FROM bk JOIN src ON src.idx = bk.t GROUP BY 1)"""
 SQL_TRY = f"""o AS (SELECT i, j, k, (i+1)*9 + (j+1)*3 + k + 1 AS o FROM (SELECT unnest([-1,0,1]) AS i), (SELECT unnest([-1,0,1]) AS j), (SELECT unnest([-1,0,1]) AS k)),
 tr AS (SELECT fv.t, o, n, s0, s1, s2, q0, q1, q2, w0, w1, w2, {', '.join(f"least(greatest(c{a} + {x}, 0.0::DOUBLE), 255.0::DOUBLE) AS v{a}" for a, x in enumerate('ijk'))} FROM fv JOIN bv USING (t), o),
-er AS (SELECT *, greatest(({' + '.join(f'(n*v{a}*v{a} - 2*v{a}*s{a} + q{a})' for a in range(3))}) / n, {' + '.join(f'(v{a}-w{a})*(v{a}-w{a})' for a in range(3))}) AS e FROM tr),
+er AS (SELECT *, greatest(({' + '.join(f'(v{a}-w{a})*(v{a}-w{a})' for a in range(3))}) / nt, ({' + '.join(f'(n*v{a}*v{a} - 2*v{a}*s{a} + q{a})' for a in range(3))}) / ns) AS e FROM tr, (SELECT CAST(count(*) AS DOUBLE) AS nt FROM tgt), (SELECT CAST(count(*) AS DOUBLE) AS ns FROM src)),
 pk AS (SELECT t, o, v0, v1, v2 FROM (SELECT *, row_number() OVER (PARTITION BY t ORDER BY e, o) AS r FROM er) WHERE r = 1)"""
 
 
@@ -184,6 +197,26 @@ def recolour_colour(s, d):
     return recolour.recolour(t, src, ["c0", "c1", "c2"])
 
 
+SQL_LATTICE = f"""tt AS (SELECT idx, (x + 5)*2 AS x, (y - 3)*2 AS y, (z + 2)*2 AS z FROM tgt), ss AS (SELECT idx, x*3 AS x, y*3 AS y, z*3 AS z FROM src),
+f1 AS (SELECT t, s, rank, d2 / 9.0::DOUBLE AS d2, c1 AS v FROM ({sql_knn('tt', 'ss', 8)}) k JOIN src ON src.idx = k.s WHERE rank = 1 OR d2 / 9.0::DOUBLE <= 400),
+f2 AS (SELECT * FROM (SELECT *, min(d2) OVER (PARTITION BY t) AS least FROM f1) WHERE rank = 1 OR least >= 0.0001),
+f3 AS (SELECT * FROM (SELECT *, (max(v) OVER w - min(v) OVER w) AS g FROM f2 WINDOW w AS (PARTITION BY t ORDER BY rank)) WHERE g*g <= 300),
+fw AS (SELECT t, CASE WHEN count(*) = 1 THEN CAST(any_value(v) AS DOUBLE) ELSE least(greatest(round(round(sum(v / (d2 + 4.0::DOUBLE)) / sum(1.0::DOUBLE / (d2 + 4.0::DOUBLE)), 9)), 0.0), 255.0) END AS w FROM f3 GROUP BY 1),
+b1 AS (SELECT s AS t, t AS s, d2 / 4.0::DOUBLE AS d2, c1 AS v FROM ({sql_knn('ss', 'tt', 2)}) k JOIN src ON src.idx = k.t WHERE d2 / 4.0::DOUBLE <= 400),
+b2 AS (SELECT *, (max(v) OVER w - min(v) OVER w) AS g FROM b1 WINDOW w AS (PARTITION BY t ORDER BY d2, s ROWS UNBOUNDED PRECEDING)),
+bv AS (SELECT t, count(*) AS n, CAST(sum(v) AS BIGINT) AS sv, CAST(sum(CAST(v AS BIGINT)*v) AS BIGINT) AS qv, least(greatest(round(round(sum(v / (sqrt(d2) + 4.0::DOUBLE)) / sum(1.0::DOUBLE / (sqrt(d2) + 4.0::DOUBLE)), 9)), 0.0), 255.0) AS c FROM b2 WHERE g*g <= 300 GROUP BY 1),
+tr AS (SELECT fw.t, o, n, sv, qv, w, least(greatest(c + o, 0.0::DOUBLE), 255.0::DOUBLE) AS v FROM fw JOIN bv USING (t), (SELECT unnest([-2, -1, 0, 1, 2]) AS o)),
+pk AS (SELECT t, arg_min(v, row(greatest((v-w)*(v-w) / nt, (n*v*v - 2*v*sv + qv) / ns), o)) AS v FROM tr, (SELECT CAST(count(*) AS DOUBLE) AS nt FROM tgt), (SELECT CAST(count(*) AS DOUBLE) AS ns FROM src) GROUP BY 1)"""
+
+
+@query(S3 + f", {SQL_HALVES}, {SQL_LATTICE} SELECT fw.t AS idx, CAST(coalesce(v, w) AS INT) AS c1 FROM fw LEFT JOIN pk USING (t)")
+def recolour_reflectance(s, d):
+    """One component, the source at three halves of its scale and moved, with limits on distances of place and of value."""
+    t, src = halves(s, d)
+    how = [recolour.Direction(8, most_distance2=400, most_attribute2=300), recolour.Direction(2, same_place_only=False, most_distance2=400, most_attribute2=300)]
+    return recolour.recolour(t, src, ["c1"], *how, search=2, scale=(3, 2), offset=(5, -3, 2))
+
+
 @query(S3 + f", {SQL_HALVES}, a AS ({sql_knn('tgt', 'src', 1)}), b AS ({sql_knn('src', 'tgt', 1)}) SELECT round(x, 6) AS mse_ab, round(y, 6) AS mse_ba, round(greatest(x, y), 6) AS mse, greatest(p, q) AS hausdorff, round(10.0::DOUBLE * log10(3.0::DOUBLE*1023*1023 / greatest(x, y)), 6) AS psnr FROM (SELECT avg(d2) AS x, max(d2) AS p FROM a), (SELECT avg(d2) AS y, max(d2) AS q FROM b)")
 def d1_distortion(s, d):
     t, src = halves(s, d)
@@ -362,14 +395,10 @@ def win09_srt06_lidar_order(s, d):
 
 @query()
 def agg20_motion_estimate(s, d):
-    f = frames(s, d)
-    return kernels.estimate_motion(f.filter("frame = 0"), f.filter("frame = 1"))
+    f, reference = with_reference(s, d)
+    return kernels.estimate_motion(reference, f)
 
 
-@query()
-def tri06_rasterised_triangles(s, d):
-    return kernels.rasterised(kernels.triangles_of(frames(s, d)))
-
 
 @query(FR + "SELECT a.frame, a.idx, b.n_ref FROM frames a JOIN (SELECT frame, count(*) AS n_ref FROM frames GROUP BY 1) b ON b.frame = a.frame - 1")
 def str07_previous_frame_state(s, d):
