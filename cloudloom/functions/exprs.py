@@ -72,6 +72,12 @@ def morton_add(a: Column, b: Column) -> Column:
     return reduce(lambda p, q: p.bitwiseOR(q), parts)
 
 
+def morton_subtract(a: Column, b: Column) -> Column:
+    """Difference of two addresses axis by axis; an axis below 0 wraps to an address that no cloud has."""
+    parts = [(a.bitwiseAND(F.lit(own)) - b.bitwiseAND(F.lit(own))).bitwiseAND(F.lit(own)) for own in (MORTON_X, MORTON_Y, MORTON_Z)]
+    return reduce(lambda p, q: p.bitwiseOR(q), parts)
+
+
 def ilog2(x: Column) -> Column:
     """Place of the highest set bit of a positive number, without floating point."""
     return F.length(F.bin(x.cast("bigint"))) - 1
@@ -135,6 +141,25 @@ def attribute_step(qp: Column) -> Column:
     return F.call_function("shiftleft", base.cast("bigint"), F.floor(q / 6).cast("int"))
 
 
+def attribute_quantised(x: Column, qp: int) -> Column:
+    """The level of a value with 8 fractional bits, by the step's reciprocal, with a dead zone of two thirds of a step on both sides of 0."""
+    q = max(qp, 4)
+    inverse, third = (1 << 26) // ATTRIBUTE_STEPS[q % 6] >> q // 6, (1 << 26) // 3
+    x = x.cast("bigint")
+    return F.when(x >= 0, F.shiftright(x * inverse + third, 26)).otherwise(-F.shiftright(third - x * inverse, 26))
+
+
+def attribute_scaled(level: Column, qp: int) -> Column:
+    """The whole value that a level stands for."""
+    q = max(qp, 4)
+    return shift_half_up(level * (ATTRIBUTE_STEPS[q % 6] << q // 6), 8)
+
+
+def code_bits(level: Column) -> Column:
+    """Length of a level in a code of growing groups: 1 for 0, two more for each doubling."""
+    return 2 * F.length(F.bin(F.abs(level.cast("bigint")) + 1)) - 1
+
+
 def geometry_scaled(x: Column, qp: Column) -> Column:
     """Inverse geometry quantiser: eight steps a doubling."""
     step = F.call_function("shiftleft", (qp % 8 + 8).cast("bigint"), F.shiftright(qp, 3))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -116,6 +119,24 @@ def raht_of(blocks: DataFrame, depth: int) -> DataFrame:
     return rows.filter((F.col("band") > 0) | (F.col("level") == 3 * (depth - 1)))
 
 
+def _children(t: DataFrame) -> DataFrame:
+    """(node, w, c0) of the children of blocks (node, w0..w7, c0..c7): the butterflies undone, a child's coefficient at its place."""
+    t = t.withColumns({f"u0_{i}": F.col(f"w{i}").cast("double") for i in range(8)})
+    for k_step, step in enumerate(STEPS[:-1]):
+        u = lambda i, k_step=k_step: F.col(f"u{k_step}_{i}")
+        t = t.withColumns({f"u{k_step + 1}_{i}": u(i) + u(j) for i, j in step} | {f"u{k_step + 1}_{j}": F.when((u(i) > 0) & (u(j) > 0), u(i) + u(j)).otherwise(0.0) for i, j in step})
+    for k_step in range(len(STEPS) - 1, -1, -1):
+        new = {}
+        for i, j in STEPS[k_step]:
+            wi, wj, a, b = F.col(f"u{k_step}_{i}"), F.col(f"u{k_step}_{j}"), F.col(f"c{i}"), F.col(f"c{j}")
+            both = (wi > 0) & (wj > 0)
+            p, q = F.sqrt(wi / (wi + wj)), F.sqrt(wj / (wi + wj))
+            new |= {f"c{i}": F.when(both, p * a - q * b).otherwise(F.when(wi > 0, a)), f"c{j}": F.when(both, q * a + p * b).otherwise(F.when(wj > 0, a))}
+        t = t.withColumns(new)
+    children = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.col(f"w{i}").alias("w"), F.col(f"c{i}").alias("c")) for i in range(8)))).alias("e")
+    return t.select("node", children).filter("e.w > 0").select((F.col("node") * 8 + F.col("e.i")).alias("node"), F.col("e.w").alias("w"), F.col("e.c").alias("c0"))
+
+
 def inverse_raht(blocks: DataFrame, coefficients: DataFrame, depth: int) -> DataFrame:
     """(m, w, s): weights and sums at every point place again, from the root's DC and the AC coefficients, level by level downward."""
     wide = coefficients.groupBy("level", "node").agg(*(F.max(F.when(F.col("band") == i, F.col("coefficient"))).alias(f"c{i}") for i in range(8)))
@@ -124,25 +145,119 @@ def inverse_raht(blocks: DataFrame, coefficients: DataFrame, depth: int) -> Data
         t = blocks.filter(F.col("level") == 3 * k).join(wide.filter(F.col("level") == 3 * k).drop("level"), "node", "left")
         if dc is not None:
             t = t.drop("c0").join(dc, "node")
-        t = t.withColumns({f"u0_{i}": F.col(f"w{i}").cast("double") for i in range(8)})
-        for k_step, step in enumerate(STEPS[:-1]):
-            u = lambda i, k_step=k_step: F.col(f"u{k_step}_{i}")
-            t = t.withColumns({f"u{k_step + 1}_{i}": u(i) + u(j) for i, j in step} | {f"u{k_step + 1}_{j}": F.when((u(i) > 0) & (u(j) > 0), u(i) + u(j)).otherwise(0.0) for i, j in step})
-        for k_step in range(len(STEPS) - 1, -1, -1):
-            new = {}
-            for i, j in STEPS[k_step]:
-                wi, wj, a, b = F.col(f"u{k_step}_{i}"), F.col(f"u{k_step}_{j}"), F.col(f"c{i}"), F.col(f"c{j}")
-                both = (wi > 0) & (wj > 0)
-                p, q = F.sqrt(wi / (wi + wj)), F.sqrt(wj / (wi + wj))
-                new |= {f"c{i}": F.when(both, p * a - q * b).otherwise(F.when(wi > 0, a)), f"c{j}": F.when(both, q * a + p * b).otherwise(F.when(wj > 0, a))}
-            t = t.withColumns(new)
-        value = [F.col(f"c{i}") for i in range(8)]
-        children = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.col(f"w{i}").alias("w"), v.alias("c")) for i, v in enumerate(value)))).alias("e")
-        below = t.select("node", children).filter("e.w > 0").select((F.col("node") * 8 + F.col("e.i")).alias("node"), F.col("e.w").alias("w"), F.col("e.c").alias("c0"))
+        below = _children(t)
         dc = staged(below.select("node", "c0") if k else below, "unraht")
     return dc.select(F.col("node").alias("m"), "w", (F.col("c0") * F.sqrt("w")).alias("s"))
 
 
+def _looks() -> list[tuple[int, int, int, int]]:
+    """(address steps forward and back, weight, children that it counts for) of a node itself, its 6 face and its 12 edge neighbours."""
+    out = []
+    for dx in (-1, 0, 1):
+        for dy in (-1, 0, 1):
+            for dz in (-1, 0, 1):
+                d = (dx, dy, dz)
+                apart = sum(map(abs, d))
+                if apart < 3:
+                    forward, back = (sum(1 << 2 - i for i, v in enumerate(d) if v == sign) for sign in (1, -1))
+                    near = sum(1 << c for c in range(8) if all(not v or (c >> 2 - i & 1) == (v > 0) for i, v in enumerate(d)))
+                    out.append((forward, back, (4, 2, 1)[apart], near))
+    return out
+
+
+def upsampled(parents: DataFrame) -> DataFrame:
+    """(node, p0..p7): values predicted for the eight children of each of ``parents`` (node, v), node an address.
+
+    A child gets the mean of its parent (weight 4) and of the parent's neighbours across the faces (2) and edges (1) it touches, but for those whose
+    value is a fifth of the parent's or less, or two and a half times it or more. Every node sends its value to the 19 nodes around, one equi-join and one sum.
+    """
+    looks = F.array(*(F.struct(F.lit(f).cast("bigint").alias("f"), F.lit(b).cast("bigint").alias("b"), F.lit(w).alias("weight"), F.lit(m).alias("mask")) for f, b, w, m in _looks()))
+    sent = parents.select("node", "v", F.explode(looks).alias("l"))
+    # a node sees its neighbour at a step, so it is found by the step back
+    sent = sent.select(E.morton_subtract(E.morton_add(F.col("node"), F.col("l.b")), F.col("l.f")).alias("node"), F.col("v").alias("nv"), F.col("l.weight").alias("weight"), F.col("l.mask").alias("mask"))
+    met = sent.join(parents, "node").filter((F.col("mask") == 255) | ((10 * F.col("nv") > 2 * F.col("v")) & (10 * F.col("nv") < 25 * F.col("v"))))
+    on = lambda i: F.col("mask").bitwiseAND(1 << i) > 0
+    return met.groupBy("node").agg(*((F.sum(F.when(on(i), F.col("weight") * F.col("nv"))) / F.sum(F.when(on(i), F.col("weight")))).alias(f"p{i}") for i in range(8)))
+
+
+def raht_predicted(df: DataFrame, value: str, depth: int, qp: int, predict: bool = True) -> tuple[DataFrame, DataFrame]:
+    """((level, node, band, level_q), (m, w, v)): quantised coefficients of the transform with prediction, and what is reconstructed of each place's mean.
+
+    From the root down, the children's values are predicted from the reconstructed parents around (``upsampled``), both blocks are transformed, the
+    differences of their AC coefficients are quantised, and the block is rebuilt from the parent's value and the rebuilt coefficients. A level is a few joins of its blocks.
+    """
+    blocks = staged(raht_blocks(df, [3 * k for k in range(depth)], value), "blocks")
+    scaled = lambda c: E.attribute_quantised(F.round(c * 256).cast("bigint"), qp)
+    step = E.ATTRIBUTE_STEPS[max(qp, 4) % 6] * (1 << max(qp, 4) // 6) / 256.0
+    coded, known = None, None
+    for k in range(depth - 1, -1, -1):
+        here = blocks.filter(F.col("level") == 3 * k)
+        real = transform_blocks(here)
+        rows = here.select("node", *(f"w{i}" for i in range(8))).join(real.drop("level"), "node")
+        if known is None:
+            root = rows.select(F.lit(3 * k).alias("level"), "node", F.lit(0).alias("band"), scaled(F.col("c0")).alias("q"))
+            coded = root
+            known = rows.select("node", (scaled(F.col("c0")) * step / F.sqrt("w")).alias("v"))
+        if predict:
+            guess = here.select("level", "node", *(f"w{i}" for i in range(8))).join(upsampled(known), "node").select("level", "node", *(f"w{i}" for i in range(8)), *((F.col(f"p{i}") * F.col(f"w{i}")).alias(f"s{i}") for i in range(8)))
+            rows = rows.join(transform_blocks(guess).select("node", *(F.col(f"c{i}").alias(f"g{i}") for i in range(1, 8))), "node")
+        else:
+            rows = rows.withColumns({f"g{i}": F.lit(0.0) for i in range(1, 8)})
+        rows = staged(rows.join(known, "node").select("node", "w", "v", *(f"w{i}" for i in range(8)), *(f"g{i}" for i in range(1, 8)), *(scaled(F.col(f"c{i}") - F.coalesce(F.col(f"g{i}"), F.lit(0.0))).alias(f"q{i}") for i in range(1, 8))), "coded")
+        each = rows.select("node", F.explode(F.array(*(F.struct(F.lit(i).alias("band"), F.col(f"q{i}").alias("q")) for i in range(1, 8)))).alias("e")).select(F.lit(3 * k).alias("level"), "node", "e.*").filter("q is not null")
+        coded = coded.unionByName(each)
+        rebuilt = {f"c{i}": F.when(F.col(f"q{i}").isNotNull(), F.coalesce(F.col(f"g{i}"), F.lit(0.0)) + F.col(f"q{i}") * step) for i in range(1, 8)} | {"c0": F.col("v") * F.sqrt("w")}
+        below = _children(rows.withColumns(rebuilt))
+        known = staged(below.select("node", "w", (F.col("c0") / F.sqrt("w")).alias("v")), "rebuilt")
+        leaves = known
+        known = known.select("node", "v")
+    return coded, leaves.select(F.col("node").alias("m"), "w", "v")
+
+
+def raht_attributes(df: DataFrame, attributes: list[str], depth: int, qp: int, high: int = 255) -> DataFrame:
+    """(m, attributes): several attributes through ``raht_predicted``, each rounded and kept within 0 and ``high``, a row for each place."""
+    out = None
+    for a in attributes:
+        v = raht_predicted(df, a, depth, qp)[1].select("m", E.clip(F.round("v"), 0, high).cast("int").alias(a))
+        out = v if out is None else out.join(v, "m")
+    return out
+
+
+def zeroed(coefficients: DataFrame, key: str, qp: int) -> DataFrame:
+    """(key, place, q): levels of ``coefficients`` (key, place, coefficient) in order of place, those dropped that cost more bits than they save error.
+
+    The cost of a level depends on the run of zeros before it, so each key (a slice) is one task's stream; the rate is in bits, the
+    error in squares of coefficients, and a bit is worth 25 squared steps.
+    """
+
+    def run(keys: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(batches).sort_by("place")
+        c, q = np.round(t["c"].to_numpy()).astype(np.int64), t["q"].to_numpy().copy()
+        zeros = 0
+        for i in range(len(q)):
+            if 0 < abs(q[i]) < 3 and int(c[i]) ** 2 << 26 < step * step * 25 * zero_rate(zeros, abs(int(q[i]))):
+                q[i] = 0
+            zeros = zeros + 1 if q[i] == 0 else 0
+        yield pa.record_batch([pa.array([keys[0].as_py()] * len(q), pa.string()), t["place"].combine_chunks(), pa.array(q)], ["key", "place", "q"])
+
+    step = E.ATTRIBUTE_STEPS[max(qp, 4) % 6] << max(qp, 4) // 6
+    level = E.attribute_quantised(F.round(F.col("coefficient")).cast("bigint") * 256, qp)
+    rows = coefficients.select(F.col(key).cast("string").alias("key"), F.col("place").cast("long").alias("place"), F.col("coefficient").cast("double").alias("c"), level.alias("q"))
+    return rows.groupBy("key").applyInArrow(run, "key string, place long, q long")
+
+
+#: Bits of a run of up to ten zeros.
+RUN_BITS = (1, 2, 3, 5, 5, 7, 7, 9, 9, 11, 11)
+
+
+def zero_rate(zeros: int, level: int) -> int:
+    """Bits of a level behind ``zeros`` zeros: of the run, in growing groups from eleven on, and the binary logarithm of one more than the level."""
+    rate = RUN_BITS[min(zeros, 10)]
+    if zeros > 10:
+        rate += 2 * (zeros - 10).bit_length() + 1
+    return rate + (round(256 * math.log2(1 + min(level, 15))) + 128 >> 8)
+
+
 def joined_levels(df: DataFrame, value: str, levels: Sequence[int], frame: str = "frame") -> DataFrame:
     """(frame, level, node, w, v, ref_w, ref_v): nodes that a frame shares with the one before it, at each level, with the weights and sums of both."""
     rolled = df.groupBy(frame, F.shiftright(E.morton(*AXES), min(levels)).alias("m")).agg(F.count(F.lit(1)).alias("w"), F.sum(value).alias("v"))
@@ -150,3 +265,17 @@ def joined_levels(df: DataFrame, value: str, levels: Sequence[int], frame: str =
     nodes = each.groupBy(frame, "level", F.expr(f"shiftright(m, level - {min(levels)})").alias("node")).agg(F.sum("w").alias("w"), F.sum("v").alias("v"))
     before = nodes.select((F.col(frame) + 1).alias(frame), "level", "node", F.col("w").alias("ref_w"), F.col("v").alias("ref_v"))
     return nodes.join(before, [frame, "level", "node"])
+
+
+def sibling_patterns(nodes: DataFrame) -> DataFrame:
+    """(level, nx, ny, nz, child, pattern): for each child of nodes with an occupancy byte, which of its six face neighbours are siblings there: two bits an axis, x lowest."""
+    bits = F.filter(F.sequence(F.lit(0), F.lit(7)), lambda i: F.call_function("shiftright", F.col("occupancy"), i).bitwiseAND(1) == 1)
+    each = nodes.select("level", "nx", "ny", "nz", "occupancy", F.explode(bits).alias("child"))
+    pattern = None
+    for axis, bit in enumerate((4, 2, 1)):
+        there = F.call_function("shiftright", F.col("occupancy"), F.col("child").bitwiseXOR(F.lit(bit))).bitwiseAND(1)
+        own = F.shiftright("child", 2 - axis).bitwiseAND(1)
+        place = 2 * axis + (own if axis == 0 else 1 - own)
+        part = F.call_function("shiftleft", there, place)
+        pattern = part if pattern is None else pattern.bitwiseOR(part)
+    return each.select("level", "nx", "ny", "nz", "child", pattern.cast("int").alias("pattern"))

@@ -192,3 +192,21 @@ def node_neighbours(df: DataFrame, bits: int) -> DataFrame:
     # a node that is there lends its bit to the neighbour that looks at it
     each = seen_by.unionByName(nodes.withColumn("bit", F.lit(0))).groupBy(*(f"n{a}" for a in AXES)).agg(F.bit_or("bit").alias("mask"), F.max((F.col("bit") == 0).cast("int")).alias("own"))
     return each.filter("own = 1").select("nx", "ny", "nz", "mask")
+
+
+def near_nodes(df: DataFrame, bits: int, steps: list[tuple[int, int, int]]) -> DataFrame:
+    """(nx, ny, nz, found): occupied nodes with a bit for each of ``steps`` that leads to an occupied node. Every node tells those that look at it, so it is one aggregate."""
+    nodes = df.select(*(F.shiftright(F.col(a), bits).alias(f"n{a}") for a in AXES)).distinct()
+    looks = F.array(*(F.struct(*(F.lit(v).alias(f"d{a}") for v, a in zip(s, AXES, strict=True)), F.lit(1 << i).alias("bit")) for i, s in enumerate(sorted(steps))))
+    told = nodes.select(*(f"n{a}" for a in AXES), F.explode(looks).alias("l")).select(*((F.col(f"n{a}") - F.col(f"l.d{a}")).alias(f"n{a}") for a in AXES), F.col("l.bit").alias("bit"))
+    both = told.withColumn("own", F.lit(0)).unionByName(nodes.withColumn("bit", F.lit(0)).withColumn("own", F.lit(1)))
+    return both.groupBy(*(f"n{a}" for a in AXES)).agg(F.bit_or("bit").alias("found"), F.max("own").alias("own")).filter("own = 1").select("nx", "ny", "nz", "found")
+
+
+def touching_children(nodes: DataFrame) -> DataFrame:
+    """(nx, ny, nz, nodes, touching) of nodes with an occupancy byte: a bit for each face whose neighbour is there, and for each whose neighbour has a child at that face."""
+    steps = [((1, 0, 0), 15), ((-1, 0, 0), 240), ((0, 1, 0), 51), ((0, -1, 0), 204), ((0, 0, 1), 85), ((0, 0, -1), 170)]
+    looks = F.array(*(F.struct(*(F.lit(v).alias(f"d{a}") for v, a in zip(s, AXES, strict=True)), F.lit(1 << i).alias("bit"), F.lit(face).alias("face")) for i, (s, face) in enumerate(steps)))
+    told = nodes.select(*(f"n{a}" for a in AXES), "occupancy", F.explode(looks).alias("l")).select(*((F.col(f"n{a}") - F.col(f"l.d{a}")).alias(f"n{a}") for a in AXES), F.col("l.bit").alias("there"), F.when(F.col("occupancy").bitwiseAND(F.col("l.face")) > 0, F.col("l.bit")).otherwise(0).alias("near"), F.lit(0).alias("own"))
+    own = nodes.select(*(f"n{a}" for a in AXES), F.lit(0).alias("there"), F.lit(0).alias("near"), F.lit(1).alias("own"))
+    return told.unionByName(own).groupBy(*(f"n{a}" for a in AXES)).agg(F.bit_or("there").alias("nodes"), F.bit_or("near").alias("touching"), F.max("own").alias("own")).filter("own = 1").drop("own")

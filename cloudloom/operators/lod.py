@@ -150,7 +150,27 @@ def distance_sample(df: DataFrame, slice_col: str, bits: int) -> DataFrame:
     return rows.groupBy("slice").applyInArrow(greedy, "slice string, idx long")
 
 
-def same_layer_mean(df: DataFrame, key: str, value: str) -> DataFrame:
-    """Rows with the mean of the three rows before them in each key, and the residual."""
-    w = Window.partitionBy(key).orderBy("idx").rowsBetween(-3, -1)
-    return df.withColumn("predicted", F.floor(F.coalesce(F.avg(value).over(w), F.lit(0.0))).cast("int")).withColumn("residual", F.col(value) - F.col("predicted"))
+def sampled(df: DataFrame, method: str, **options) -> DataFrame:
+    """(idx): the points that one level of a method keeps: ``distance`` (greedy, by slice), ``period`` (every n-th in Morton order), or ``centroid`` (one a cell)."""
+    if method == "distance":
+        return distance_sample(df, options["slice_col"], options["bits"]).select("idx")
+    if method == "period":
+        return levels(df, options["period"], 2).filter("lod = 0").select("idx")
+    if method == "centroid":
+        return centroid_sample(df, options["bits"]).select("idx")
+    raise ValueError(f"no sampling method {method}")
+
+
+class LevelCache:
+    """Levels of a cloud that were built lately, by the cloud's name and the parameters they were built with: equal ones are read again, not built."""
+
+    def __init__(self, most: int = 8):
+        self.most, self.held = most, {}
+
+    def levels(self, name: str, df: DataFrame, period: int = 4, most_levels: int = 12) -> DataFrame:
+        key = (name, period, most_levels)
+        if key not in self.held:
+            if len(self.held) >= self.most:
+                self.held.pop(next(iter(self.held)))
+            self.held[key] = staged(levels(df, period, most_levels), "levels")
+        return self.held[key]

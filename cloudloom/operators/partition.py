@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +22,12 @@ def tile_inventory(df: DataFrame, size: int) -> DataFrame:
     return df.groupBy(*keys).agg(*aggs, *(F.min(a).alias(f"min_{a}") for a in AXES), *((F.max(a) - F.min(a) + 1).alias(f"size_{a}") for a in AXES))
 
 
+def tile_counts(df: DataFrame, size: int) -> DataFrame:
+    """(tile_id, n) of each tile, numbered in Morton order: rows become counts first, and only the tiles are ranked."""
+    counts = staged(df.groupBy(E.morton(*(E.idiv(F.col(a), size) for a in AXES)).alias("__m")).agg(F.count(F.lit(1)).alias("n")), "tiles")
+    return sorted_place(counts, ["__m"]).select(F.col("place").alias("tile_id"), "n")
+
+
 def _numbered(df: DataFrame, keys: list[str], name: str) -> DataFrame:
     """``df`` with the place of each row's key among the distinct keys, in their order.
 
@@ -144,10 +154,105 @@ def uniform_slices(df: DataFrame, most: int, most_rounds: int = 20) -> DataFrame
     return keyed
 
 
-def split_slices(df: DataFrame, key: str, axis: str, most: int) -> DataFrame:
-    """Slices over ``most`` points cut into even runs of their order along ``axis`` (ties by idx): ``part`` numbers them."""
-    sizes = df.groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
-    w = Window.partitionBy(key).orderBy(axis, "idx")
-    ranked = df.join(sizes, key).withColumn("__r", F.row_number().over(w) - 1)
+def split_slices(df: DataFrame, key: str, axis: str | None, most: int) -> DataFrame:
+    """Slices over ``most`` points cut into even runs of their order along ``axis``, or the slice's own longest axis for None (ties by idx): ``part`` numbers them."""
+    extent = [(F.max(a) - F.min(a)).alias(f"__e{a}") for a in AXES] if axis is None else []
+    sizes = df.groupBy(key).agg(F.count(F.lit(1)).alias("__n"), *extent)
+    rows = df.join(sizes, key)
+    if axis is None:
+        ex, ey, ez = (F.col(f"__e{a}") for a in AXES)
+        rows = rows.withColumn("__v", F.when((ex >= ey) & (ex >= ez), F.col("x")).when(ey >= ez, F.col("y")).otherwise(F.col("z")))
+    w = Window.partitionBy(key).orderBy("__v" if axis is None else axis, "idx")
+    ranked = rows.withColumn("__r", F.row_number().over(w) - 1)
     pieces = F.ceil(F.col("__n") / most)
-    return ranked.withColumn("part", F.floor(F.col("__r") * pieces / F.col("__n")).cast("int")).drop("__n", "__r")
+    return ranked.withColumn("part", F.floor(F.col("__r") * pieces / F.col("__n")).cast("int")).select(*df.columns, "part")
+
+
+def merged_cells(sizes: DataFrame, most: int) -> DataFrame:
+    """(tile, gx, gy, gz, head) for a table (tile, gx, gy, gz, n) of the cells of a grid in each tile: neighbours joined while together they have fewer than ``most`` points.
+
+    The smallest group is taken first, ties by its first cell; it joins the group that holds one of the six cells around its mean cell, the
+    one whose cell is nearest to its mean, the last of equal ones; the result goes on as a group of its new size. A group that finds no partner is done.
+    ``head`` is its first cell. A tile's cells are a small table and one task's work, as each step depends on the one before.
+    """
+
+    def run(keys: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(batches).sort_by([("gx", "ascending"), ("gy", "ascending"), ("gz", "ascending")])
+        cells = list(zip(*(t[c].to_pylist() for c in ("gx", "gy", "gz")), strict=True))
+        groups = {c: ([c], n) for c, n in zip(cells, t["n"].to_pylist(), strict=True)}
+        owner = {c: c for c in cells}
+        waiting = [(n, c) for c, (_, n) in groups.items()]
+        heapq.heapify(waiting)
+        while waiting:
+            n, head = heapq.heappop(waiting)
+            if head not in groups or groups[head][1] != n:
+                continue
+            own = groups[head][0]
+            mean = tuple(sum(c[i] for c in own) / len(own) for i in range(3))
+            at, best = tuple(int(m) for m in mean), None
+            for axis in range(3):
+                for step in (-1, 1):
+                    near = tuple(v + step * (i == axis) for i, v in enumerate(at))
+                    other = owner.get(near)
+                    if other is None or other == head or groups[other][1] + n >= most:
+                        continue
+                    away = sum((a - b) ** 2 for a, b in zip(mean, near, strict=True))
+                    if best is None or away <= best[0]:
+                        best = (away, other)
+            if best is None:
+                continue
+            joined = own + groups[best[1]][0]
+            total, first = n + groups[best[1]][1], min(joined)
+            del groups[head], groups[best[1]]
+            groups[first] = (joined, total)
+            owner.update(dict.fromkeys(joined, first))
+            heapq.heappush(waiting, (total, first))
+        order = {h: i for i, h in enumerate(sorted(groups))}
+        yield pa.record_batch([pa.array([keys[0].as_py()] * len(cells), pa.int64()), *(pa.array([c[i] for c in cells], pa.int64()) for i in range(3)), pa.array([order[owner[c]] for c in cells], pa.int64())], ["tile", "gx", "gy", "gz", "head"])
+
+    rows = sizes.select(*(F.col(c).cast("long").alias(c) for c in ("tile", "gx", "gy", "gz", "n")))
+    return rows.groupBy("tile").applyInArrow(run, "tile long, gx long, gy long, gz long, head long")
+
+
+def refined_slices(df: DataFrame, size: tuple[int, int, int], most: int, tile: str | None = None) -> DataFrame:
+    """``df`` (idx, x, y, z, and ``tile``) with ``slice_id``: cells of a grid, those over ``most`` points split along their longest axis, the others joined with small neighbours, and all numbered anew within their tile, joined ones first."""
+    cell = [F.floor(F.col(a) / s).cast("long").alias(f"g{a}") for a, s in zip(AXES, size, strict=True)]
+    g = ["tile", "gx", "gy", "gz"]
+    rows = df.select("*", (F.col(tile) if tile else F.lit(0)).cast("long").alias("tile"), *cell) if tile != "tile" else df.select(*df.columns, *cell)
+    sizes = staged(rows.groupBy(*g).agg(F.count(F.lit(1)).alias("n")), "cells")
+    joined = merged_cells(sizes.filter(F.col("n") <= most), most)
+    heads = joined.groupBy("tile").agg((F.max("head") + 1).alias("__first"))
+    # split cells come behind the joined ones, in the order of their cells
+    w = Window.partitionBy("tile").orderBy("gx", "gy", "gz").rowsBetween(Window.unboundedPreceding, -1)  # a row for each cell that is too large
+    large = sizes.filter(F.col("n") > most).withColumn("__pieces", F.ceil(F.col("n") / most))
+    large = large.withColumn("__before", F.coalesce(F.sum("__pieces").over(w), F.lit(0))).join(heads, "tile", "left").select(*g, (F.coalesce("__first", F.lit(0)) + F.col("__before")).alias("__base"))
+    small_rows = rows.join(joined, g).select(*df.columns, F.col("head").cast("long").alias("slice_id"))
+    cut = split_slices(rows.join(large, g).withColumn("__cell", F.struct(*g)), "__cell", None, most)
+    return small_rows.unionByName(cut.select(*df.columns, (F.col("__base") + F.col("part")).cast("long").alias("slice_id")))
+
+
+def least_origin(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """The smaller origin of two tables (key, min_x, min_y, min_z), axis by axis."""
+    other = b.select(key, *(F.col(f"min_{x}").alias(f"__{x}") for x in AXES))
+    return a.join(other, key).select(key, *(F.least(f"min_{x}", f"__{x}").alias(f"min_{x}") for x in AXES))
+
+
+def box_hierarchy(df: DataFrame, bucket: int = 32, levels: int = 3) -> DataFrame:
+    """(level, bucket, n, min_x .. max_z): boxes of ``bucket`` rows in Morton order, of ``bucket`` such boxes, and so on, each level rolled up from the one below."""
+    placed = sorted_place(df.select("idx", *AXES, E.morton(*AXES).alias("__m")), ["__m", "idx"])
+    ends = [(f, n, a) for a in AXES for f, n in ((F.min, "min"), (F.max, "max"))]
+    here = placed.groupBy(F.floor(F.col("place") / bucket).alias("bucket")).agg(F.count(F.lit(1)).alias("n"), *(f(a).alias(f"{n}_{a}") for f, n, a in ends))
+    out = None
+    for level in range(levels):
+        if level:
+            here = here.groupBy(F.floor(F.col("bucket") / bucket).alias("bucket")).agg(F.sum("n").alias("n"), *(f(f"{n}_{a}").alias(f"{n}_{a}") for f, n, a in ends))
+        here = staged(here, "boxes")
+        rows = here.withColumn("level", F.lit(level))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def occupied(df: DataFrame, column: str, slices: int) -> DataFrame:
+    """(column, n) of the slices 0 to ``slices`` - 1 that have points: those that a table of all slices would show as empty are dropped."""
+    every = df.sparkSession.range(slices).select(F.col("id").cast("int").alias(column))
+    return every.join(df.groupBy(column).agg(F.count(F.lit(1)).alias("n")), column, "left").filter("n > 0")

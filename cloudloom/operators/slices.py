@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cloudloom.functions import exprs as E
+from cloudloom.operators.partition import sorted_place
 
 AXES = E.AXES
 
@@ -32,22 +33,19 @@ def node_duplicates(df: DataFrame, bits: int) -> DataFrame:
 
 
 def tree_order(df: DataFrame, bits: int) -> DataFrame:
-    """(idx, place): points of nodes with at most two rows first, then the rest in address order; within a node, by idx."""
+    """(idx, direct, place): the first row of every position, those of nodes with at most two rows (coded directly) before the rest, both in address order."""
     node = E.morton(*(F.shiftright(a, bits) for a in AXES))
-    rows = df.select("idx", node.alias("node"))
-    few = rows.groupBy("node").agg((F.count(F.lit(1)) <= 2).alias("direct"))
-    return rows.join(few, "node").select("idx", "direct", "node")
+    first = df.groupBy(*AXES).agg(F.min("idx").alias("idx"), F.count(F.lit(1)).alias("n")).select("idx", node.alias("node"), E.morton(*AXES).alias("address"), "n")
+    few = first.groupBy("node").agg((F.sum("n") <= 2).alias("direct"))
+    rows = first.join(few, "node").select("idx", "direct", "address", (~F.col("direct")).cast("int").alias("late"))
+    return sorted_place(rows, ["late", "address"]).select("idx", "direct", "place")
 
 
-def propagated_weights(edges: DataFrame, own: int = 256) -> DataFrame:
-    """(s, weight): what one level of points, each worth ``own``, passes to its neighbours by their weights in 8 bits."""
-    return edges.groupBy("s").agg((F.sum(E.shift_half_away(F.col("weight") * own, 8)) + own).alias("weight"))
-
-
-def compensate_z(df: DataFrame, lasers: list[tuple[int, int, int]], tolerance: int) -> DataFrame:
-    """``df`` with z moved to the plane of its laser where it lies within ``tolerance`` of it; ``lasers``: (laser, tangent in 1/1024, height)."""
-    plane = F.lit(None).cast("bigint")
+def compensate_z(df: DataFrame, lasers: list[tuple[int, int]], tolerance: int) -> DataFrame:
+    """``df`` with ``laser``, the one whose plane is nearest to the point (the first of equal ones), and z moved to that plane where it lies within ``tolerance``; ``lasers``: (tangent in 1/1024, height)."""
     r = F.floor(F.sqrt(F.col("x").cast("double") * F.col("x") + F.col("y").cast("double") * F.col("y")))
-    for laser, tangent, height in lasers:
-        plane = F.when(F.col("laser") == laser, F.shiftright(r * tangent + 512, 10) + height).otherwise(plane)
-    return df.withColumn("z", F.when(F.abs(F.col("z") - plane) <= tolerance, plane).otherwise(F.col("z")).cast("int"))
+    rows = df.withColumn("__r", r)
+    planes = F.array(*((F.shiftright(F.col("__r") * tangent + 512, 10) + height) for tangent, height in lasers))
+    near = F.array_min(F.transform(planes, lambda p, i: F.struct(F.abs(F.col("z") - p).alias("d"), i.alias("laser"), p.alias("plane"))))
+    rows = rows.withColumn("__near", near)
+    return rows.select(*(c for c in df.columns if c not in ("z", "laser")), F.col("__near.laser").alias("laser"), F.when(F.col("__near.d") <= tolerance, F.col("__near.plane")).otherwise(F.col("z")).cast("int").alias("z"))

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass, fields
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 METHODS = ("none", "uniform", "square", "octree", "points")
 
 
@@ -45,3 +48,25 @@ class Options:
         if unknown := sorted(set(merged) - set(kinds)):
             raise ValueError(f"unknown option {unknown[0]}")
         return cls(**{k: kinds[k](v) for k, v in merged.items()})
+
+
+def resolved(layers: DataFrame) -> DataFrame:
+    """(run, name, value): the value of each option of a run from a table (run, layer, name, value) of layers; the last layer that names it wins."""
+    return layers.groupBy("run", "name").agg(F.max_by("value", "layer").alias("value"))
+
+
+def checked(options: DataFrame) -> DataFrame:
+    """(run, fault): the first constraint that each run's options break, null where all hold; ``options`` is (run, name, value) with defaults for what is not named."""
+    pivot = options.groupBy("run").agg(*(F.max(F.when(F.col("name") == f.name, F.col("value"))).alias(f.name) for f in fields(Options)))
+    value = lambda name, kind: F.coalesce(F.col(name).cast(kind), F.lit(next(f.default for f in fields(Options) if f.name == name)))
+    least, most = value("slice_min_points", "bigint"), value("slice_max_points", "bigint")
+    rules = [
+        ("position_scale", value("position_scale", "double") <= 0),
+        ("partition", ~value("partition", "string").isin(*METHODS)),
+        ("slice_min_points", (least <= 0) | (least > most)),
+        ("neighbours", ~value("neighbours", "int").between(1, 3)),
+        ("axis_order", ~value("axis_order", "int").between(0, 7)),
+        ("periods", F.least(value("lod_period", "int"), value("lod_levels", "int"), value("random_access_period", "int")) < 1),
+        ("sizes", F.least(value("tile_size", "int"), value("octree_bits", "int")) < 0),
+    ]
+    return pivot.select("run", F.coalesce(*(F.when(broken, F.lit(name)) for name, broken in rules)).alias("fault"))

@@ -195,7 +195,7 @@ TILE_MORTON = sql_morton("x // 256", "y // 256", "z // 256")
 
 @query(P + f", t AS (SELECT DISTINCT {TILE_MORTON} AS m FROM pts), r AS (SELECT m, row_number() OVER (ORDER BY m) - 1 AS tile_id FROM t) SELECT tile_id, count(*) AS n FROM (SELECT {TILE_MORTON} AS m FROM pts) JOIN r USING (m) GROUP BY 1")
 def win01_prt01_morton_tiles(s, d):
-    return partition.morton_tiles(points(s, d, "x", "y", "z"), 256).groupBy("tile_id").agg(F.count(F.lit(1)).alias("n"))
+    return partition.tile_counts(points(s, d, "x", "y", "z"), 256)
 
 
 @query(P + ", k AS (SELECT x >> 7 AS a, y >> 7 AS b, z >> 7 AS c FROM pts), r AS (SELECT a, b, c, row_number() OVER (ORDER BY a, b, c) - 1 AS slice_id FROM (SELECT DISTINCT * FROM k)) SELECT slice_id, count(*) AS n FROM k JOIN r USING (a, b, c) GROUP BY 1")
@@ -327,11 +327,6 @@ def set02_merge_frames(s, d):
     return frames(s, d).select("idx", E.idiv(F.col("frame"), 4).alias("out_frame"), (F.col("frame") % 4).alias("frameindex"), "x", "y", "z")
 
 
-@query(FR + "SELECT idx, frame, x, y, z FROM frames")
-def set03_split_frames(s, d):
-    merged = set02_merge_frames(s, d)
-    return merged.select("idx", (F.col("out_frame") * 4 + F.col("frameindex")).cast("int").alias("frame"), "x", "y", "z")
-
 
 @query(FR + ", o AS (SELECT frame, slice, min(x) AS ox, min(y) AS oy, min(z) AS oz FROM frames GROUP BY 1, 2) SELECT idx, f.frame, x, y, z FROM frames f JOIN o USING (frame, slice)")
 def set04_accumulate_slices(s, d):

@@ -4,14 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cloudloom.operators import lod, partition, slices
-from cloudloom.operators.joins import knn_join
-from cloudloom.queries.projections import sql_morton
+from cloudloom.operators import partition, slices
 from cloudloom.queries.registry import query
-from cloudloom.queries.spatial import SQL_HALVES, SQL_W, halves
-from cloudloom.sources.clouds import SQL_FRAMES, SQL_INDEXED, SQL_SMALL, frames, indexed_points
+from cloudloom.sources.clouds import SQL_FRAMES, SQL_INDEXED, frames, indexed_points
 
-I, FR, S3 = f"WITH {SQL_INDEXED} ", f"WITH {SQL_FRAMES} ", f"WITH {SQL_SMALL} "
+I, FR = f"WITH {SQL_INDEXED} ", f"WITH {SQL_FRAMES} "
 
 
 def _near(axis: str, size: int, halo: int) -> str:
@@ -40,12 +37,6 @@ def flt07_node_duplicates(s, d):
     return slices.node_duplicates(p, 2).select("idx", "duplicate")
 
 
-@query(I + f", n AS (SELECT idx, {sql_morton('x >> 6', 'y >> 6', 'z >> 6')} AS node FROM pts), c AS (SELECT node, count(*) <= 2 AS direct FROM n GROUP BY 1) SELECT idx, direct, node FROM n JOIN c USING (node)")
-def oct10_output_order(s, d):
-    return slices.tree_order(indexed_points(s, d, "x", "y", "z"), 6)
-
-
-
 @query(I + "SELECT x & ~63 AS x, y & ~63 AS y, z & ~63 AS z, least((x & ~63) + 63, 1000) AS hx, least((y & ~63) + 63, 1500) AS hy, least((z & ~63) + 63, 2000) AS hz FROM pts")
 def tri07_clipped_nodes(s, d):
     p = indexed_points(s, d, "x", "y", "z")
@@ -53,15 +44,11 @@ def tri07_clipped_nodes(s, d):
     return p.select(*(v.alias(a) for a, v in low.items()), *(F.least(v + 63, F.lit(m)).alias(f"h{a}") for (a, v), m in zip(low.items(), (1000, 1500, 2000), strict=True)))
 
 
-@query(I + ", r AS (SELECT idx, z, CASE laser WHEN 0 THEN ((CAST(floor(sqrt(CAST(x AS DOUBLE)*x + CAST(y AS DOUBLE)*y)) AS BIGINT) * 300 + 512) >> 10) + 10 WHEN 3 THEN ((CAST(floor(sqrt(CAST(x AS DOUBLE)*x + CAST(y AS DOUBLE)*y)) AS BIGINT) * 900 + 512) >> 10) - 20 END AS plane FROM pts) SELECT idx, CAST(CASE WHEN abs(z - plane) <= 40 THEN plane ELSE z END AS INT) AS z FROM r")
-def prj28_laser_compensation(s, d):
-    return slices.compensate_z(indexed_points(s, d, "x", "y", "z", "laser"), [(0, 300, 10), (3, 900, -20)], 40).select("idx", "z")
+LASERS = [(0, 0), (150, 10), (300, 10), (600, -5), (900, -20), (1400, 7)]
+_R = "CAST(floor(sqrt(CAST(x AS DOUBLE)*x + CAST(y AS DOUBLE)*y)) AS BIGINT)"
+_PLANES = ", ".join(f"row(abs(z - ((({_R} * {t} + 512) >> 10) + {h})), {i}, (({_R} * {t} + 512) >> 10) + {h})" for i, (t, h) in enumerate(LASERS))
 
 
-@query(S3 + f", {SQL_HALVES}, {SQL_W}, ff AS (SELECT t AS idx, cnt, CASE cnt WHEN 3 THEN (r3*a*c) >> (n3+8) WHEN 2 THEN (r2*a) >> (n2+8) ELSE 0 END AS w1, CASE cnt WHEN 3 THEN (r3*a*b) >> (n3+8) ELSE 0 END AS w2 FROM r), gg AS (SELECT s, CASE rank WHEN 1 THEN 256 - w1 - w2 WHEN 2 THEN w1 ELSE w2 END AS w FROM e JOIN ff ON ff.idx = e.t AND rank <= cnt) SELECT s, CAST(sum(w) + 256 AS BIGINT) AS weight FROM gg GROUP BY 1")
-def agg16_quantisation_weights(s, d):
-    t, src = halves(s, d)
-    near = knn_join(t, src, 3)
-    w = lod.predictor_weights(near)
-    each = near.join(w, near.t == w.idx).filter(F.col("rank") <= F.col("n"))
-    return slices.propagated_weights(each.select("s", F.when(F.col("rank") == 1, F.col("w0")).when(F.col("rank") == 2, F.col("w1")).otherwise(F.col("w2")).alias("weight")))
+@query(I + f", n AS (SELECT idx, z, list_min([{_PLANES}]) AS m FROM pts) SELECT idx, CAST(m[2] AS INT) AS laser, CAST(CASE WHEN m[1] <= 40 THEN m[3] ELSE z END AS INT) AS z FROM n")
+def prj28_laser_compensation(s, d):
+    return slices.compensate_z(indexed_points(s, d, "x", "y", "z"), LASERS, 40).select("idx", "laser", "z")

@@ -152,7 +152,7 @@ SQL_FACES = ", n AS (SELECT DISTINCT x >> 6 AS nx, y >> 6 AS ny, z >> 6 AS nz FR
 
 
 @query(P + SQL_FACES + ", m AS (SELECT n.nx, n.ny, n.nz, sum(CASE WHEN o.nx IS NULL THEN 0 ELSE bit END) AS mask FROM n CROSS JOIN s LEFT JOIN n o ON o.nx = n.nx + dx AND o.ny = n.ny + dy AND o.nz = n.nz + dz GROUP BY 1, 2, 3) SELECT nx, ny, nz, CAST(mask AS INT) AS mask FROM m")
-def jn14_jn15_jn19_face_neighbours(s, d):
+def jn19_face_neighbours(s, d):
     return joins.node_neighbours(points(s, d, "x", "y", "z"), 6)
 
 
@@ -168,12 +168,6 @@ def flt09_prune_far_neighbours(s, d):
     return joins.knn_join(t, src, 3).filter("rank = 1 or d2 <= 2500")
 
 
-@query(FR + ", m AS (SELECT frame, avg(x) AS ax, max(x)-min(x)+1 AS w FROM frames GROUP BY 1) SELECT a.frame, abs(a.ax - b.ax) < 0.1::DOUBLE * a.w AS eligible FROM m a JOIN m b ON b.frame = a.frame - 1")
-def flt10_pair_eligibility(s, d):
-    m = frames(s, d).groupBy("frame").agg(F.avg("x").alias("ax"), (F.max("x") - F.min("x") + 1).alias("w"))
-    b = m.select((F.col("frame") + 1).alias("frame"), F.col("ax").alias("bx"))
-    return m.join(b, "frame").select("frame", (F.abs(F.col("ax") - F.col("bx")) < 0.1 * F.col("w")).alias("eligible"))
-
 
 @query(S3 + f", {SQL_HALVES}, e AS ({sql_knn('tgt', 'src', 3)}) SELECT t, max(c0)-min(c0) AS spread, max(c0)-min(c0) >= 64 AS eligible FROM e JOIN src ON src.idx = e.s GROUP BY 1")
 def flt11_mode_eligibility(s, d):
@@ -266,12 +260,12 @@ def _small_cloud(s, d):
 
 @query()
 def lod09_lod10_lifting_coefficients(s, d):
-    return lod.lifting(_small_cloud(s, d), "v", most_levels=4)[0]
+    return lod.lifting(_small_cloud(s, d), "v", most_levels=6)[0]
 
 
 @query(S3 + "SELECT idx, CAST(label*25 AS BIGINT) AS value FROM emb3")
 def lod09_lod10_lifting_round_trip(s, d):
-    return lod.inverse_lifting(*lod.lifting(_small_cloud(s, d), "v", most_levels=4)).select("idx", "value")
+    return lod.inverse_lifting(*lod.lifting(_small_cloud(s, d), "v", most_levels=6)).select("idx", "value")
 
 
 @query(I + f", m AS (SELECT idx, row_number() OVER (ORDER BY {sql_morton('x', 'y', 'z')}, idx) - 1 AS place FROM pts) SELECT 5 - " + " - ".join(f"CAST(place % {4**k} = 0 AS INT)" for k in range(1, 6)) + " AS lod, count(*) AS n FROM m GROUP BY 1")
@@ -284,10 +278,6 @@ def lod03_distance_sample(s, d):
     return lod.distance_sample(frames(s, d), "frame", 3)
 
 
-@query(FR + "SELECT idx, refl - p AS residual FROM (SELECT idx, refl, CAST(floor(coalesce(avg(refl) OVER (PARTITION BY slice ORDER BY idx ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), 0)) AS INT) AS p FROM frames)")
-def lod13_residuals(s, d):
-    return lod.same_layer_mean(frames(s, d), "slice", "refl").select("idx", "residual")
-
 
 @query(P + f"SELECT {sql_morton('x >> 3', 'y >> 3', 'z >> 3')} AS morton, count(*) AS weight, CAST(sum(refl) AS BIGINT) AS value FROM pts GROUP BY 1")
 def raht01_merge_equal(s, d):
@@ -324,19 +314,14 @@ def raht06_blocks(s, d):
     return hierarchy.raht_blocks(_halved(s, d), [0, 3, 6], "refl")
 
 
-SQL_ENERGY = f", b AS (SELECT {sql_morton('x', 'y >> 1', 'z')} AS m, count(*) AS w, CAST(sum(refl) AS BIGINT) AS s FROM frames GROUP BY 1)"
-
 
-@query(FR + SQL_ENERGY + " SELECT round(sum(CAST(s AS DOUBLE)*s/w), 3) AS energy, count(*) AS coefficients FROM b")
-def raht08_raht11_transform_energy(s, d):
-    c = hierarchy.raht(_halved(s, d), "refl", 6)
-    return c.agg(F.round(F.sum(F.col("coefficient") * F.col("coefficient")), 3).alias("energy"), F.count(F.lit(1)).alias("coefficients"))
 
 
-@query(FR + SQL_ENERGY + " SELECT m, CAST(w AS DOUBLE) AS w, CAST(s AS DOUBLE) AS s FROM b")
+@query(FR + f", b AS (SELECT {sql_morton('x >> 3', 'y >> 10', 'z >> 4')} AS m, count(*) AS w, CAST(sum(refl) AS BIGINT) AS s FROM frames GROUP BY 1) SELECT m, CAST(w AS DOUBLE) AS w, CAST(s AS DOUBLE) AS s FROM b")
 def raht03_raht09_inverse_transform(s, d):
-    blocks = staged(hierarchy.raht_blocks(_halved(s, d), [3 * k for k in range(6)], "refl"), "blocks")
-    out = hierarchy.inverse_raht(blocks, staged(hierarchy.raht_of(blocks, 6), "raht"), 6)
+    df = frames(s, d).select(F.shiftright("x", 3).alias("x"), F.shiftright("y", 10).alias("y"), F.shiftright("z", 4).alias("z"), "refl")
+    blocks = staged(hierarchy.raht_blocks(df, [3 * k for k in range(8)], "refl"), "blocks")
+    out = hierarchy.inverse_raht(blocks, staged(hierarchy.raht_of(blocks, 8), "raht"), 8)
     return out.select("m", "w", F.round("s", 4).alias("s"))
 
 
@@ -376,16 +361,6 @@ def prd02_angular_tree(s, d):
     return kernels.angular_tree(indexed_points(s, d, "z", "laser"))
 
 
-@query(I + "SELECT idx, x FROM pts")
-def prd05_delta_chain_round_trip(s, d):
-    w = Window.partitionBy("laser").orderBy("idx")
-    p = indexed_points(s, d, "x", "laser").withColumn("delta", F.col("x") - F.coalesce(F.lag("x").over(w), F.lit(0)))
-    return p.select("idx", "laser", "delta").withColumn("x", F.sum("delta").over(w).cast("int")).select("idx", "x")
-
-
-@query()
-def prd01_nearest_tree(s, d):
-    return kernels.nearest_tree(frames(s, d), "frame")
 
 
 @query()

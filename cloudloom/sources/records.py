@@ -75,12 +75,23 @@ def unpack_column(packed: DataFrame, bits: int) -> DataFrame:
     return packed.select("slice", "count", "payload").mapInArrow(run, "slice string, place long, value long")
 
 
+def motion_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(path, frame, v): the words of every line of 14, numbered within their file. A file of motion has a line a frame and is one row, so no split cuts its numbering."""
+    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.posexplode(F.filter(F.transform(F.split("value", r"\r?\n"), words), lambda v: F.size(v) == 14)).alias("frame", "v"))
+    return files.select("path", F.col("frame").cast("long").alias("frame"), "v")
+
+
+def words(line: Column) -> Column:
+    """The words of a line of a header or of rows, between blanks, tabs and carriage returns."""
+    return F.split(F.regexp_replace(line, r"^[ \t\r]+|[ \t\r]+$", ""), r"[ \t\r]+")
+
+
 def read_motion(spark: SparkSession, path: str) -> DataFrame:
-    """Motion rows of text files, a line a frame of 14 numbers: nine of a matrix, three of a translation, two heights.
+    """Motion rows of a text file, a line a frame of 14 numbers: nine of a matrix, three of a translation, two heights.
 
-    The matrix is kept in 16 fractional bits, its diagonal by the distance from one.
+    The matrix is kept in 16 fractional bits, its diagonal by the distance from one. Frames are numbered from 0 within each file.
     """
-    lines = spark.read.text(path).select(F.split(F.trim("value"), r"\s+").alias("v"), F.monotonically_increasing_id().alias("frame")).filter(F.size("v") == 14)
+    lines = motion_lines(spark, path)
     n = [F.col("v")[i].cast("double") for i in range(14)]
     fixed = lambda i: F.round((n[i] - float(i % 4 == 0)) * 65536).cast("int") + (65536 if i % 4 == 0 else 0)
     return lines.select("frame", *(fixed(i).alias(f"m{i // 3}{i % 3}") for i in range(9)), *(F.round(n[9 + i]).cast("int").alias(f"t{i}") for i in range(3)), F.round(n[12]).cast("int").alias("z_top"), F.round(n[13]).cast("int").alias("z_bottom"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -67,3 +67,20 @@ def run_to_end(stream: DataFrame, name: str) -> DataFrame:
     query = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
+
+
+def run_with_sinks(stream: DataFrame, name: str, hooks: dict[str, Callable[[DataFrame], DataFrame]]) -> dict[str, DataFrame]:
+    """Runs a stream over what is there and gives each batch to every hook; what a hook makes of it is written to a sink of its own.
+
+    A batch has a folder of its number in each sink and is overwritten when it runs again, so a restart leaves every row once.
+    """
+    spark = stream.sparkSession
+    sinks = {k: scratch(spark, f"{name}-{k}") for k in hooks}
+
+    def sink(batch: DataFrame, number: int) -> None:
+        for k, hook in hooks.items():
+            hook(batch).write.mode("overwrite").parquet(f"{sinks[k]}/batch={number}")
+
+    query = stream.writeStream.foreachBatch(sink).option("checkpointLocation", scratch(spark, f"{name}-state")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return {k: spark.read.parquet(path).drop("batch") for k, path in sinks.items()}

@@ -3,7 +3,7 @@
 import pytest
 from compare import connect, difference
 
-from cloudloom.queries import aggregates, angles, projections, slicing, spatial, streams, surfaces  # noqa: F401
+from cloudloom.queries import aggregates, angles, coding, projections, slicing, spatial, streams, surfaces  # noqa: F401
 from cloudloom.queries.registry import ORACLE, QUERIES
 
 
