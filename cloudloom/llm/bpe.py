@@ -96,6 +96,17 @@ class WordTable:
         return self.join(map(self.of_chunk, _CHUNK.findall(text)))
 
 
+def require_plain(spec: dict, path: str) -> None:
+    """Refuse a tokenizer file with a setting that would change the tokens and isn't followed here."""
+    model, pre = spec["model"], spec["pre_tokenizer"] or {}
+    if model["type"] != "BPE" or pre.get("type") != "ByteLevel" or spec["normalizer"]:
+        raise ValueError(f"{path} is not a byte-level BPE vocabulary without normaliser")
+    if pre.get("add_prefix_space") or pre.get("use_regex") is False or model.get("ignore_merges") or model.get("dropout") or model.get("continuing_subword_prefix") or model.get("end_of_word_suffix"):
+        raise ValueError(f"{path} changes how words are cut or merged")
+    if any(t.get(k) for t in spec["added_tokens"] for k in ("lstrip", "rstrip", "single_word")):
+        raise ValueError(f"{path} has added tokens that take in the blanks around them or match whole words only")
+
+
 class HeapMerger:
     """Counts tokens of a byte-level BPE vocabulary without making identifiers.
 
@@ -105,11 +116,10 @@ class HeapMerger:
     O(n log n) for a chunk of n bytes however long.
     """
 
-    def __init__(self, path: str, cached: int = 500_000):
+    def __init__(self, path: str, cached: int = 150_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        if spec["model"]["type"] != "BPE" or spec["pre_tokenizer"]["type"] != "ByteLevel" or spec["normalizer"]:
-            raise ValueError(f"{path} is not a byte-level BPE vocabulary without normaliser")
+        require_plain(spec, path)
         pairs = [tuple(m) if not isinstance(m, str) else tuple(m.split(" ")) for m in spec["model"]["merges"]]
         self.rank = {pair: i for i, pair in enumerate(pairs)}
         self.letters = byte_letters()

@@ -8,10 +8,14 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,9 +59,8 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Tables that worker processes keep between tasks, by the operator that fills them.
+#: Tables that worker processes fill during a task, by the operator that fills them.
 _TABLES: dict[str, list[dict]] = {}
-_owner = ""
 
 
 def kept(owner: str, table: dict) -> dict:
@@ -66,24 +69,41 @@ def kept(owner: str, table: dict) -> dict:
     return table
 
 
-def claim(owner: str) -> None:
-    """Empty the tables of all other operators in this process: workers live on from one operator to the next, their tables needn't."""
-    global _owner
-    if owner == _owner:
-        return
-    _owner = owner
-    for name, tables in _TABLES.items():
-        if name != owner:
-            for table in tables:
-                if hasattr(table, "old"):
-                    table.old = {}
-                table.clear()
-    with contextlib.suppress(Exception):
-        import ctypes
-
+def release(owner: str) -> None:
+    """Empty the tables of ``owner`` in this process and hand the memory back."""
+    for table in _TABLES.get(owner, ()):
+        if hasattr(table, "old"):
+            table.old = {}
+        table.clear()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+@contextlib.contextmanager
+def tables(owner: str) -> Iterator[None]:
+    """A task's use of the tables of ``owner``: workers outlive their tasks, and idle ones would keep what they have filled."""
+    try:
+        yield
+    finally:
+        release(owner)
+
+
+#: Rows and bytes of a column that become Python objects at once.
+PIECE_ROWS, PIECE_BYTES = 2000, 4 << 20
+
+
+def pieces(column: pa.Array, most_rows: int = PIECE_ROWS, most_bytes: int = PIECE_BYTES) -> Iterator[tuple[int, list]]:
+    """(first row, values) of runs of a text column, each of a few MB unless a single value is larger."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at, n = 0, len(column)
+    while at < n:
+        base = ends[at - 1] if at else 0
+        to = min(at + most_rows, max(at + 1, int(np.searchsorted(ends, base + most_bytes, "right"))), n)
+        yield at, column.slice(at, to - at).to_pylist()
+        at = to
+
+
 def utf8_crc32(column: Column) -> Column:
     """Unsigned CRC-32 of a string's UTF-8 bytes."""
     return F.crc32(column.cast("string").cast("binary"))

@@ -1,23 +1,24 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words.
 
-Test items are cut into word n-grams. One pass counts in how many documents each occurs; an item's seeds are
-those that few documents have, and in any case its rarer half, so an item that a third of the corpus
-copies keeps its seeds. A second pass looks up every n-gram of every whole document among the seeds,
-aligns the item with the stretch around the hits, and reports alignments whose score is at least
-``least`` of the item's score with itself. Copies with words changed, left out or put in align too.
+Test items are cut into word n-grams. One pass counts in how many documents each occurs. All n-grams of an item are
+seeds but its common ones: those in more than ``COMMON_SHARE`` of the documents and in over ``COMMON_TIMES`` as
+many as the item's median n-gram. So an item keeps at least half of its n-grams, an item that a third of the corpus copies keeps
+them all, and nothing else depends on the size of the corpus. A second pass looks up every n-gram of every whole document
+among the seeds, aligns the item with the stretch around the hits, and reports alignments whose score is at least ``least`` of
+the item's score with itself, or that of ``LONG`` words in a row. Copies with words changed, left out or put in align too.
 
-Both passes are narrow: no text is shuffled. Items go to the executors in blocks of at most ``BLOCK_BYTES`` of text;
-a larger benchmark takes more blocks, one after the other in the same pass over the corpus.
+Both passes are narrow: no text is shuffled. Items go to the executors in blocks of at most about ``BLOCK_BYTES`` of text, one
+block after the other, each with its own two passes, so memory doesn't grow with the benchmark.
 
 Cases: null and empty documents match nothing; a document of any length is searched whole; null and wordless items are
 left out; an item shorter than a seed matches by its whole word sequence; equal items and repeated documents each give
-their rows; of equally good alignments in a document the first is reported; empty tables give no rows; columns other than the named ones are not read.
+their rows; ids may be of any simple type, and null; of equally good alignments in a document the first is reported; empty tables give no rows; columns other than the named ones are not read.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,14 +26,17 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
-from cloudloom.llm.common import claim, kept, mix64
+from cloudloom.llm.common import kept, mix64, pieces, release, staged
 
 SEED = 4
-#: Share of documents up to which an n-gram is rare, and the share of an item's rarest n-grams that are seeds anyway.
-RARE_SHARE, KEPT_SHARE = 0.0005, 0.5
+#: An n-gram is common if it is in more than this share of the documents, and in more than so many times as many as its item's median n-gram.
+COMMON_SHARE, COMMON_TIMES = 0.02, 20
 MATCH, MISMATCH, GAP = 2, -1, -1
-LEAST = 0.5
+#: Share of an item's own score that an alignment needs, and words in a row whose score is enough for an item of any length.
+LEAST, LONG = 0.5, 25
 BLOCK_BYTES = 16 << 20
 _WORD = re.compile(r"\w+")
 
@@ -41,7 +45,7 @@ class _Hashes(dict):
     def __missing__(self, word: str) -> int:
         value = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
         if len(word) <= 32:
-            if len(self) >= 300_000:
+            if len(self) >= 60_000:
                 self.clear()
             self[word] = value
         return value
@@ -144,7 +148,8 @@ class Index:
         for item, begins in sorted(self.hits(h).items()):
             words = self.items[item]
             n, best = len(words), (0, 0, 0)
-            own, need = MATCH * n, least * MATCH * n
+            own = MATCH * n
+            need = min(least * own, MATCH * LONG)
             begins = np.unique(begins)
             for group in np.split(begins, np.flatnonzero(np.diff(begins) > 2 * n) + 1):
                 a, b = max(0, int(group[0]) - n), min(len(h), int(group[-1]) + 2 * n)
@@ -173,19 +178,20 @@ def _frequencies(docs: DataFrame, text_col: str, vocabulary: Vocabulary, keys: d
     held = docs.sparkSession.sparkContext.broadcast((vocabulary, keys))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        claim("decontaminate")
         known, mine = held.value
         seen, n = {s: np.zeros(len(k), np.int64) for s, k in mine.items()}, 0
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                h = known.encode(text)
-                n += 1
-                for size, k in mine.items():
-                    g = known_grams(h, size)[1]
-                    if len(g):
-                        at = np.searchsorted(k, g)
-                        at[at == len(k)] = 0
-                        seen[size][np.unique(at[k[at] == g])] += 1
+            n += batch.num_rows
+            for _, texts in pieces(batch.column(0)):
+                for text in texts:
+                    h = known.encode(text)
+                    for size, k in mine.items():
+                        g = known_grams(h, size)[1]
+                        if len(g):
+                            at = np.searchsorted(k, g)
+                            at[at == len(k)] = 0
+                            seen[size][np.unique(at[k[at] == g])] += 1
+        release("decontaminate")
         rows = [(-1, 0, n)] + [(s, int(i), int(v[i])) for s, v in seen.items() for i in np.flatnonzero(v)]
         yield pa.record_batch([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64())], ["size", "at", "n"])
 
@@ -209,48 +215,53 @@ def _index(rows: list, docs: DataFrame, text_col: str) -> Index:
     for size, x in by.items():
         for g, item in x:
             n = seen[size][np.searchsorted(keys[size], g)]
-            ranked = np.argsort(n, kind="stable")
-            seeds = set(ranked[: max(1, int(np.ceil(len(g) * KEPT_SHARE)))].tolist()) | set(np.flatnonzero(n <= RARE_SHARE * total).tolist())
-            for at in sorted(seeds):
+            seeds = np.flatnonzero((n <= COMMON_SHARE * total) | (n <= COMMON_TIMES * max(1.0, float(np.median(n))))).tolist()
+            for at in seeds:
                 chosen.setdefault(size, {}).setdefault(int(g[at]), []).append((item, at))
     return Index(vocabulary, ids, words, {s: np.array(sorted(c), np.uint64) for s, c in chosen.items()}, {s: [c[k] for k in sorted(c)] for s, c in chosen.items()})
 
 
-def _matched(held, least: float):
-    @F.arrow_udf("array<struct<item_id:long,score:double,first_word:long,end_word:long>>")
+def _matched(held, least: float, id_type: DataType) -> Callable[[Column], Column]:
+    names = ("item_id", "score", "first_word", "end_word")
+
+    @F.arrow_udf(f"array<struct<item_id:{id_type.simpleString()},score:double,first_word:long,end_word:long>>")
     def matched(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        claim("decontaminate")
         index = held.value
-        kind = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("first_word", pa.int64()), ("end_word", pa.int64())]))
+        kind = pa.list_(pa.struct(list(zip(names, (to_arrow_type(id_type), pa.float64(), pa.int64(), pa.int64()), strict=True))))
         for batch in batches:
-            rows = [[dict(zip(("item_id", "score", "first_word", "end_word"), m, strict=True)) for m in index.matches(t, least)] for t in batch.to_pylist()]
-            yield pa.array(rows, kind)
+            yield pa.array([[dict(zip(names, m, strict=True)) for m in index.matches(t, least)] for _, texts in pieces(batch) for t in texts], kind)
+        release("decontaminate")
 
     return matched
 
 
-def contamination(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", least: float = LEAST, block_bytes: int = BLOCK_BYTES) -> Column:
-    """A column of ``docs``: an array of (item_id, score, first_word, end_word), empty where nothing matches."""
-    spark = docs.sparkSession
-    known = items.select(F.col(item_id).cast("long").alias("id"), F.col(item_text).cast("string").alias("text")).filter("text is not null")
+def _blocks(docs: DataFrame, items: DataFrame, text_col: str, item_id: str, item_text: str, least: float, block_bytes: int) -> Iterator[Callable[[Column], Column]]:
+    """For each block of items, what finds those of its items that a text holds."""
+    known = items.select(F.col(item_id).alias("id"), F.col(item_text).cast("string").alias("text")).filter("text is not null")
     size = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = -(-size // block_bytes) if size else 0
-    found = []
+    blocks = -(-size // block_bytes)
     for b in range(blocks):
         rows = (known.filter(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == b) if blocks > 1 else known).orderBy("id", "text").collect()
-        held = spark.sparkContext.broadcast(_index(rows, docs, text_col))
-        found.append(_matched(held, least)(F.col(text_col).cast("string")))
-    empty = F.expr("cast(array() as array<struct<item_id:long,score:double,first_word:long,end_word:long>>)")
-    return F.concat(*found) if len(found) > 1 else found[0] if found else empty
+        yield _matched(docs.sparkSession.sparkContext.broadcast(_index(rows, docs, text_col)), least, known.schema["id"].dataType)
 
 
-def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", least: float = LEAST, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(id, item_id, score, first_word, end_word) of every document and item that align."""
-    hits = docs.select(F.col(id_col), contamination(docs, items, text_col, **options).alias("__hits"))
-    # no filter before: it would be pushed down and run the matching twice
-    return hits.select(id_col, F.explode("__hits").alias("__hit")).select(id_col, "__hit.*")
-
-
-def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that hold no test item, columns as they are."""
-    return docs.filter(F.size(contamination(docs, items, text_col, **options)) == 0)
+    out = None
+    for matched in _blocks(docs, items, text_col, item_id, item_text, least, block_bytes):
+        hits = docs.select(F.col(id_col).alias("__id"), matched(F.col(text_col).cast("string")).alias("__hits"))
+        # no filter before: it would be pushed down and run the matching twice
+        found = hits.select("__id", F.explode("__hits").alias("__hit")).select(F.col("__id").alias(id_col), "__hit.*")
+        out = found if out is None else out.union(found)
+    if out is None:
+        kind = items.schema[item_id].dataType.simpleString()
+        return docs.filter(F.lit(False)).select(F.col(id_col), F.lit(None).cast(kind).alias("item_id"), F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("first_word"), F.lit(0).cast("long").alias("end_word"))
+    return out
+
+
+def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", least: float = LEAST, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of ``docs`` that hold no test item, columns as they are. Between two blocks of items the rows that are left are written and read again."""
+    for b, matched in enumerate(_blocks(docs, items, text_col, item_id, item_text, least, block_bytes)):
+        docs = staged(docs, "clean") if b else docs
+        docs = docs.filter(F.size(matched(F.col(text_col).cast("string"))) == 0)
+    return docs

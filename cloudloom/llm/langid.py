@@ -21,13 +21,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cloudloom.llm.common import claim
+from cloudloom.llm.common import pieces, release
 
 UNKNOWN = "und"
 BUCKETS = 1 << 15
 LONGEST_GRAM = 3
-#: Most languages learned, and most sampled rows of each.
-MOST_LANGUAGES, ROWS_OF_LANGUAGE = 256, 1200
+#: Most sampled rows of each language, and of all languages together, that the weights are fitted on.
+ROWS_OF_LANGUAGE, ROWS_IN_ALL = 1200, 40_000
+#: Languages that the weights have room for; more labels than that are refused, not left out.
+MOST_LANGUAGES = 2048
 _letters: np.ndarray | None = None
 
 
@@ -67,7 +69,10 @@ class Model:
     temperature: float = 1.0
 
     def features(self, text: str | None) -> tuple[np.ndarray, np.ndarray] | None:
-        at, n = gram_counts(text)
+        return self.weighed(*gram_counts(text))
+
+    def weighed(self, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        """Weighted and scaled buckets with the bias; None without any."""
         if not len(at):
             return None
         x = (1.0 + np.log(n)) * self.idf[at]
@@ -132,12 +137,13 @@ def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
     """In how many rows of the one text column each bucket occurs, over all rows; a row for each task and bucket is shuffled."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        claim("langid")
         seen, n = np.zeros(BUCKETS, np.int64), 0
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                seen[gram_counts(text)[0]] += 1
-                n += 1
+            for _, texts in pieces(batch.column(0)):
+                for text in texts:
+                    seen[gram_counts(text)[0]] += 1
+            n += batch.num_rows
+        release("langid")
         at = np.flatnonzero(seen)
         yield pa.record_batch([pa.array(np.append(at, -1), pa.int64()), pa.array(np.append(seen[at], n), pa.int64())], ["bucket", "n"])
 
@@ -152,28 +158,56 @@ def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
     return df, rows
 
 
-def fit(training: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows_of_language: int = ROWS_OF_LANGUAGE) -> Model:
-    """Learn from ``training`` alone: frequencies from all of it, weights from at most ``rows_of_language`` rows a language."""
+def hashed(text: Column) -> Column:
+    """A struct (at, n) of the buckets of ``gram_counts`` and their counts, so that no text goes to the driver."""
+
+    @F.arrow_udf("at array<int>, n array<int>")
+    def counted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            got = [gram_counts(t) for _, texts in pieces(batch) for t in texts]
+            ends = pa.array(np.cumsum([0, *(len(at) for at, _ in got)]), pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate([g[k] for g in got] or [np.empty(0, np.int64)]).astype(np.int32))) for k in (0, 1)]
+            yield pa.StructArray.from_arrays(lists, ["at", "n"])
+        release("langid")
+
+    return counted(text)
+
+
+def fit(training: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows_of_language: int = ROWS_OF_LANGUAGE, rows_in_all: int = ROWS_IN_ALL) -> Model:
+    """Learn from ``training`` alone: frequencies from all of it, weights from at most ``rows_of_language`` rows a language and ``rows_in_all`` together.
+
+    Rows are drawn by a hash of id and text and counted in the order of that hash, so equal tables give equal weights. The driver
+    gets the hashed n-grams of the drawn rows: at most ``BUCKETS`` pairs of numbers each, whatever the length of their texts.
+    """
     rows = training.filter(F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()}
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MOST_LANGUAGES + 1).collect()}
+    if len(sizes) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} labels in {lang_col}: not a column of languages")
     languages = sorted(sizes)
     df, n = document_frequencies(rows.select("text"))
     model = Model(languages, np.log((1.0 + n) / (1.0 + df)) + 1.0, np.zeros((BUCKETS + 1, max(1, len(languages)))))
     if not languages:
         return model
-    # a row's hash against a bound by language, a little over the number wanted; cut exactly on the driver
-    span, draw = 1 << 30, F.pmod(F.xxhash64("id"), F.lit(1 << 30))
-    bounds = F.create_map(*(x for k in languages for x in (F.lit(k), F.lit(min(span, int(span * rows_of_language * 1.1 / sizes[k]) + 1)))))
-    drawn = rows.select(draw.alias("draw"), "text", "lang").filter(F.col("draw") < bounds[F.col("lang")]).collect()
-    index, taken, feats, labels, late = {k: i for i, k in enumerate(languages)}, dict.fromkeys(languages, 0), [], [], []
-    for r in sorted(drawn, key=lambda r: (r["draw"], r["lang"], r["text"] or "")):
-        got = model.features(r["text"]) if taken[r["lang"]] < rows_of_language else None
-        if got is not None:
-            taken[r["lang"]] += 1
-            (late if taken[r["lang"]] % 5 == 0 else feats).append((got, index[r["lang"]]))
+    most = max(1, min(rows_of_language, rows_in_all // len(languages)))
+    # a row's hash against a bound by language, a little over the number wanted; repeated rows fall under one hash and count once
+    span, draw = 1 << 62, F.pmod(F.xxhash64("id", "text"), F.lit(1 << 62))
+    bounds = F.create_map(*(x for k in languages for x in (F.lit(k), F.lit(min(span, int(span * min(1.0, most * 1.1 / sizes[k])))))))
+    drawn = rows.select(draw.alias("draw"), "text", "lang").filter(F.col("draw") <= bounds[F.col("lang")]).dropDuplicates(["lang", "draw"])
+    got = drawn.select("lang", "draw", hashed(F.col("text")).alias("h")).toArrow()
+    texts = got["h"].combine_chunks()
+    at, n = (texts.field(k) for k in (0, 1))
+    index, taken, feats, late = {k: i for i, k in enumerate(languages)}, dict.fromkeys(languages, 0), [], []
+    names = got["lang"].to_pylist()
+    for i in sorted(range(got.num_rows), key=list(zip(got["draw"].to_pylist(), names, strict=True)).__getitem__):
+        x = model.weighed(at[i].values.to_numpy().astype(np.int64), n[i].values.to_numpy().astype(np.int64))
+        if x is not None and taken[names[i]] < most:
+            taken[names[i]] += 1
+            (late if taken[names[i]] % 5 == 0 else feats).append((x, index[names[i]]))
+    del got, texts, at, n
     model.weights = learn([x for x, _ in feats], [k for _, k in feats], len(languages))
     logits = np.array([x[1] @ model.weights[x[0]] for x, _ in late]).reshape(len(late), len(languages))
     model.temperature = temperature(logits, np.array([k for _, k in late], int))
+    release("langid")
     return model
 
 
@@ -183,10 +217,10 @@ def predict(df: DataFrame, model: Model, text_col: str = "text") -> Column:
 
     @F.arrow_udf("lang_pred string, score double")
     def answered(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        claim("langid")
         m = held.value
         for batch in batches:
-            out = [m.predict(t) for t in batch.to_pylist()]
+            out = [m.predict(t) for _, texts in pieces(batch) for t in texts]
             yield pa.StructArray.from_arrays([pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.float64())], ["lang_pred", "score"])
+        release("langid")
 
     return answered(F.col(text_col).cast("string"))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cloudloom.llm.common import claim
+from cloudloom.llm.common import pieces, tables
 from cloudloom.llm.decontaminate import grams, word_hashes
 
 LEAST = 0.8
@@ -148,12 +148,12 @@ def licence_matches(text: Column, templates: list[tuple[str, str]] | None = None
 
     @F.arrow_udf("array<struct<license:string,template:int,dice:double,first_word:long,n_words:long>>")
     def matched(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        claim("licenses")
         scanner = Scanner.of(chosen, least)
         names = ("license", "template", "dice", "first_word", "n_words")
         kind = pa.list_(pa.struct(list(zip(names, (pa.string(), pa.int32(), pa.float64(), pa.int64(), pa.int64()), strict=True))))
-        for batch in batches:
-            yield pa.array([[dict(zip(names, m, strict=True)) for m in scanner.scan(t)] for t in batch.to_pylist()], kind)
+        with tables("licenses"):
+            for batch in batches:
+                yield pa.array([[dict(zip(names, m, strict=True)) for m in scanner.scan(t)] for _, texts in pieces(batch) for t in texts], kind)
 
     return matched(text.cast("string"))
 

@@ -20,11 +20,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from cloudloom.llm.bpe import PRETOKEN, WordTable, byte_letters
-from cloudloom.llm.common import claim
+from cloudloom.llm.bpe import PRETOKEN, WordTable, byte_letters, require_plain
+from cloudloom.llm.common import pieces, tables
 
 #: Bits of a sequence id below the power of two: the input partition, and the number in it.
 PARTITION_BITS, NUMBER_BITS = 24, 34
@@ -41,9 +42,12 @@ class ChunkEncoder:
     as ranks need, and the probes agree; otherwise by the tokenizers library itself.
     """
 
-    def __init__(self, path: str, cached: int = 400_000):
+    def __init__(self, path: str, cached: int = 120_000):
         import os
 
+        with open(path, encoding="utf-8") as f:
+            require_plain(json.load(f), path)
+
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -115,8 +119,11 @@ def pack(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str =
     arrow_id = to_arrow_type(id_type)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        claim("packing")
-        enc, end = encoder(vocabulary), np.array([end_id], "<u4").tobytes()
+        with tables("packing"):
+            yield from cut_with(encoder(vocabulary), batches)
+
+    def cut_with(enc: ChunkEncoder, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        end = np.array([end_id], "<u4").tobytes()
         partition, numbers = TaskContext.get().partitionId(), [0] * 64
         for batch in batches:
             ids: list[list] = [[] for _ in range(8)]
@@ -136,7 +143,8 @@ def pack(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str =
                 return pa.record_batch(arrays, names)
 
             held = 0
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            keys = batch.column(0).to_pylist()
+            for key, text in ((keys[at + i], t) for at, texts in pieces(batch.column(1)) for i, t in enumerate(texts)):
                 tokens = enc.encode(text or "") + end
                 n, start = len(tokens) // 4, 0
                 for length in binary_lengths(n, longest):
@@ -160,5 +168,10 @@ def pack(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str =
 
 
 def write_buckets(packed: DataFrame, path: str) -> None:
-    """Write packed sequences with a folder for each length."""
+    """Write packed sequences with a folder for each length, so that a reader of one length opens no other file."""
     packed.write.partitionBy("bucket").parquet(path)
+
+
+def read_buckets(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """What ``write_buckets`` wrote, with the columns of ``schema``; a filter on ``bucket`` picks folders."""
+    return spark.read.schema(schema).parquet(path).select(*schema.names)

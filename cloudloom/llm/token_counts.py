@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cloudloom.llm.bpe import merger
-from cloudloom.llm.common import claim
+from cloudloom.llm.common import pieces, tables
 
 
 def token_count(text: Column, vocabulary: str) -> Column:
@@ -22,10 +22,10 @@ def token_count(text: Column, vocabulary: str) -> Column:
 
     @F.arrow_udf("long")
     def counted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        claim("token_counts")
         m = merger(vocabulary)
-        for batch in batches:
-            yield pa.array(m.counts(batch.to_pylist()), pa.int64())
+        with tables("token_counts"):
+            for batch in batches:
+                yield pa.array([n for _, texts in pieces(batch) for n in m.counts(texts)], pa.int64())
 
     return counted(text)
 

@@ -5,6 +5,8 @@ learned for each term with follow-the-regularised-leader updates, so most are ze
 rows have shown gets a factor vector, whatever its linear weight, and the product of two terms' vectors
 is the weight of their meeting, such as an insult with the mention of a group. The sum over all pairs is
 divided by the number of terms (each row's terms are scaled to unit length), or long texts would drown in it.
+Penalties hold the margins near the intercept; a slope and an offset, fitted on margins of training rows under machines
+that did not see them, make probabilities of them.
 
 Cases: a null or empty text scores by the intercept alone; a text of any length counts whole; ties and
 repeated rows get equal scores; labels that disagree on an id count as the higher; without labels all
@@ -24,20 +26,22 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cloudloom.llm.common import claim, kept
+from cloudloom.llm.common import kept, pieces, release, tables
 
 BUCKETS = 1 << 18
 FACTORS = 4
 PREFIXES = (4, 5, 6)
 #: Most sampled rows of each label that the machine is fitted on.
 ROWS_OF_LABEL = (5000, 3000)
+#: Parts of the sample; each is scored by a machine learned on the others, and the scores calibrate the final one.
+FOLDS = 3
 _WORD = re.compile(r"\w+")
 
 
 class Terms(dict):
     """Buckets of a word's terms, kept for short words; emptied when full."""
 
-    def __init__(self, most: int = 200_000):
+    def __init__(self, most: int = 60_000):
         super().__init__()
         self.most = most
 
@@ -67,6 +71,8 @@ class Machine:
     bias: float
     weights: np.ndarray
     factors: np.ndarray
+    slope: float = 1.0
+    offset: float = 0.0
 
     def margin(self, at: np.ndarray) -> float:
         v = self.factors[at]
@@ -74,14 +80,14 @@ class Machine:
         return self.bias + float(self.weights[at].sum()) + 0.5 / max(1, len(at)) * float(s @ s - (v * v).sum())
 
     def score(self, text: str | None) -> float:
-        return sigmoid(self.margin(terms(text)))
+        return sigmoid(self.slope * self.margin(terms(text)) + self.offset)
 
 
 def sigmoid(z: float) -> float:
     return 1 / (1 + math.exp(-z)) if z > -700 else 0.0
 
 
-def learn(rows: list[np.ndarray], labels: list[int], alpha: float = 0.3, l1: float = 9.0, l2: float = 1.0, factor_rate: float = 0.02, factor_l2: float = 0.01, least_seen: int = 8, epochs: int = 10) -> Machine:
+def learn(rows: list[np.ndarray], labels: list[int], alpha: float = 0.3, l1: float = 9.0, l2: float = 1.0, factor_rate: float = 0.02, factor_l2: float = 0.01, least_seen: int = 8, epochs: int = 5) -> Machine:
     """Fit by passes over the rows: leader updates for linear weights, adaptive gradient steps for the factors of terms seen often enough."""
     z, n, w = np.zeros(BUCKETS), np.zeros(BUCKETS), np.zeros(BUCKETS)
     v, nv = np.zeros((BUCKETS, FACTORS)), np.full((BUCKETS, FACTORS), 1e-4)
@@ -119,8 +125,72 @@ def learn(rows: list[np.ndarray], labels: list[int], alpha: float = 0.3, l1: flo
     return Machine(bias, w, v)
 
 
+def calibration(margins: np.ndarray, labels: np.ndarray, rounds: int = 50) -> tuple[float, float]:
+    """The slope (at least 1) and offset of least log loss for margins of rows that the machine has not seen, by damped Newton steps.
+
+    One label each way is added in fractions to both classes, so that separable rows give a finite slope.
+    """
+    n1, n0 = int(labels.sum()), int(len(labels) - labels.sum())
+    if not n1 or not n0:
+        return 1.0, 0.0
+    target = np.where(labels == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
+    x = np.stack([margins, np.ones(len(margins))], 1)
+
+    def loss(at: np.ndarray) -> float:
+        z = x @ at
+        return float((np.logaddexp(0, z) - target * z).sum())
+
+    at = np.array([1.0, 0.0])
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(x @ at, -500, 500)))
+        gradient = x.T @ (p - target)
+        step = np.linalg.solve((x.T * (p * (1 - p))) @ x + 1e-9 * np.eye(2), gradient)
+        size = 1.0
+        while size > 1e-6 and loss(at - size * step) > loss(at):
+            size /= 2
+        at = at - size * step
+        if np.abs(size * step).max() < 1e-9:
+            break
+    return (float(at[0]), float(at[1])) if at[0] > 1e-3 else (1.0, 0.0)
+
+
+def fitted(rows: list[np.ndarray], labels: list[int], **options) -> Machine:
+    """``learn`` on all rows, calibrated by the margins of every row under a machine that was learned without its fold."""
+    y = np.array(labels, np.int64)
+    margins = np.zeros(len(rows))
+    # folds hold equal shares of each label
+    place = np.empty(len(rows), np.int64)
+    for k in (0, 1):
+        at = np.flatnonzero(y == k)
+        place[at] = np.arange(len(at)) % FOLDS
+    for fold in range(FOLDS):
+        seen, unseen = np.flatnonzero(place != fold), np.flatnonzero(place == fold)
+        machine = learn([rows[i] for i in seen], [labels[i] for i in seen], **options)
+        margins[unseen] = [machine.margin(rows[i]) for i in unseen]
+    machine = learn(rows, labels, **options)
+    machine.slope, machine.offset = calibration(margins, y)
+    return machine
+
+
+def hashed(text: Column) -> Column:
+    """The buckets of a text's terms, so that no text goes to the driver."""
+
+    @F.arrow_udf("array<int>")
+    def found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        with tables("toxicity"):
+            for batch in batches:
+                got = [terms(t) for _, texts in pieces(batch) for t in texts]
+                ends = pa.array(np.cumsum([0, *map(len, got)]), pa.int32())
+                yield pa.ListArray.from_arrays(ends, pa.array(np.concatenate([*got, np.empty(0, np.int64)]).astype(np.int32)))
+
+    return found(text)
+
+
 def fit(labelled: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows_of_label: tuple[int, int] = ROWS_OF_LABEL) -> Machine | None:
-    """Learn from ``labelled`` (ids and 0/1 labels) on at most ``rows_of_label`` rows of each label, drawn by a hash of the id."""
+    """Learn from ``labelled`` (ids and 0/1 labels) on at most ``rows_of_label`` rows of each label, drawn by a hash of the id.
+
+    The driver gets the hashed terms of the drawn rows: at most ``BUCKETS`` numbers each, whatever the length of their texts.
+    """
     truth = labelled.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg((F.max(label_col) > 0).cast("int").alias("y"))
     sizes = {r["y"]: r["n"] for r in truth.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
@@ -128,15 +198,19 @@ def fit(labelled: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col:
     span, draw = 1 << 30, F.pmod(F.xxhash64("id"), F.lit(1 << 30))
     bound = lambda y: min(span, int(span * rows_of_label[y] * 1.1 / sizes[y]) + 1) if y in sizes else 0
     drawn = truth.select("id", "y", draw.alias("draw")).filter(F.col("draw") < F.when(F.col("y") == 1, bound(1)).otherwise(bound(0)))
-    # at most about 1.1 times the two bounds of ids, so they may be sent to every executor
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(drawn), "id").collect()
-    taken, feats, labels = [0, 0], [], []
-    for r in sorted(rows, key=lambda r: (r["draw"], r["id"], r["text"] or "")):
-        if taken[r["y"]] < rows_of_label[r["y"]]:
-            taken[r["y"]] += 1
-            feats.append(terms(r["text"]))
-            labels.append(r["y"])
-    return learn(feats, labels)
+    parts = [drawn.filter(F.col("y") == y).orderBy("draw", "id").limit(rows_of_label[y]) for y in (0, 1)]
+    # at most the two bounds of ids, so they may be sent to every executor; of documents that share an id one is taken
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(parts[0].unionByName(parts[1])), "id")
+    one = rows.groupBy("id", "y", "draw").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    got = one.select("y", "draw", "id", hashed(F.col("text")).alias("at")).toArrow().sort_by([("draw", "ascending"), ("id", "ascending")])
+    if not got.num_rows:
+        return None
+    at = got["at"].combine_chunks()
+    feats, labels = [at[i].values.to_numpy().astype(np.int64) for i in range(got.num_rows)], got["y"].to_pylist()
+    del got, at
+    machine = fitted(feats, labels)
+    release("toxicity")
+    return machine
 
 
 def score(df: DataFrame, machine: Machine | None, text_col: str = "text") -> Column:
@@ -144,15 +218,15 @@ def score(df: DataFrame, machine: Machine | None, text_col: str = "text") -> Col
     if machine is None:
         return F.lit(0.0)
     at = np.flatnonzero((machine.weights != 0) | machine.factors.any(1))
-    held = df.sparkSession.sparkContext.broadcast((machine.bias, at, machine.weights[at], machine.factors[at]))  # at most one entry a bucket
+    held = df.sparkSession.sparkContext.broadcast((machine.bias, machine.slope, machine.offset, at, machine.weights[at], machine.factors[at]))  # at most one entry a bucket
 
     @F.arrow_udf("double")
     def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        claim("toxicity")
-        bias, at, w, v = held.value
-        m = Machine(bias, np.zeros(BUCKETS), np.zeros((BUCKETS, FACTORS)))
+        bias, slope, offset, at, w, v = held.value
+        m = Machine(bias, np.zeros(BUCKETS), np.zeros((BUCKETS, FACTORS)), slope, offset)
         m.weights[at], m.factors[at] = w, v
-        for batch in batches:
-            yield pa.array([m.score(t) for t in batch.to_pylist()], pa.float64())
+        with tables("toxicity"):
+            for batch in batches:
+                yield pa.array([m.score(t) for _, texts in pieces(batch) for t in texts], pa.float64())
 
     return scored(F.col(text_col).cast("string"))
