@@ -10,7 +10,7 @@ Of rows with equal vectors only the k + 1 smallest ids can be an answer, so the
 never as queries; that keeps a vector which a third of the rows share from filling a cell.
 
 Cases: null vectors, empty ones and those with null or non-finite components take no part; vectors of different lengths are never compared; a null id takes no part; ties
-go to the smaller id; a row that repeats an id is a row of its own but never an answer to its own id; a query with fewer candidates gets all of them; an empty
+go to the smaller id; a row that repeats an id is an answer of its own but never one to its own id, and queries that share an id are answered together; a query with fewer candidates gets all of them; an empty
 table gives no rows; components too large for exact 64-bit products give scores at the ends of the 64-bit range.
 """
 
@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 from cloudloom.llm.common import staged
 from cloudloom.llm.covertree import LEAF, QUERY_LEAF, Best, Tree, search
 
-PIVOTS, SAMPLED = 32, 1024
+#: Cells of a small table; a large one has one for every ``CELL_BLOCKS`` blocks, ``MOST_PIVOTS`` at most.
+PIVOTS, MOST_PIVOTS, CELL_BLOCKS, SAMPLED = 32, 512, 16, 4096
 BLOCK, QUERY_BLOCK = 2048, 512
 FOUND = "query_id long, vec_id long, score long"
 
@@ -39,7 +40,8 @@ def integers(vector: Column) -> Column:
 
 
 def _pivots(rows: DataFrame) -> dict[int, np.ndarray]:
-    """For each vector length, at most ``PIVOTS`` rows far from each other, of a sample of ``SAMPLED`` by id hash. They shape the cells; every row is searched."""
+    """For each vector length, rows far from each other, of a sample of ``SAMPLED`` by id hash, in a number that follows the table's. They shape the cells; every row is searched."""
+    most = min(MOST_PIVOTS, max(PIVOTS, rows.count() // (CELL_BLOCKS * BLOCK)))
     sample = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLED).collect()
     by: dict[int, list] = {}
     for r in sample:
@@ -48,7 +50,7 @@ def _pivots(rows: DataFrame) -> dict[int, np.ndarray]:
     for d, vectors in by.items():
         x = np.array(vectors, np.float64)
         chosen, gap = [0], np.sqrt(((x - x[0]) ** 2).sum(1))
-        while len(chosen) < min(PIVOTS, max(1, len(x) // 8)) and gap.max() > 0:
+        while len(chosen) < min(most, max(1, len(x) // 8)) and gap.max() > 0:
             chosen.append(int(np.argmax(gap)))
             gap = np.minimum(gap, np.sqrt(((x - x[chosen[-1]]) ** 2).sum(1)))
         out[d] = x[chosen]
@@ -57,7 +59,7 @@ def _pivots(rows: DataFrame) -> dict[int, np.ndarray]:
 
 def _placed(rows: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
     """``rows`` with the nearest pivot's number as ``cell`` and the distance to it as ``away``."""
-    held = rows.sparkSession.sparkContext.broadcast(pivots)  # PIVOTS rows a vector length
+    held = rows.sparkSession.sparkContext.broadcast(pivots)  # at most MOST_PIVOTS rows a vector length
 
     @F.arrow_udf("cell int, away double")
     def placed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -80,7 +82,8 @@ def _placed(rows: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
 
 def _blocks(rows: DataFrame, cells: DataFrame, size: int) -> DataFrame:
     """(d, cell, block, packed): ids and integers of at most about ``size`` rows as bytes."""
-    dealt = rows.join(cells.select("d", "cell", F.ceil(F.col("n") / size).cast("int").alias("parts")), ["d", "cell"])
+    # a row for each cell, at most MOST_PIVOTS a vector length; sent to all tasks, so that rows are dealt by block and not by cell
+    dealt = rows.join(F.broadcast(cells.select("d", "cell", F.ceil(F.col("n") / size).cast("int").alias("parts"))), ["d", "cell"])
     dealt = dealt.select("d", "cell", F.pmod(F.xxhash64("id", F.lit(5)), F.col("parts")).cast("int").alias("block"), "id", "vector")
 
     def pack(t: pa.Table) -> pa.Table:
@@ -140,7 +143,10 @@ def top_k(df: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", v
     rows = df.select(F.col(id_col).cast("long").alias("id"), integers(F.col(vector_col)).alias("vector"), is_query.alias("asks")).filter("id is not null and vector is not null")
     pivots = _pivots(rows.select("id", "vector"))
     alike = Window.partitionBy("vector").orderBy("id")
-    candidates = rows.select("id", "vector").distinct().withColumn("same", F.row_number().over(alike)).filter(F.col("same") <= k + 1).select("id", "vector")
+    # rows that repeat an id and its vector are one until the end: at most k of them can be answers
+    once = rows.groupBy("id", "vector").agg(F.least(F.count(F.lit(1)), F.lit(k)).cast("int").alias("m"))
+    kept = once.withColumn("same", F.row_number().over(alike)).filter(F.col("same") <= k + 1)
+    candidates = kept.select("id", "vector", F.explode(F.sequence(F.lit(1), F.col("m")))).select("id", "vector")
     data = staged(_placed(candidates, pivots), "data")
     queries = staged(_placed(rows.filter("asks").select("id", "vector").distinct(), pivots), "queries")
     count = [F.count(F.lit(1)).alias("n"), F.max("away").alias("radius")]
@@ -153,7 +159,7 @@ def top_k(df: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", v
     near = staged(_best(_search(home, k), k), "near")
     floors = near.filter(F.col("rank") == k).select("query_id", F.col("score").alias("floor"))
 
-    radii = {(r["d"], r["cell"]): r["radius"] for r in data_cells.collect()}  # PIVOTS rows a vector length
+    radii = {(r["d"], r["cell"]): r["radius"] for r in data_cells.collect()}  # at most MOST_PIVOTS rows a vector length
     with_floor = _floored(asking, floors)
     reach = _reached(with_floor, radii, pivots)
     far = _search(reach.join(blocks, ["d", "cell"]), k)
