@@ -6,7 +6,8 @@ them into the new shard.
 
 Slots follow the hash of the key, and are numbered without a task that sees a whole shard: rows are dealt by (shard,
 cell) where a cell is a range of hashes and the number of cells grows with the table, numbered in their
-cell, and moved by the counts of the cells before. They don't depend on the number of cells.
+cell, and moved by the counts of the cells before. They don't depend on the number of cells. A cell that is too full, because
+many rows share a key, is cut at that key: its rows are dealt by ranges of their text's CRC, and rows that are equal in all of this are counted, and only numbered one by one at the end.
 
 Cases: a null key is hashed as the text ``null``; null texts have no bytes and the CRC of the empty
 text; equal texts under different keys are placed by their keys; repeated rows share a shard and take
@@ -22,6 +23,9 @@ from cloudloom.llm.common import utf8_crc32
 
 #: Hash digits used: 13 hexadecimal digits, 52 bits, which a double holds exactly.
 DIGITS, SPAN = 13, float(1 << 52)
+#: The order of slots, and how many times the wanted rows a cell may hold before it is cut.
+ORDER = ["__hash", "__key", "text_crc32", "size"]
+FULL = 4
 
 
 def score(key: Column, shard: Column, weight: Column) -> Column:
@@ -57,8 +61,33 @@ def shard(df: DataFrame, weights: list[float], id_col: str = "doc_id", text_col:
     rows = rows.withColumn("__cell", F.floor(F.conv(F.substring("__hash", 1, DIGITS), 16, 10).cast("double") / SPAN * cells).cast("int"))
     counts = rows.groupBy("shard", "__cell").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy("shard").orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("shard", "__cell", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
-    within = Window.partitionBy("shard", "__cell").orderBy("__hash", "__key", "text_crc32", "size")
-    numbered = rows.withColumn("__in_cell", F.row_number().over(within) - 1)
-    placed = numbered.join(starts, ["shard", "__cell"])
-    return placed.select(id_col, "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("__start") + F.col("__in_cell")).cast("long").alias("slot"), "grown_shard")
+    starts = counts.select("shard", "__cell", "__n", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    full = starts.filter(F.col("__n") > FULL * cell_rows)
+    placed = rows.join(starts, ["shard", "__cell"])
+    if full.isEmpty():
+        within = Window.partitionBy("shard", "__cell").orderBy(*ORDER)
+        numbered = placed.withColumn("slot", F.col("__start") + F.row_number().over(within) - 1)
+    else:
+        numbered = _numbered(placed, cell_rows)
+    return numbered.select(id_col, "size", "text_crc32", F.lit("key").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), "grown_shard")
+
+
+def _numbered(placed: DataFrame, cell_rows: int) -> DataFrame:
+    """``placed`` with ``slot`` where cells hold keys of many rows."""
+    cell = ["shard", "__cell"]
+    hot = placed.filter(F.col("__n") > FULL * cell_rows).groupBy(*cell, "__hash").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > cell_rows)
+    cuts = hot.groupBy(*cell).agg(F.sort_array(F.collect_list(F.struct("__hash", F.ceil(F.col("n") / cell_rows).cast("int").alias("parts")))).alias("__cuts"))  # fewer than a cell's rows over cell_rows
+    rows = placed.join(cuts, cell, "left").withColumn("__cuts", F.coalesce("__cuts", F.expr("cast(array() as array<struct<__hash:string,parts:int>>)")))
+    # segments of a cell alternate: rows before the first hot key, those of the first, those between, ...
+    own = F.get(F.filter("__cuts", lambda c: c["__hash"] == F.col("__hash")), F.lit(0))["parts"]
+    segment = 2 * F.size(F.filter("__cuts", lambda c: c["__hash"] < F.col("__hash"))) + own.isNotNull().cast("int")
+    part = F.coalesce(F.floor(F.col("text_crc32") / float(1 << 32) * own), F.lit(0)).cast("int")
+    rows = rows.withColumns({"__segment": segment, "__part": part}).drop("__cuts", "__n")
+    fine = [*cell, "__segment", "__part"]
+    alike = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("__n"))
+    sizes = alike.groupBy(*fine).agg(F.sum("__n").alias("__m"))
+    before = Window.partitionBy(*cell).orderBy("__segment", "__part").rowsBetween(Window.unboundedPreceding, -1)
+    begins = sizes.select(*fine, F.coalesce(F.sum("__m").over(before), F.lit(0)).alias("__begin"))
+    within = Window.partitionBy(*fine).orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, -1)
+    first = F.col("__start") + F.col("__begin") + F.coalesce(F.sum("__n").over(within), F.lit(0))
+    return alike.join(begins, fine).withColumn("__first", first).select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("__n") - 1)).alias("__i")).withColumn("slot", F.col("__first") + F.col("__i"))
