@@ -1,7 +1,7 @@
 """A deterministic, sharded WARC writer, and a reader of what it wrote.
 
-Records are dealt to shards by ranges of their key. The cuts come from a histogram of a fixed number of
-bins, weighted by payload bytes, so they depend on the table alone. Each shard is sorted by key and
+Records are dealt to shards by ranges of their key and payload digest. The cuts come from running sums of payload bytes over the sorted
+keys, so they depend on the table alone and hold for keys of any distribution, one key of many rows included. Each shard is sorted by key and digest and
 written to files that are rolled at a compressed size; every record is its own gzip member without
 a time stamp, its headers, identifier and digests are made from the row, so equal tables give equal
 bytes whatever the cluster. A task writes under a temporary name and renames; a task that runs again
@@ -14,7 +14,7 @@ the digest of the full payload and a reference.
 
 Cases: a null payload is empty; a null key sorts first and never wins a reference over a key; rows that
 share the largest key are responses all; a null or odd address is replaced or percent-encoded; a payload of any
-length is one record; an empty table gives an empty manifest and no file; columns that are not named in the call are not read.
+length is one record; an empty table gives an empty manifest and no file; a path that holds a manifest is refused; keys must be integers; columns that are not named in the call are not read.
 """
 
 from __future__ import annotations
@@ -23,19 +23,19 @@ import base64
 import hashlib
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from urllib.parse import quote
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cloudloom.llm.common import staged
+from cloudloom.llm.common import pieces, staged
 
 #: Fixed values of the format.
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 NAMESPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:cloudloom:warc-record")
-BINS = 4096
 MANIFEST_FIELDS = "file string, shard int, number int, records long, bytes long, sha1 string, first_key long, last_key long"
 
 
@@ -107,47 +107,64 @@ def records_of(stream, chunk: int = 1 << 20) -> Iterator[bytes]:
 def _revisits(pages: DataFrame, id_col: str, payload_col: str, least: int) -> tuple[DataFrame, DataFrame]:
     """Slim facts of all rows (staged), and (key, digest, refers_to) of the rows that repeat a payload."""
     payload = F.coalesce(F.col(payload_col).cast("string"), F.lit(""))
-    slim = staged(pages.select(F.col(id_col).cast("long").alias("key"), F.sha1(payload.cast("binary")).alias("digest"), F.octet_length(payload).cast("long").alias("size")), "warc-slim")
+    slim = staged(pages.select(F.col(id_col).cast("long").alias("key"), F.unhex(F.sha1(payload.cast("binary"))).alias("digest"), F.octet_length(payload).cast("long").alias("size")), "warc-slim")
     groups = slim.filter(F.col("size") >= least).groupBy("digest").agg(F.max("key").alias("refers_to"), F.count(F.lit(1)).alias("n")).filter("n > 1 and refers_to is not null")
     again = slim.filter(F.col("size") >= least).join(groups.select("digest", "refers_to"), "digest").filter(~F.col("key").eqNullSafe(F.col("refers_to")))
     return slim, again.select("key", "digest", "refers_to").distinct()
 
 
-def _shards(slim: DataFrame, shard_bytes: int) -> tuple[F.Column, int]:
-    """The shard of a key column, as an expression of ``key``, and their number. The driver gets ``BINS`` + 1 rows at most."""
-    low, high = slim.agg(F.min("key"), F.max("key")).first()
-    if low is None:
-        return F.lit(0), 1
-    width = max(1.0, (float(high) - float(low)) / (BINS - 1))
-    bin_of = F.coalesce(F.least(F.floor((F.col("key").cast("double") - F.lit(float(low))) / F.lit(width)) + 1, F.lit(BINS)), F.lit(0)).cast("int")
-    held = {r[0]: r[1] for r in slim.groupBy(bin_of.alias("bin")).agg(F.sum(F.col("size") + 512)).collect()}
-    total, shards = 0, []
-    for i in range(BINS + 1):
-        shards.append(total // shard_bytes)
-        total += held.get(i, 0)
-    ranks = {s: i for i, s in enumerate(dict.fromkeys(shards[i] for i in range(BINS + 1) if held.get(i)))}
-    numbered, last = [], 0
-    for s in shards:
-        last = ranks.get(s, last)
-        numbered.append(last)
-    return F.get(F.lit(numbered), bin_of), len(ranks)
+def _place(key: Column, digest: Column) -> Column:
+    """A key and digest as bytes in their order: a null key first, then the key, then the digest."""
+    number = F.unhex(F.lpad(F.hex(F.coalesce(key, F.lit(0)).bitwiseXOR(F.lit(-(1 << 63)))), 16, "0"))
+    return F.concat(F.when(key.isNull(), F.unhex(F.lit("00"))).otherwise(F.unhex(F.lit("01"))), number, digest)
+
+
+def _shards(slim: DataFrame, shard_bytes: int) -> tuple[Callable[[Column], Column], int]:
+    """The shard of a place, and the number of shards.
+
+    Places are range-sorted and their bytes summed up in each range and over the ranges before; a shard begins where the sum
+    passes a multiple of ``shard_bytes``. The driver gets the places where shards begin: 29 bytes for each ``shard_bytes`` of payload.
+    """
+    spark = slim.sparkSession
+    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    places = slim.select(_place(F.col("key"), F.col("digest")).alias("place"), (F.col("size") + 512).alias("bytes")).groupBy("place").agg(F.sum("bytes").alias("bytes"))
+    cut = staged(staged(places, "warc-places").repartitionByRange(n, "place").sortWithinPartitions("place").withColumn("part", F.spark_partition_id()), "warc-sorted")
+    sizes = cut.groupBy("part").agg(F.sum("bytes").alias("sum"))
+    ranges = Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    starts = sizes.select("part", F.coalesce(F.sum("sum").over(ranges), F.lit(0)).alias("start"))
+    inside = Window.partitionBy("part").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    summed = cut.join(F.broadcast(starts), "part").select("place", F.floor((F.col("start") + F.coalesce(F.sum("bytes").over(inside), F.lit(0))) / shard_bytes).alias("shard"))
+    begins = summed.groupBy("shard").agg(F.min("place").alias("place")).toArrow()["place"].to_pylist()
+    cuts = np.array(sorted(begins), "S29")
+    held = spark.sparkContext.broadcast(cuts)
+
+    @F.arrow_udf("int")
+    def shard(place: pa.Array) -> pa.Array:
+        at = np.searchsorted(held.value, np.array(place.to_pylist(), "S29"), "right") - 1
+        return pa.array(np.maximum(at, 0), pa.int32())
+
+    return shard, max(1, len(cuts))
 
 
 def write(pages: DataFrame, path: str, id_col: str = "page_id", payload_col: str = "html", url_col: str | None = "url", least_dedup: int = 1000, shard_bytes: int = 32 << 20, roll_bytes: int = 16 << 20, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
     """Write ``pages`` under ``path`` (a URI that the executors share) and return the committed manifest."""
     spark = pages.sparkSession
+    if _exists(spark, f"{path}/manifest"):
+        raise FileExistsError(f"{path} holds a manifest already")
     slim, again = _revisits(pages, id_col, payload_col, least_dedup)
     shard, n_shards = _shards(slim, shard_bytes)
     url = F.col(url_col).cast("string") if url_col else F.lit(None).cast("string")
-    rows = pages.select(F.col(id_col).cast("long").alias("key"), F.lit(1).alias("kind"), url.alias("url"), F.coalesce(F.col(payload_col).cast("string"), F.lit("")).alias("payload"), F.lit(None).cast("string").alias("digest"), F.lit(None).cast("long").alias("refers_to"))
+    payload = F.coalesce(F.col(payload_col).cast("string"), F.lit(""))
+    rows = pages.select(F.col(id_col).cast("long").alias("key"), F.lit(1).alias("kind"), url.alias("url"), payload.alias("payload"), F.unhex(F.sha1(payload.cast("binary"))).alias("digest"), F.lit(None).cast("long").alias("refers_to"))
     marks = again.select("key", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("payload"), "digest", "refers_to")
-    dealt = rows.unionByName(marks).withColumn("shard", shard.cast("int")).repartitionByRange(n_shards, "shard").sortWithinPartitions("shard", F.col("key").asc_nulls_first(), "kind", "payload", "url")
+    placed = rows.unionByName(marks).withColumn("shard", shard(_place(F.col("key"), F.col("digest"))))
+    dealt = placed.repartitionById(n_shards, "shard").sortWithinPartitions("shard", F.col("key").asc_nulls_first(), "digest", "kind", "url")
 
     def archive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
         store, root = fs.FileSystem.from_uri(path)
-        out, done, marks_of, now = None, [], {}, (None, None)
+        out, done, refers, now = None, [], None, (None, None)
 
         def close() -> None:
             nonlocal out
@@ -158,12 +175,12 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", payload_col: str
                 out = None
 
         for batch in batches:
-            for row in batch.to_pylist():
-                place = (row["shard"], row["key"])
+            for row in (r for at, texts in pieces(batch.column("payload")) for r in batch.slice(at, len(texts)).to_pylist()):
+                place = (row["key"], row["digest"])
                 if place != now:
-                    now, marks_of = place, {}
+                    now, refers = place, None
                 if row["kind"] == 0:
-                    marks_of[row["digest"]] = row["refers_to"]
+                    refers = row["refers_to"]
                     continue
                 if out and (out["row"][0] != row["shard"] or out["row"][3] >= roll_bytes):
                     number = out["row"][1] + 1 if out["row"][0] == row["shard"] else 0
@@ -176,7 +193,7 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", payload_col: str
                     store.create_dir(f"{root}/_temporary", recursive=True)
                     out = {"file": name, "temporary": temporary, "stream": store.open_output_stream(temporary, compression=None), "row": [row["shard"], number, 0, 0], "sha1": hashlib.sha1(), "keys": [row["key"], None]}
                 payload = row["payload"].encode()
-                member = gzip_member(make_record(row["key"], row["url"], payload, marks_of.get(hashlib.sha1(payload).hexdigest()) if marks_of else None, date))
+                member = gzip_member(make_record(row["key"], row["url"], payload, refers, date))
                 out["stream"].write(member)
                 out["sha1"].update(member)
                 out["row"][2] += 1
@@ -198,6 +215,11 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", payload_col: str
     return read_manifest(spark, path)
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(MANIFEST_FIELDS).parquet(f"{path}/manifest")
 
