@@ -19,6 +19,7 @@ import re
 from bisect import bisect
 from collections.abc import Iterator
 from dataclasses import dataclass
+from importlib import resources
 
 import numpy as np
 import pyarrow as pa
@@ -59,6 +60,12 @@ TEMPLATES: list[tuple[str, str]] = [
 ]
 
 
+def whole_texts() -> list[tuple[str, str]]:
+    """The whole texts of the shorter public licences, kept as files named by SPDX identifier."""
+    folder = resources.files("cloudloom.llm") / "licence_texts"
+    return [(f.name.removesuffix(".txt"), f.read_text(encoding="utf-8")) for f in sorted(folder.iterdir(), key=lambda f: f.name) if f.name.endswith(".txt")]
+
+
 @dataclass
 class Scanner:
     names: list[str]
@@ -143,8 +150,8 @@ class Scanner:
 
 
 def licence_matches(text: Column, templates: list[tuple[str, str]] | None = None, least: float = LEAST) -> Column:
-    """An array of (license, template, dice, first_word, n_words) of ``text``."""
-    chosen = TEMPLATES if templates is None else templates
+    """An array of (license, template, dice, first_word, n_words) of ``text``; without ``templates`` by ``TEMPLATES`` and then ``whole_texts``."""
+    chosen = TEMPLATES + whole_texts() if templates is None else templates
 
     @F.arrow_udf("array<struct<license:string,template:int,dice:double,first_word:long,n_words:long>>")
     def matched(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
