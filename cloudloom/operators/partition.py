@@ -13,6 +13,8 @@ from cloudloom.functions import exprs as E
 from cloudloom.sources.shared import staged
 
 AXES = E.AXES
+#: Values of an integer order in a chunk of a key.
+CHUNK = 1 << 18
 
 
 def tile_inventory(df: DataFrame, size: int) -> DataFrame:
@@ -66,17 +68,48 @@ def sorted_place(df: DataFrame, order: list[str]) -> DataFrame:
     return placed.withColumn("place", F.col("__start") + F.col("__at").bitwiseAND((1 << 33) - 1)).drop("__part", "__at", "__start")
 
 
-def adjacent_unique(df: DataFrame, value: str, order: str, *keys: str) -> DataFrame:
-    """Rows whose value differs from the row before them, which is not DISTINCT."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    return df.withColumn("__p", F.lag(value).over(w)).filter(F.col("__p").isNull() | (F.col("__p") != F.col(value))).drop("__p")
+def place_within(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """``df`` with the place of each row in ``order`` among those of equal ``keys``, from 0: a range sort over keys and order, less where its key begins, so a key of many rows is many tasks' work."""
+    placed = sorted_place(df, [*keys, *order])
+    begins = placed.groupBy(*keys).agg(F.min("place").alias("__begin"))
+    return placed.join(begins, keys).withColumn("place", F.col("place") - F.col("__begin")).drop("__begin")
+
+
+def before_in_chunks(df: DataFrame, keys: list[str], order: str, columns: list[str], depth: int = 1, chunk: int = CHUNK) -> DataFrame:
+    """``df`` with ``before``: the (order, columns) of up to ``depth`` rows before each row of equal ``keys``, the nearest first.
+
+    Rows go to windows of a key and a run of ``chunk`` values of ``order`` (an integer), so few keys of many rows are many tasks' work. The last rows of each
+    chunk, ``depth`` at most, are carried to the chunks behind it by a window over a row for each chunk.
+    """
+    rows = df.withColumn("__c", F.floor(F.col(order) / chunk))
+    w = Window.partitionBy(*keys, "__c").orderBy(order)
+    own = F.struct(order, *columns)
+    rows = rows.withColumns({"__r": F.row_number().over(w)} | {f"__l{i}": F.lag(own, i).over(w) for i in range(1, depth + 1)})
+    last = df.withColumn("__c", F.floor(F.col(order) / chunk)).withColumn("__b", F.row_number().over(Window.partitionBy(*keys, "__c").orderBy(F.col(order).desc()))).filter(F.col("__b") <= depth)
+    ends = last.groupBy(*keys, "__c").agg(F.sort_array(F.collect_list(own), asc=False).alias("__ends"))
+    chunks_ = Window.partitionBy(*keys).orderBy("__c")
+    carried = ends.select(*keys, "__c", F.slice(F.flatten(F.array_compact(F.array(*(F.lag("__ends", i).over(chunks_) for i in range(1, depth + 1))))), 1, depth).alias("__carried"))
+    within = F.array_compact(F.array(*(F.col(f"__l{i}") for i in range(1, depth + 1))))
+    both = rows.join(carried, [*keys, "__c"])
+    return both.select(*df.columns, F.slice(F.concat(within, "__carried"), 1, depth).alias("before"))
 
 
-def runs(df: DataFrame, value: str, order: str, *keys: str) -> DataFrame:
-    """A row for each run of equal values: its first ``order``, value and length."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    begins = df.withColumn("__b", F.coalesce((F.lag(value).over(w) != F.col(value)).cast("int"), F.lit(1)))
-    numbered = begins.withColumn("__run", F.sum("__b").over(w))
+def adjacent_unique(df: DataFrame, value: str, order: str, *keys: str) -> DataFrame:
+    """Rows whose value differs from the row before them, which is not DISTINCT."""
+    before = F.get("before", F.lit(0))[value]
+    return before_in_chunks(df, list(keys), order, [value]).filter(before.isNull() | (before != F.col(value))).drop("before")
+
+
+def runs(df: DataFrame, value: str, order: str, *keys: str, chunk: int = CHUNK) -> DataFrame:
+    """A row for each run of equal values: its first ``order``, value and length. Runs are numbered within chunks of a key and moved by the runs of the chunks before."""
+    seen = before_in_chunks(df.select(*keys, order, value), list(keys), order, [value], chunk=chunk)
+    before = F.get("before", F.lit(0))[value]
+    begins = seen.select(*keys, order, value, F.coalesce((before != F.col(value)).cast("int"), F.lit(1)).alias("__b"), F.floor(F.col(order) / chunk).alias("__c"))
+    sizes = begins.groupBy(*keys, "__c").agg(F.sum("__b").alias("__s"))
+    earlier = Window.partitionBy(*keys).orderBy("__c").rowsBetween(Window.unboundedPreceding, -1)  # a row for each chunk
+    starts = sizes.select(*keys, "__c", F.coalesce(F.sum("__s").over(earlier), F.lit(0)).alias("__start"))
+    w = Window.partitionBy(*keys, "__c").orderBy(order)
+    numbered = begins.withColumn("__in", F.sum("__b").over(w)).join(starts, [*keys, "__c"]).withColumn("__run", F.col("__start") + F.col("__in"))
     return numbered.groupBy(*keys, "__run").agg(F.min(order).alias(order), F.first(value).alias(value), F.count(F.lit(1)).alias("n")).drop("__run")
 
 

@@ -222,8 +222,8 @@ def win05_duplicate_runs(s, d):
 
 @query(I + "SELECT idx, laser, lag(idx) OVER (PARTITION BY laser, z > 1200 ORDER BY idx) AS parent FROM pts")
 def win06_predecessor_per_laser(s, d):
-    p = indexed_points(s, d, "z", "laser")
-    return p.select("idx", "laser", F.lag("idx").over(Window.partitionBy("laser", F.col("z") > 1200).orderBy("idx")).alias("parent"))
+    p = indexed_points(s, d, "z", "laser").select("idx", "laser", (F.col("z") > 1200).alias("object"))
+    return partition.before_in_chunks(p, ["laser", "object"], "idx", []).select("idx", "laser", F.get("before", F.lit(0))["idx"].alias("parent"))
 
 
 @query(I + ", f AS (SELECT laser, min(idx) AS idx FROM pts GROUP BY 1) SELECT laser, idx, lag(idx) OVER (ORDER BY laser) AS parent FROM f")
@@ -234,8 +234,7 @@ def win07_first_of_laser_chain(s, d):
 
 @query(I + ", l AS (SELECT idx, laser, x, lag(x) OVER w AS p0, lag(x, 2) OVER w AS p1, lag(x, 3) OVER w AS p2 FROM pts WINDOW w AS (PARTITION BY laser ORDER BY idx)) SELECT idx, x - p0 AS delta, x - (2*p0 - p1) AS linear, x - (p0 + p1 - p2) AS third FROM l")
 def win08_linear_predictors(s, d):
-    w = Window.partitionBy("laser").orderBy("idx")
-    p = indexed_points(s, d, "x", "laser").select("idx", "x", *(F.lag("x", i + 1).over(w).alias(f"p{i}") for i in range(3)))
+    p = partition.before_in_chunks(indexed_points(s, d, "x", "laser"), ["laser"], "idx", ["x"], 3).select("idx", "x", *(F.get("before", F.lit(i))["x"].alias(f"p{i}") for i in range(3)))
     x, a, b, c = (F.col(n) for n in ("x", "p0", "p1", "p2"))
     return p.select("idx", (x - a).alias("delta"), (x - (2 * a - b)).alias("linear"), (x - (a + b - c)).alias("third"))
 
@@ -280,14 +279,14 @@ def srt03_canonical_order(s, d):
 @query(I + "SELECT idx, laser, row_number() OVER (PARTITION BY laser ORDER BY round(atan2(CAST(y-900 AS DOUBLE), CAST(x-500 AS DOUBLE))*1000), (x-500)*(x-500)+(y-900)*(y-900), idx) - 1 AS place FROM pts")
 def srt05_azimuth_order(s, d):
     p, x, y = indexed_points(s, d, "x", "y", "laser"), F.col("x") - 500, F.col("y") - 900
-    w = Window.partitionBy("laser").orderBy(F.round(F.atan2(y.cast("double"), x.cast("double")) * 1000), x * x + y * y, "idx")
-    return p.select("idx", "laser", (F.row_number().over(w) - 1).alias("place"))
+    keyed = p.select("idx", "laser", F.round(F.atan2(y.cast("double"), x.cast("double")) * 1000).alias("phi"), (x * x + y * y).alias("r2"))
+    return partition.place_within(keyed, ["laser"], ["phi", "r2", "idx"]).select("idx", "laser", "place")
 
 
 @query(I + "SELECT idx, laser, row_number() OVER (PARTITION BY laser ORDER BY CAST(x AS BIGINT)*x+CAST(y AS BIGINT)*y, idx) - 1 AS place FROM pts")
 def srt07_radius_order(s, d):
     r2 = F.col("x").cast("bigint") * F.col("x") + F.col("y").cast("bigint") * F.col("y")
-    return indexed_points(s, d, "x", "y", "laser").select("idx", "laser", (F.row_number().over(Window.partitionBy("laser").orderBy(r2, "idx")) - 1).alias("place"))
+    return partition.place_within(indexed_points(s, d, "x", "y", "laser").select("idx", "laser", r2.alias("r2")), ["laser"], ["r2", "idx"]).select("idx", "laser", "place")
 
 
 @query(I + "SELECT idx, row_number() OVER (ORDER BY laser, idx) - 1 AS place FROM pts")

@@ -291,8 +291,8 @@ def jn18_box_hierarchy(s, d):
 @query(I + f"SELECT idx, row_number() OVER (PARTITION BY laser ORDER BY {sql_morton('x', 'y', 'z')}, idx) - 1 AS place FROM pts")
 def srt04_chunk_address_order(s, d):
     """Each chunk in address order, with the ties that an unstable sort would leave open in order of idx."""
-    w = Window.partitionBy("laser").orderBy(E.morton(*AXES), "idx")
-    return indexed_points(s, d, "x", "y", "z", "laser").select("idx", (F.row_number().over(w) - 1).alias("place"))
+    keyed = indexed_points(s, d, "x", "y", "z", "laser").select("idx", "laser", E.morton(*AXES).alias("address"))
+    return partition.place_within(keyed, ["laser"], ["address", "idx"]).select("idx", "place")
 
 
 @query(I + f", m AS (SELECT idx, row_number() OVER (ORDER BY {sql_morton('x', 'y', 'z')}, idx) - 1 AS place FROM pts) SELECT lod, count(*) AS n, true AS same FROM (SELECT 2 - CAST(place % 4 = 0 AS INT) - CAST(place % 16 = 0 AS INT) AS lod FROM m) GROUP BY 1")

@@ -6,29 +6,56 @@ the first ordering column, numbered inside each range, and moved by the counts o
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-RANGES = 1024
+#: Rows wanted in a range of a numbered table, least and most ranges, and cuts that become one expression.
+RANGE_ROWS, LEAST_RANGES, MOST_RANGES, EXPRESSION_CUTS = 1_000_000, 32, 1 << 16, 256
 ROW_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate"]
 
 
-def dense_index(df: DataFrame, order: list[str], name: str = "idx", ranges: int = RANGES) -> DataFrame:
-    """``df`` with the place of each row in ``order`` (the first column an integer), from 0."""
+def dense_index(df: DataFrame, order: list[str], name: str = "idx", ranges: int | None = None) -> DataFrame:
+    """``df`` with the place of each row in ``order`` (the first column a number), from 0.
+
+    The cuts are quantiles of the first column, so ranges hold about equal numbers of rows however its values lie; their number follows the
+    table's (``RANGE_ROWS`` rows each). They shape the tasks only: the numbers are the same for any cuts.
+    """
     first = F.col(order[0])
-    low, high = df.agg(F.min(first), F.max(first)).first()
-    if low is None:
-        return df.withColumn(name, F.lit(None).cast("bigint"))
-    width = max(1, -(-(high - low + 1) // ranges))
-    cut = F.floor((first - F.lit(low)) / width).cast("int")
+    if ranges is None:
+        ranges = max(LEAST_RANGES, min(MOST_RANGES, df.count() // RANGE_ROWS))
+    cuts = sorted(set(df.approxQuantile(order[0], [i / ranges for i in range(1, ranges)], max(0.1 / ranges, 1e-4)))) if ranges > 1 else []
+    # at most MOST_RANGES numbers; the place of a value among them by halves
+    cut = _among(first, cuts) if cuts else F.lit(0)
     rows = df.withColumn("__range", cut)
     counts = rows.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.partitionBy(F.lit(0)).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # at most RANGES rows
+    before = Window.partitionBy(F.lit(0)).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
     starts = counts.select("__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
     within = Window.partitionBy("__range").orderBy(*order)
     return rows.join(F.broadcast(starts), "__range").withColumn(name, F.col("__start") + F.row_number().over(within) - 1).drop("__range", "__start")
 
 
+def _among(value: Column, cuts: list[float]) -> Column:
+    """How many of the sorted ``cuts`` are not above a value: a tree of comparisons for few of them, else a search by halves in Arrow batches."""
+    if len(cuts) > EXPRESSION_CUTS:
+        held = np.array(cuts)
+
+        @F.arrow_udf("int")
+        def place(x: pa.Array) -> pa.Array:
+            return pa.array(np.searchsorted(held, x.to_numpy(zero_copy_only=False), "right").astype(np.int32))
+
+        return place(value.cast("double"))
+
+    def tree(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(value >= F.lit(cuts[middle]), tree(middle + 1, high)).otherwise(tree(low, middle))
+
+    return tree(0, len(cuts))
+
+
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

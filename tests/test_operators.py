@@ -423,3 +423,38 @@ def test_motion_file_of_many_splits(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     assert sorted((r.frame, r.t0) for r in rows) == [(i, i) for i in range(4000)]
+
+
+@pytest.mark.parametrize("chunk", [3, 17, 1 << 18])
+def test_windows_in_chunks_see_the_rows_before(spark, chunk):
+    rng = np.random.default_rng(11)
+    rows = [(i, int(k), int(v)) for i, (k, v) in enumerate(zip(rng.integers(0, 3, 90), rng.integers(0, 3, 90), strict=True)) if rng.random() < 0.8]
+    df = spark.createDataFrame(rows, "idx long, k int, v int")
+    got = {r.idx: [(b.idx, b.v) for b in r.before] for r in partition.before_in_chunks(df, ["k"], "idx", ["v"], 3, chunk).collect()}
+    runs = {(r.k, r.idx): (r.v, r.n) for r in partition.runs(df, "v", "idx", "k", chunk=chunk).collect()}
+    want_runs = {}
+    for key in range(3):
+        mine = [(i, v) for i, k, v in rows if k == key]
+        for n, (i, v) in enumerate(mine):
+            assert got[i] == mine[max(0, n - 3) : n][::-1]
+            if n == 0 or mine[n - 1][1] != v:
+                first = i
+                want_runs[key, first] = (v, 0)
+            want_runs[key, first] = (v, want_runs[key, first][1] + 1)
+    assert runs == want_runs
+
+
+def test_places_by_key_and_index_with_an_outlier(spark):
+    from cloudloom.sources import clouds
+
+    rng = np.random.default_rng(12)
+    rows = [(i, int(v), int(k)) for i, (v, k) in enumerate(zip(rng.integers(0, 50, 200), rng.integers(0, 2, 200), strict=True))] + [(500, 10**15, 0)]
+    df = spark.createDataFrame(rows, "idx long, v long, k int")
+    ordered = sorted(rows, key=lambda r: (r[1], r[0]))
+    for ranges in (None, 1, 7, 300):
+        placed = clouds.dense_index(df, ["v", "idx"], "place", ranges)
+        assert [r.idx for r in placed.orderBy("place").collect()] == [r[0] for r in ordered]
+    for key in (0, 1):
+        mine = [r[0] for r in ordered if r[2] == key]
+        got = {r.idx: r.place for r in partition.place_within(df, ["k"], ["v", "idx"]).filter(F.col("k") == key).collect()}
+        assert got == {i: n for n, i in enumerate(mine)}
