@@ -75,6 +75,16 @@ def place_within(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return placed.join(begins, keys).withColumn("place", F.col("place") - F.col("__begin")).drop("__begin")
 
 
+def laser_order(df: DataFrame, origin: tuple[int, int] = (0, 0), angle: str = "laserangle") -> DataFrame:
+    """``df`` with its ``place`` by laser angle, or, where it has no such column, by azimuth around ``origin`` in 1/1000, radius and slope; ties by idx."""
+    if angle in df.columns:
+        return sorted_place(df, [angle, "idx"])
+    x, y = ((F.col(a) - o).cast("double") for a, o in zip(AXES[:2], origin, strict=True))
+    r = F.sqrt(x * x + y * y)
+    keyed = df.withColumns({"__phi": F.round(F.atan2(y, x) * 1000), "__r": r, "__slope": F.when(r > 0, F.col("z") / r).otherwise(0.0)})
+    return sorted_place(keyed, ["__phi", "__r", "__slope", "idx"]).drop("__phi", "__r", "__slope")
+
+
 def before_in_chunks(df: DataFrame, keys: list[str], order: str, columns: list[str], depth: int = 1, chunk: int = CHUNK) -> DataFrame:
     """``df`` with ``before``: the (order, columns) of up to ``depth`` rows before each row of equal ``keys``, the nearest first.
 

@@ -289,9 +289,16 @@ def srt07_radius_order(s, d):
     return partition.place_within(indexed_points(s, d, "x", "y", "laser").select("idx", "laser", r2.alias("r2")), ["laser"], ["r2", "idx"]).select("idx", "laser", "place")
 
 
-@query(I + "SELECT idx, row_number() OVER (ORDER BY laser, idx) - 1 AS place FROM pts")
+_PHI = "round(atan2(CAST(y-900 AS DOUBLE), CAST(x-500 AS DOUBLE))*1000)"
+_R = "sqrt(CAST((x-500)*(x-500) + (y-900)*(y-900) AS DOUBLE))"
+
+
+@query(I + f"SELECT 'angle' AS by_, idx, row_number() OVER (ORDER BY laser, idx) - 1 AS place FROM pts UNION ALL SELECT 'azimuth', idx, row_number() OVER (ORDER BY {_PHI}, {_R}, CASE WHEN {_R} > 0 THEN z / {_R} ELSE 0.0 END, idx) - 1 FROM pts")
 def srt08_laser_order(s, d):
-    return partition.sorted_place(indexed_points(s, d, "laser"), ["laser", "idx"]).select("idx", "place")
+    """By laser angle, and by azimuth for a cloud without that column."""
+    p = indexed_points(s, d, "x", "y", "z", "laser").withColumnRenamed("laser", "laserangle")
+    both = [partition.laser_order(df, (500, 900)).select(F.lit(by).alias("by_"), "idx", "place") for by, df in (("angle", p), ("azimuth", p.drop("laserangle")))]
+    return both[0].unionByName(both[1])
 
 
 @query(P + ", e AS (SELECT max(x)-min(x) AS ex, max(y)-min(y) AS ey, max(z)-min(z) AS ez FROM pts) SELECT CASE WHEN ex >= ey AND ex >= ez THEN 'x' WHEN ey >= ez THEN 'y' ELSE 'z' END AS longest, CASE WHEN ex <= ey AND ex <= ez THEN 'x' WHEN ey <= ez THEN 'y' ELSE 'z' END AS shortest FROM e")

@@ -329,6 +329,15 @@ def str06_reorder_buffer(s, d):
     return schedules.output_times(table)
 
 
+@query(FR + "SELECT frame, CAST(round(x*0.25) AS INT) AS x, CAST(round(y*0.25) AS INT) AS y, CAST(round(z*0.25) AS INT) AS z, count(*) AS n_src FROM frames GROUP BY 1, 2, 3, 4")
+def str01_frame_loop(s, d):
+    """A stream of frames, each coded on its own: quantised and de-duplicated as it comes."""
+    path = scratch(s, "sequence")
+    stream.store_sequence(frames(s, d), path)
+    coded = lambda b: b.groupBy("frame", *(E.quantise(a, 0.25).alias(a) for a in AXES)).agg(F.count(F.lit(1)).alias("n_src"))
+    return stream.run_with_sinks(stream.read_sequence(s, path), "coded", {"coded": coded})["coded"]
+
+
 @query(FR + "SELECT 'cloud' AS sink, slice, count(*) AS n, CAST(sum(refl) AS BIGINT) AS total FROM frames GROUP BY 2 UNION ALL SELECT 'recoloured', slice, count(*), CAST(sum((refl * 3 + 1) // 2) AS BIGINT) FROM frames GROUP BY 2")
 def str10_sinks(s, d):
     path = scratch(s, "sequence")

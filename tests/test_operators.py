@@ -458,3 +458,51 @@ def test_places_by_key_and_index_with_an_outlier(spark):
         mine = [r[0] for r in ordered if r[2] == key]
         got = {r.idx: r.place for r in partition.place_within(df, ["k"], ["v", "idx"]).filter(F.col("k") == key).collect()}
         assert got == {i: n for n, i in enumerate(mine)}
+
+
+def test_face_vertices_lie_between_their_centroids_and_near_points(spark):
+    spread = spark.createDataFrame([(i, x, y, z) for i, (x, y, z) in enumerate({(int(a), int(b), int(c)) for a, b, c in np.random.default_rng(2).integers(0, 40, (6000, 3))})], "idx long, x int, y int, z int")
+    nodes = spread.select(*(F.shiftright(a, 3).alias(f"n{a}") for a in "xyz")).distinct()
+    own = surface.drifted(surface.polygons(surface.node_vertices(surface.edge_vertices(spread, 3, 2), nodes, 3), 3), spread, 3)
+    faces = surface.face_candidates(own, 3).collect()
+    shapes = {(r.nx, r.ny, r.nz): r for r in own.collect()}
+    assert faces
+    for f in faces:
+        a, b = shapes[f.nx, f.ny, f.nz], shapes[f.mx, f.my, f.mz]
+        assert [f.mx - f.nx, f.my - f.ny, f.mz - f.nz] == [int(i == f.face) for i in range(3)]
+        place, axis = [f.fx, f.fy, f.fz], f.face
+        assert place[axis] == 8 * 256 - 128 and [f.m_fx, f.m_fy, f.m_fz][axis] == -128
+        for i in range(3):
+            lo, hi = sorted((a[f"c{'xyz'[i]}"], b[f"c{'xyz'[i]}"] + (2048 if i == axis else 0)))
+            assert i == axis or lo - 16 <= place[i] <= hi + 16
+        assert sum(v[axis] + 128 == 2048 for v in a.vertices) in (2, 3) and a.vertices[f.before][axis] + 128 == 2048
+    kept = {(f.nx, f.ny, f.nz, f.face) for f in surface.face_vertices(surface.face_candidates(own, 3), spread, 3, 2).collect()}
+    dense = {}
+    for r in spread.collect():
+        dense.setdefault((r.x >> 3, r.y >> 3, r.z >> 3), []).append((r.x & 7, r.y & 7, r.z & 7))
+    for f in faces:
+        near = 0
+        for node, place in (((f.nx, f.ny, f.nz), (f.fx, f.fy, f.fz)), ((f.mx, f.my, f.mz), (f.m_fx, f.m_fy, f.m_fz))):
+            near += sum((max(abs(p - 256 * v) for p, v in zip(place, q, strict=True)) + 128) >> 8 < 8 for q in dense[node])
+        assert ((f.nx, f.ny, f.nz, f.face) in kept) == (near > 0)
+
+
+def test_transformed_attributes_come_back_close(spark, sf_dir):
+    from cloudloom.queries import coding
+
+    df = coding.coarse(spark, sf_dir).withColumn("tone", F.pmod(F.col("x") * 7, F.lit(256)))
+    got = {r.m: r for r in hierarchy.raht_attributes(df, ["refl", "tone"], coding.DEPTH, 4).collect()}
+    from cloudloom.functions import exprs
+
+    want = df.groupBy(exprs.morton("x", "y", "z").alias("m")).agg(F.avg("refl").alias("refl"), F.avg("tone").alias("tone")).collect()
+    assert len(got) == len(want) and all(abs(got[r.m].refl - r.refl) <= 4 and abs(got[r.m].tone - r.tone) <= 4 for r in want)
+    coded, _ = hierarchy.raht_predicted(df, "refl", coding.DEPTH, 34)
+    plain, _ = hierarchy.raht_predicted(df, "refl", coding.DEPTH, 34, predict=False)
+    assert coded.count() == plain.count() == len(want)
+
+
+def test_large_slices_are_refused(spark, monkeypatch):
+    _, a = cloud(spark, 40, 1)
+    monkeypatch.setattr(kernels, "SLICE_POINTS", 30)
+    with pytest.raises(Exception, match="more than 30 points"):
+        kernels.nearest_tree(a.withColumn("s", F.lit(1)), "s").collect()
