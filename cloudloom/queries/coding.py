@@ -393,7 +393,7 @@ def flt10_pair_eligibility(s, d):
     return filters.pair_eligible(_motion_of(s, d), (100000.0, 100000.0, 100000.0)).select("frame", "eligible")
 
 
-LAYERS = [(r, i, n, v) for r, rows in enumerate([[("octree_bits", "7"), ("octree_bits", "5")], [("neighbours", "3"), ("neighbours", "4")], [("slice_max_points", "100"), ("slice_min_points", "200")], [("partition", "cubes")], [("lod_period", "4"), ("axis_order", "7"), ("lod_period", "0")]]) for i, (n, v) in enumerate(rows)]
+LAYERS = [(r, i, n, v) for r, rows in enumerate([[("octree_bits", "7"), ("octree_bits", "5")], [("neighbours", "3"), ("neighbours", "4")], [("slice_max_points", "100"), ("slice_min_points", "200")], [("partition", "cubes")], [("lod_period", "4"), ("axis_order", "7"), ("lod_period", "0")], [("angular", "true"), ("lasers", "0")], [("bidirectional", "true"), ("group_of_frames", "8"), ("qp", "60"), ("qp", "34")], [("block_size", "64"), ("block_window", "128")]]) for i, (n, v) in enumerate(rows)]
 SQL_LAYERS = "l AS (SELECT * FROM (VALUES " + ", ".join(f"({r}, {i}, '{n}', '{v}')" for r, i, n, v in LAYERS) + ") AS t(run, layer, name, value))"
 
 
@@ -402,7 +402,7 @@ def src09_resolved_options(s, d):
     return plan_options.resolved(s.createDataFrame(LAYERS, "run int, layer int, name string, value string"))
 
 
-@query("SELECT * FROM (VALUES (0, NULL), (1, 'neighbours'), (2, 'slice_min_points'), (3, 'partition'), (4, 'periods')) AS t(run, fault)")
+@query("SELECT * FROM (VALUES (0, NULL), (1, 'neighbours'), (2, 'slice_min_points'), (3, 'partition'), (4, 'periods'), (5, 'angular'), (6, NULL), (7, 'block_window')) AS t(run, fault)")
 def src10_checked_options(s, d):
     return plan_options.checked(src09_resolved_options(s, d))
 
