@@ -80,7 +80,7 @@ SQL_TRIANGLES = "t AS (SELECT idx, " + ", ".join(f"CAST({e} AS BIGINT) AS {v}{a}
 
 
 def _tdiv(a: str, b: str) -> str:
-    return f"(sign({a}) * sign({b}) * (abs({a}) // abs({b})))"
+    return f"(sign({a}) * sign({b}) * (abs({a}) // nullif(abs({b}), 0)))"
 
 
 @query(f"WITH {SQL_INDEXED}, {SQL_TRIANGLES}, g AS (SELECT idx, " + ", ".join(f"v1{a} - v0{a} AS e{a}, v2{a} - v0{a} AS f{a}, r{a} - v0{a} AS s{a}" for a in AXES) + " FROM t), "
