@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from cloudloom.llm.bpe import PRETOKEN, WordTable, byte_letters, require_plain
-from cloudloom.llm.common import pieces, tables
+from cloudloom.llm.common import pieces
 
 #: Bits of a sequence id below the power of two: the input partition, and the number in it.
 PARTITION_BITS, NUMBER_BITS = 24, 34
@@ -119,8 +119,8 @@ def pack(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str =
     arrow_id = to_arrow_type(id_type)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with tables("packing"):
-            yield from cut_with(encoder(vocabulary), batches)
+        # the encoder's tables stay for the next task, whose words are mostly the same: at most about 240,000 short words
+        yield from cut_with(encoder(vocabulary), batches)
 
     def cut_with(enc: ChunkEncoder, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end = np.array([end_id], "<u4").tobytes()
