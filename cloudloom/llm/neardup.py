@@ -253,14 +253,15 @@ def _prefix_pairs(crowd: DataFrame, nodes: DataFrame, docs: DataFrame, size: int
 
     named = crowd.join(nodes.select("node", "id", "hash"), "node")
     each = staged(_with_texts(named, docs).select("node", "component", "text").mapInArrow(spread, "id long, component long, shingle long, n long").distinct(), "crowd")
-    common = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("seen")).filter("seen > 1")
+    # tables of their own, so that a join with them can split a shingle that very many sets hold
+    common = staged(each.groupBy("shingle").agg(F.count(F.lit(1)).alias("seen")).filter("seen > 1"), "common")
     # shingles of one set alone come first in the order and can't meet: they only use up the prefix
     ranked = each.join(common, "shingle", "left").withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy(F.coalesce("seen", F.lit(1)), "shingle")))
     prefix = ranked.filter((F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1) & F.col("seen").isNotNull()).select("shingle", "id", "component", "n", "place")
     prefix = staged(prefix.join(nodes.select(F.col("node").alias("id"), "parity"), "id"), "prefix")
-    parts = prefix.groupBy("shingle").agg(F.ceil(F.count(F.lit(1)) / POSTED).cast("int").alias("parts"))
+    crowds = staged(prefix.groupBy("shingle").agg(F.ceil(F.count(F.lit(1)) / POSTED).cast("int").alias("more")).filter("more > 1"), "crowds")
     own = F.pmod(F.xxhash64("id", F.lit(9)), F.col("parts")).cast("int")
-    dealt = prefix.join(parts, "shingle").withColumn("own", own)
+    dealt = prefix.join(crowds, "shingle", "left").withColumn("parts", F.coalesce("more", F.lit(1))).withColumn("own", own)
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("with")
     dealt = dealt.select("shingle", "id", "component", "n", "place", "parity", "own", other).select("shingle", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "own", "id", "component", "n", "place", "parity")
     dealt = dealt.repartition("shingle", "i", "j").sortWithinPartitions("shingle", "i", "j", "id")
