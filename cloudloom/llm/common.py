@@ -75,6 +75,11 @@ def release(owner: str) -> None:
         if hasattr(table, "old"):
             table.old = {}
         table.clear()
+    give_back()
+
+
+def give_back() -> None:
+    """Hand memory that is free in this process back to the system."""
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL("libc.so.6").malloc_trim(0)

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from cloudloom.llm.bpe import PRETOKEN, WordTable, byte_letters, require_plain
-from cloudloom.llm.common import pieces
+from cloudloom.llm.common import give_back, pieces
 
 #: Bits of a sequence id below the power of two: the input partition, and the number in it.
 PARTITION_BITS, NUMBER_BITS = 24, 34
@@ -42,7 +42,7 @@ class ChunkEncoder:
     as ranks need, and the probes agree; otherwise by the tokenizers library itself.
     """
 
-    def __init__(self, path: str, cached: int = 120_000):
+    def __init__(self, path: str, cached: int = 100_000):
         import os
 
         with open(path, encoding="utf-8") as f:
@@ -57,6 +57,7 @@ class ChunkEncoder:
         if any(self._ids(t) != self._by_library(t) for t in PROBES):
             self._ids = self._by_library
         self._table = WordTable("packing", self._of_chunk, b"".join, cached)
+        give_back()  # what reading the file has taken
 
     def _by_library(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -119,7 +120,7 @@ def pack(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str =
     arrow_id = to_arrow_type(id_type)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # the encoder's tables stay for the next task, whose words are mostly the same: at most about 240,000 short words
+        # the encoder's tables stay for the next task, whose words are mostly the same: at most 200,000 short words
         yield from cut_with(encoder(vocabulary), batches)
 
     def cut_with(enc: ChunkEncoder, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,7 +158,7 @@ def pack(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str =
                         payload.append(piece)
                     start += length
                 held += len(tokens)
-                if held > 8 << 20:
+                if held > 2 << 20:
                     yield full()
                     held = 0
             yield full()
