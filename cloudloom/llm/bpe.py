@@ -116,7 +116,7 @@ class HeapMerger:
     O(n log n) for a chunk of n bytes however long.
     """
 
-    def __init__(self, path: str, cached: int = 150_000):
+    def __init__(self, path: str, cached: int = 250_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         require_plain(spec, path)

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cloudloom.llm.bpe import merger
-from cloudloom.llm.common import pieces, tables
+from cloudloom.llm.common import pieces
 
 
 def token_count(text: Column, vocabulary: str) -> Column:
@@ -23,9 +23,9 @@ def token_count(text: Column, vocabulary: str) -> Column:
     @F.arrow_udf("long")
     def counted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = merger(vocabulary)
-        with tables("token_counts"):
-            for batch in batches:
-                yield pa.array([n for _, texts in pieces(batch) for n in m.counts(texts)], pa.int64())
+        # the merger's tables stay for the next task, whose words are mostly the same; their size is bounded
+        for batch in batches:
+            yield pa.array([n for _, texts in pieces(batch) for n in m.counts(texts)], pa.int64())
 
     return counted(text)
 
