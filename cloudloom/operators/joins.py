@@ -49,6 +49,7 @@ def knn_join(targets: DataFrame, sources: DataFrame, k: int, cell: int | None =
     first = Window.partitionBy(*by, *AXES).orderBy("idx")
     src = sources.select(*by, "idx", *AXES, F.row_number().over(first).alias("__r")).filter(F.col("__r") <= k).select(*by, F.col("idx").alias("s"), *(F.col(a).alias(f"s{a}") for a in AXES))
     src = staged(src, "knn-sources")
+    safe = cell is None  # no cell of the first pass is crowded, so it needs no counts
     if cell is None:
         spans = [stats[2 + 2 * i] - stats[1 + 2 * i] + 1 for i in range(3)]
         cell = max(1, round((math.prod(map(float, spans)) * CELL_ROWS / n) ** (1 / 3)))
@@ -65,13 +66,15 @@ def knn_join(targets: DataFrame, sources: DataFrame, k: int, cell: int | None =
         at = lambda p, cell=cell: [F.floor(F.col(f"{p}{a}") / cell).cast("long").alias(f"g{a}") for a in AXES]
         here = rest.select(*by, *AXES, "need", *at(""))
         there = src.select(*by, "s", *(f"s{a}" for a in AXES), *at("s"))
+        ready = here
         held = there.groupBy(*by, *g).agg(F.count(F.lit(1)).alias("__n"))
         own = here.groupBy(*by, *g).agg(F.max("need").alias("need"))
         named = own.select(*by, *g, "need", *(F.col(x).alias(f"c{x}") for x in g))
         full = around(named, [f"c{x}" for x in g] + ["need"], by).join(held, by + g).groupBy(*by, *(f"c{x}" for x in g)).agg(F.sum("__n").alias("__n"), F.max("need").alias("need"))
-        if not last:
+        if not last and not safe:
             full = full.filter(F.col("__n") >= F.col("need"))
-        ready = here.join(full.select(*by, *(F.col(f"c{x}").alias(x) for x in g)), by + g, "left_semi")
+            ready = here.join(full.select(*by, *(F.col(f"c{x}").alias(x) for x in g)), by + g, "left_semi")
+        safe = False
         d2 = E.distance2(*((F.col(a), F.col(f"s{a}")) for a in AXES))
         near = around(ready, [*AXES, "need"], by).join(there, by + g).select(*by, *AXES, "need", "s", d2.alias("d2"))
         ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy(*by, *AXES).orderBy("d2", "s"))).filter(F.col("rank") <= k)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,16 +36,49 @@ def quantise_dedup(df: DataFrame, scale: float) -> DataFrame:
 
 
 def level_counts(df: DataFrame, levels: int) -> DataFrame:
-    """Occupied nodes and points of each octree level. The levels are rolled up one from the other, so a row is read once."""
-    count = [F.count(F.lit(1)).alias("nodes"), F.sum("n").alias("points")]
-    nodes = staged(df.groupBy(*AXES).agg(F.count(F.lit(1)).alias("n")), "nodes")
-    out = nodes.agg(F.lit(0).alias("level"), *count)
-    for level in range(1, levels):
-        nodes = nodes.groupBy(*(F.shiftright(a, 1).alias(a) for a in AXES)).agg(F.sum("n").alias("n"))
-        if level % 3 == 0:
-            nodes = staged(nodes, "nodes")
-        out = out.unionByName(nodes.agg(F.lit(level).alias("level"), *count))
-    return out.select("level", "nodes", "points")
+    """(level, nodes, points): occupied nodes and points of each octree level, from one range sort of the addresses.
+
+    Two addresses that follow each other part at the level of their highest differing bit, and make two nodes at every level up to it. So
+    each range counts its steps by that level, tells its first and last address, and the rows of all ranges give the nodes of all levels.
+    """
+    spark = df.sparkSession
+    codes = staged(df.groupBy(E.morton(*AXES).alias("m")).agg(F.count(F.lit(1)).alias("n")), "addresses")
+    points = codes.agg(F.sum("n")).first()[0]
+    if not points:
+        return spark.createDataFrame([], "level int, nodes long, points long")
+
+    def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, last, counts = None, None, np.zeros(22, np.int64)
+        for batch in batches:
+            m = batch.column(0).to_numpy()
+            if not len(m):
+                continue
+            row = m if last is None else np.concatenate(([last], m))
+            first = int(m[0]) if first is None else first
+            counts += np.bincount(parting(row[1:] ^ row[:-1]), minlength=22)
+            last = int(m[-1])
+        if first is not None:
+            yield pa.record_batch([pa.array([first]), pa.array([last]), pa.array([counts.tolist()], pa.list_(pa.int64()))], ["first", "last", "counts"])
+
+    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    ranges = codes.select("m").repartitionByRange(n, "m").sortWithinPartitions("m").mapInArrow(steps, "first long, last long, counts array<long>")
+    rows = sorted(ranges.collect())  # a row for each range
+    total = np.sum([r["counts"] for r in rows], axis=0)
+    for a, b in zip(rows, rows[1:], strict=False):
+        total[parting(np.array([a["last"] ^ b["first"]]))[0]] += 1
+    nodes = 1 + total[::-1].cumsum()[::-1]
+    return spark.createDataFrame([(k, int(nodes[k]), points) for k in range(levels)], "level int, nodes long, points long")
+
+
+def parting(gaps: np.ndarray) -> np.ndarray:
+    """The octree level of the highest bit of each difference of two addresses."""
+    bits = np.zeros(len(gaps), np.int64)
+    rest = gaps.astype(np.int64)
+    for k in (32, 16, 8, 4, 2, 1):
+        big = rest >> k > 0
+        bits += np.where(big, k, 0)
+        rest = np.where(big, rest >> k, rest)
+    return bits // 3
 
 
 def occupancy(df: DataFrame, levels: Sequence[int], by: tuple[str, ...] = ()) -> DataFrame:
