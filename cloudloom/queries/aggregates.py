@@ -278,7 +278,8 @@ def srt03_canonical_order(s, d):
 
 @query(I + "SELECT idx, laser, row_number() OVER (PARTITION BY laser ORDER BY round(atan2(CAST(y-900 AS DOUBLE), CAST(x-500 AS DOUBLE))*1000), (x-500)*(x-500)+(y-900)*(y-900), idx) - 1 AS place FROM pts")
 def srt05_azimuth_order(s, d):
-    p, x, y = indexed_points(s, d, "x", "y", "laser"), F.col("x") - 500, F.col("y") - 900
+    # keys of larger tables give squares beyond 32 bits
+    p, x, y = indexed_points(s, d, "x", "y", "laser"), F.col("x").cast("bigint") - 500, F.col("y").cast("bigint") - 900
     keyed = p.select("idx", "laser", F.round(F.atan2(y.cast("double"), x.cast("double")) * 1000).alias("phi"), (x * x + y * y).alias("r2"))
     return partition.place_within(keyed, ["laser"], ["phi", "r2", "idx"]).select("idx", "laser", "place")
 
