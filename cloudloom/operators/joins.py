@@ -9,22 +9,138 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
 from cloudloom.functions import exprs as E
 from cloudloom.sources.shared import staged
 
 AXES = E.AXES
-#: Source rows wanted in a cell of the search grid, and most in the fullest cell where the search starts.
-CELL_ROWS, CELL_MOST = 8, 64
+#: Places wanted in a leaf of the nearest join, most leaves (then they grow), sampled rows for each leaf, rows from which a sample is taken, places of a task, and pairs at a time in a task.
+LEAF_ROWS, MOST_LEAVES, LEAF_SAMPLES, SAMPLED_FROM, TASK_ROWS, PAIRS = 1024, 1 << 16, 32, 1 << 16, 1 << 15, 1 << 19
 #: Most rows of a table that becomes one expression, and most that a join sends to every task; larger tables are shuffled.
 EXPRESSION_ROWS, SMALL_ROWS = 256, 1_000_000
 
 
-def around(df: DataFrame, columns: list[str], by: list[str]) -> DataFrame:
-    """``df`` once for each of the 27 grid cells (gx, gy, gz) around its own."""
-    steps = F.array(*(F.struct(F.lit(i).alias("dx"), F.lit(j).alias("dy"), F.lit(m).alias("dz")) for i in (-1, 0, 1) for j in (-1, 0, 1) for m in (-1, 0, 1)))
-    near = df.select(*by, *columns, *(f"g{a}" for a in AXES), F.explode(steps).alias("o"))
-    return near.select(*by, *columns, *((F.col(f"g{a}") + F.col(f"o.d{a}")).alias(f"g{a}") for a in AXES))
+def apart(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a join that is shuffled and sorted: by size alone Spark may send a table whose few compressed MB are hundreds in the driver."""
+    return df.hint("merge")
+
+
+#: Nodes of ``Regions.nodes``: axis (-1 for a leaf), cut, and the nodes below and from the cut on, or the leaf.
+Node = tuple[int, int, int, int]
+
+
+class Regions:
+    """A tree of cuts for each key with more rows than a leaf should have: space in leaves of about equal numbers of rows. It shapes the work only, so it may come from a sample."""
+
+    def __init__(self, keys: np.ndarray, places: np.ndarray, least: int):
+        self.nodes: dict[str, list[Node]] = {}
+        self.leaves: dict[str, np.ndarray] = {}
+        order = np.argsort(keys, kind="stable")
+        names, begins = np.unique(keys[order], return_index=True)
+        for name, at in zip(names, np.split(order, begins[1:]), strict=True):
+            if len(at) > least:
+                nodes: list[Node] = []
+                self._grow(nodes, places[at], least, [0])
+                self.nodes[str(name)] = nodes
+
+    def _grow(self, nodes: list[Node], p: np.ndarray, least: int, leaves: list[int]) -> int:
+        here = len(nodes)
+        nodes.append((-1, 0, leaves[0], 0))
+        if len(p) > least:
+            axis = int(np.argmax(p.max(0) - p.min(0)))
+            cut = int(np.sort(p[:, axis])[len(p) // 2])
+            below = p[:, axis] < cut
+            if not below.any():  # half of them share the least value
+                cut += 1
+                below = p[:, axis] < cut
+            if below.any() and not below.all():
+                low = self._grow(nodes, p[below], least, leaves)
+                high = self._grow(nodes, p[~below], least, leaves)
+                nodes[here] = (axis, cut, low, high)
+                return here
+        leaves[0] += 1
+        return here
+
+    def place(self, key: str, p: np.ndarray) -> np.ndarray:
+        """The leaf of each of ``p``; 0 for a key without cuts."""
+        out = np.zeros(len(p), np.int32)
+        nodes = self.nodes.get(key)
+        waiting = [(0, np.arange(len(p)))] if nodes else []
+        while waiting:
+            n, at = waiting.pop()
+            axis, cut, low, high = nodes[n]
+            if axis < 0:
+                out[at] = low
+            elif len(at):
+                below = p[at, axis] < cut
+                waiting += [(low, at[below]), (high, at[~below])]
+        return out
+
+
+def _nearest(p: np.ndarray, src: np.ndarray, s: np.ndarray, k: int, most: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of p, s, d2) of the ``k`` nearest of ``src`` (in order of s) to each of ``p``, by distance and s; ``most`` bounds the squared distances."""
+    rows, ids, far = [], [], []
+    step = max(1, PAIRS // max(1, len(src)))
+    for i in range(0, len(p), step):
+        q = p[i : i + step]
+        d = (q[:, None, 0] - src[None, :, 0]) ** 2
+        for axis in (1, 2):
+            d += (q[:, None, axis] - src[None, :, axis]) ** 2
+        if k == 1:
+            c = d.argmin(1)
+            r = np.arange(len(q))
+        else:
+            bound = np.partition(d, k - 1, 1)[:, k - 1] if len(src) > k else d.max(1)
+            if most is not None:
+                bound = np.minimum(bound, most[i : i + step])
+            r, c = np.nonzero(d <= bound[:, None])
+        v = d[r, c]
+        if k > 1:
+            by = np.lexsort((c, v, r))
+            r, c, v = r[by], c[by], v[by]
+            kept = _rank(r) < k
+            r, c, v = r[kept], c[kept], v[kept]
+        elif most is not None:
+            kept = v <= most[i : i + step]
+            r, c, v = r[kept], c[kept], v[kept]
+        rows.append(r + i)
+        ids.append(s[c])
+        far.append(v)
+    return np.concatenate(rows), np.concatenate(ids), np.concatenate(far)
+
+
+def _rank(r: np.ndarray) -> np.ndarray:
+    """The place of each of the sorted ``r`` among equal ones, from 0."""
+    new = np.r_[True, r[1:] != r[:-1]]
+    return np.arange(len(r)) - np.maximum.accumulate(np.where(new, np.arange(len(r)), 0))
+
+
+def _reach(p: np.ndarray, boxes: np.ndarray, k: int) -> np.ndarray:
+    """A squared distance within which each of ``p`` has ``k`` sources, or all: that to the far corners of the boxes (n, low, high) nearest by them."""
+    if boxes[:, 0].sum() <= k:
+        return np.full(len(p), np.iinfo(np.int64).max)
+    out = np.empty(len(p), np.int64)
+    for i, q in enumerate(p):
+        away = (np.maximum(np.abs(q - boxes[:, 1:4]), np.abs(q - boxes[:, 4:7])) ** 2).sum(1)
+        order = np.argsort(away)
+        out[i] = away[order[np.searchsorted(np.cumsum(boxes[order, 0]), k)]]
+    return out
+
+
+def _crossing(p: np.ndarray, most: np.ndarray, boxes: np.ndarray, own: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row of p, box) of the boxes other than ``own`` that begin within ``most`` of each of ``p``."""
+    gap = lambda low, high, box: (np.maximum(np.maximum(box[:, 1:4] - high, low - box[:, 4:7]), 0) ** 2).sum(-1)
+    near = np.flatnonzero((gap(p.min(0), p.max(0), boxes) <= most.max()) & (boxes[:, 0] > 0))
+    near = near[near != own]
+    rows, leaves = [], []
+    step = max(1, PAIRS // max(1, len(near)))
+    for i in range(0, len(p) if len(near) else 0, step):
+        r, c = np.nonzero(np.stack([gap(q, q, boxes[near]) for q in p[i : i + step]]) <= most[i : i + step, None])
+        rows.append(r + i)
+        leaves.append(near[c])
+    return (np.concatenate(rows), np.concatenate(leaves)) if rows else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
 def knn_join(targets: DataFrame, sources: DataFrame, k: int, cell: int | None = None, by: tuple[str, ...] = ()) -> DataFrame:
@@ -33,67 +149,111 @@ def knn_join(targets: DataFrame, sources: DataFrame, k: int, cell: int | None =
     Both need ``idx, x, y, z`` and the columns of ``by``, within whose values points are compared. Exact for any data:
 
     * A place counts once on both sides: equal targets are searched together, and of equal sources only the first ``k`` can be answers.
-    * The grid starts as fine as its fullest cell asks. A place is compared with the sources of the 27 cells around it once
-      these hold enough of them; counts tell that before any pair is made, so dense regions are done in fine cells and only what is left goes on in wider ones.
-    * A place is done when its k-th distance is no more than the cell width, for nothing outside those cells can then be nearer.
+    * Space is cut into leaves of about ``cell`` places by medians of a sample, for each key with more of them. A place is compared with the sources of its own leaf first.
+    * Where the box of another leaf's sources begins within the k-th distance, the place visits that leaf too. Leaf and visits together hold all nearest ones.
+
+    So a place meets its leaf and a few around it, in two passes whatever the data. Only a row for each leaf is gathered.
     """
-    by, g = list(by), [f"g{a}" for a in AXES]
+    by = list(by)
     spark, schema = targets.sparkSession, "t long, s long, d2 long, rank int"
-    box = lambda df: df.agg(F.count(F.lit(1)), *(f(a) for a in AXES for f in (F.min, F.max))).first()
-    stats, t_stats = box(sources), box(targets)
-    n = stats[0]
-    if not n or not t_stats[0]:
-        return spark.createDataFrame([], schema)
-    low, high = (min(x[1::2]) for x in (stats, t_stats)), (max(x[2::2]) for x in (stats, t_stats))
-    extent = max(high) - min(low) + 1
     first = Window.partitionBy(*by, *AXES).orderBy("idx")
-    src = sources.select(*by, "idx", *AXES, F.row_number().over(first).alias("__r")).filter(F.col("__r") <= k).select(*by, F.col("idx").alias("s"), *(F.col(a).alias(f"s{a}") for a in AXES))
-    src = staged(src, "knn-sources")
-    safe = cell is None  # no cell of the first pass is crowded, so it needs no counts
-    if cell is None:
-        spans = [stats[2 + 2 * i] - stats[1 + 2 * i] + 1 for i in range(3)]
-        cell = max(1, round((math.prod(map(float, spans)) * CELL_ROWS / n) ** (1 / 3)))
-        fullest = src.groupBy(*by, *(F.floor(F.col(f"s{a}") / cell) for a in AXES)).count().agg(F.max("count")).first()[0]
-        while fullest > CELL_MOST and cell > 1:
-            cell, fullest = -(-cell // 2), fullest / 8
-    need = src.groupBy(*by).agg(F.least(F.count(F.lit(1)), F.lit(k)).cast("int").alias("need"))
-    places = targets.select(*by, *AXES).distinct()
-    rest = places.join(need, by) if by else places.crossJoin(F.broadcast(need))  # one row
-    rest = staged(rest, "knn-places")
-    all_places, parts = rest.count(), []
-    while True:
-        last = cell >= extent
-        at = lambda p, cell=cell: [F.floor(F.col(f"{p}{a}") / cell).cast("long").alias(f"g{a}") for a in AXES]
-        here = rest.select(*by, *AXES, "need", *at(""))
-        there = src.select(*by, "s", *(f"s{a}" for a in AXES), *at("s"))
-        ready = here
-        held = there.groupBy(*by, *g).agg(F.count(F.lit(1)).alias("__n"))
-        own = here.groupBy(*by, *g).agg(F.max("need").alias("need"))
-        named = own.select(*by, *g, "need", *(F.col(x).alias(f"c{x}") for x in g))
-        full = around(named, [f"c{x}" for x in g] + ["need"], by).join(held, by + g).groupBy(*by, *(f"c{x}" for x in g)).agg(F.sum("__n").alias("__n"), F.max("need").alias("need"))
-        if not last and not safe:
-            full = full.filter(F.col("__n") >= F.col("need"))
-            ready = here.join(full.select(*by, *(F.col(f"c{x}").alias(x) for x in g)), by + g, "left_semi")
-        safe = False
-        d2 = E.distance2(*((F.col(a), F.col(f"s{a}")) for a in AXES))
-        near = around(ready, [*AXES, "need"], by).join(there, by + g).select(*by, *AXES, "need", "s", d2.alias("d2"))
-        ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy(*by, *AXES).orderBy("d2", "s"))).filter(F.col("rank") <= k)
-        if last:
-            parts.append(ranked)
-            break
-        ranked = staged(ranked, "knn")
-        done = ranked.filter((F.col("rank") == F.col("need")) & (F.col("d2") <= cell * cell)).select(*by, *AXES)
-        parts.append(ranked.join(done, by + list(AXES), "left_semi"))
-        rest = staged(rest.join(done, by + list(AXES), "left_anti"), "knn-rest")
-        left = rest.count()
-        if not left:
-            break
-        # cells twice as wide hold eight times as many rows: an eighth of the places may go on in them for the same work
-        cell *= 2 ** max(1, math.floor(math.log(all_places / left, 8)))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return targets.select(F.col("idx").alias("t"), *by, *AXES).join(out, by + list(AXES)).select("t", "s", "d2", "rank")
+    known = lambda df: df.select(*(F.col(c).cast(targets.schema[c].dataType).alias(c) for c in by), "idx", *(F.col(a).cast("long").alias(a) for a in AXES)).dropna(subset=[*by, *AXES])
+    named = lambda df: df.withColumn("__key", F.to_json(F.struct(*by)) if by else F.lit(""))
+    src = staged(named(known(sources).withColumn("__r", F.row_number().over(first)).filter(F.col("__r") <= k).select(*by, *AXES, F.col("idx").cast("long").alias("s"))), "knn-sources")
+    places = staged(named(known(targets).select(*by, *AXES).distinct()), "knn-places")
+    n, n_places = src.count(), places.count()
+    if not n or not n_places:
+        return spark.createDataFrame([], schema)
+    leaf_rows = max(cell or LEAF_ROWS, (n + n_places) // MOST_LEAVES)
+    share = LEAF_SAMPLES / leaf_rows if n + n_places > SAMPLED_FROM else 1.0
+    seen = [df.select("__key", *AXES).sample(share, 7).toArrow() for df in (places, src)]  # about LEAF_SAMPLES rows for each leaf
+    seen = pa.concat_tables(seen)
+    regions = Regions(seen["__key"].to_numpy().astype(str), np.stack([seen[a].to_numpy() for a in AXES], 1).astype(np.int64), max(1, int(2 * leaf_rows * share)))
+    held = spark.sparkContext.broadcast(regions)
+
+    @F.arrow_udf("int")
+    def leaf(key: pa.Array, x: pa.Array, y: pa.Array, z: pa.Array) -> pa.Array:
+        p = np.stack([a.to_numpy(zero_copy_only=False) for a in (x, y, z)], 1)
+        out, coded = np.zeros(len(p), np.int32), key.dictionary_encode()
+        which = coded.indices.to_numpy(zero_copy_only=False)
+        for i, name in enumerate(coded.dictionary.to_pylist()):
+            if name in held.value.nodes:
+                at = np.flatnonzero(which == i)
+                out[at] = held.value.place(name, p[at])
+        return pa.array(out)
+
+    group = [*by, "__leaf"]
+    at = lambda df: df.withColumn("__leaf", leaf("__key", *AXES)) if regions.nodes else df.withColumn("__leaf", F.lit(0))
+    boxes: dict[str, np.ndarray] = {}
+    if regions.nodes:
+        ends = at(src.filter(F.col("__key").isin(list(regions.nodes)) if len(regions.nodes) <= EXPRESSION_ROWS else F.lit(True))).groupBy("__key", "__leaf").agg(F.count(F.lit(1)).alias("n"), *(f(a) for f in (F.min, F.max) for a in AXES))
+        if len(regions.nodes) > EXPRESSION_ROWS:
+            ends = ends.join(F.broadcast(spark.createDataFrame([(x,) for x in regions.nodes], "__key string")), "__key", "left_semi")  # at most MOST_LEAVES rows
+        cut = ends.toArrow()
+        for name, i, *box in zip(*(cut[c].to_pylist() for c in cut.column_names), strict=True):
+            if name not in boxes:
+                boxes[name] = np.zeros((sum(x[0] < 0 for x in regions.nodes[name]), 7), np.int64)
+            boxes[name][i] = box
+    held_boxes = spark.sparkContext.broadcast(boxes)
+    fields = [targets.schema[c] for c in by]
+    kinds = [to_arrow_type(f.dataType) for f in fields]
+    out_schema = StructType([*fields, *(StructField(c, LongType()) for c in (*AXES, "s", "d2")), StructField("rank", IntegerType()), StructField("__leaf", IntegerType()), StructField("__key", StringType())])
+
+    def rows(keys: tuple, name: str, p: np.ndarray, s, d2: np.ndarray, rank, to) -> pa.Table:
+        """Rows found (``to`` -1: done, -2: open), or visits (no s) to a leaf."""
+        full = lambda v: np.full(len(p), v, np.int32) if np.isscalar(v) else v.astype(np.int32)
+        own = [pa.array([key.as_py()] * len(p), kind) for key, kind in zip(keys, kinds, strict=False)]
+        ids = pa.nulls(len(p), pa.int64()) if s is None else pa.array(s, pa.int64())
+        return pa.Table.from_arrays([*own, *(pa.array(p[:, i]) for i in range(3)), ids, pa.array(d2), pa.array(full(rank)), pa.array(full(to)), pa.array([name] * len(p), pa.string())], out_schema.names)
+
+    def arrays(t: pa.Table, *columns: str) -> np.ndarray:
+        return np.stack([t[c].to_numpy() for c in columns], 1)
+
+    def own_leaf(keys: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        here, none = int(keys[-1].as_py()), rows(keys, "", np.zeros((0, 3), np.int64), None, np.zeros(0, np.int64), 0, 0)
+        if not left.num_rows:
+            return none
+        name = left["__key"][0].as_py()
+        known = held_boxes.value.get(name)
+        if known is None and not right.num_rows:
+            return none
+        right = right.sort_by("s")
+        p, src_p, s = arrays(left, *AXES), arrays(right, *AXES), right["s"].to_numpy()
+        if known is None:
+            r, ids, d2 = _nearest(p, src_p, s, k)
+            return rows(keys, name, p[r], ids, d2, _rank(r) + 1, -1)
+        most = np.empty(len(p), np.int64)
+        if len(s) >= k:
+            r, ids, d2 = _nearest(p, src_p, s, k)
+            last = np.r_[r[1:] != r[:-1], True]
+            most[r[last]] = d2[last]
+        else:
+            most[:] = _reach(p, known, k)
+            r, ids, d2 = _nearest(p, src_p, s, k) if len(s) else (np.zeros(0, np.int64),) * 3
+        to, there = _crossing(p, most, known, here)
+        is_open = np.zeros(len(p), bool)
+        is_open[to] = True
+        return pa.concat_tables([rows(keys, name, p[r], ids, d2, _rank(r) + 1 if len(r) else 0, np.where(is_open[r], -2, -1)), rows(keys, name, p[to], None, most[to], 0, there)])
+
+    def visit(keys: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return rows(keys, "", np.zeros((0, 3), np.int64), None, np.zeros(0, np.int64), 0, 0)
+        right = right.sort_by("s")
+        p = arrays(left, *AXES)
+        r, ids, d2 = _nearest(p, arrays(right, *AXES), right["s"].to_numpy(), k, left["d2"].to_numpy())
+        return rows(keys, "", p[r], ids, d2, 0, -2)
+
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), (n + n_places) // TASK_ROWS)
+    dealt = lambda df: df.repartition(tasks, *group).groupBy(*group)
+    met = lambda left, f: dealt(left).cogroup(dealt(at(src).select(*group, *AXES, "s"))).applyInArrow(f, out_schema)
+    found = staged(met(at(places).select(*group, *AXES, "__key"), own_leaf), "knn")
+    place = [*by, *AXES]
+    out = found.filter("__leaf = -1").select(*place, "s", "d2", "rank")
+    if boxes:
+        more = met(found.filter("__leaf >= 0").select(*group, *AXES, "d2"), visit).unionByName(found.filter("__leaf = -2"))
+        ranked = more.select(*place, "s", "d2", F.row_number().over(Window.partitionBy(*place).orderBy("d2", "s")).alias("rank"))
+        out = out.unionByName(ranked.filter(F.col("rank") <= k))
+    return targets.select(F.col("idx").cast("long").alias("t"), *by, *(F.col(a).cast("long").alias(a) for a in AXES)).join(apart(out), place).select("t", "s", "d2", "rank")
 
 
 def nearest_value(df: DataFrame, value: Column, table: DataFrame, table_value: str, table_key: str, name: str) -> DataFrame:

@@ -3,8 +3,14 @@
 import math
 
 import duckdb
+import numpy as np
+import pytest
+from compare import connect, difference
+from pyspark.sql import functions as F
 
-from cloudloom.queries import aggregates
+from cloudloom.operators import joins, surface
+from cloudloom.queries import aggregates, coding, spatial, surfaces
+from cloudloom.queries.registry import ORACLE
 
 
 def moved(sf_dir, to, table, keys):
@@ -14,6 +20,10 @@ def moved(sf_dir, to, table, keys):
     return str(to)
 
 
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_azimuth_order_of_wide_keys(spark, sf_dir, tmp_path):
     d = moved(sf_dir, tmp_path, "lineitem", {"l_partkey": 200_000})
     place = {r.idx: (r.laser, r.place) for r in aggregates.srt05_azimuth_order(spark, d).collect()}
@@ -23,3 +33,27 @@ def test_azimuth_order_of_wide_keys(spark, sf_dir, tmp_path):
     for r in sorted(rows, key=key):
         assert place[r.idx] == (r.laser, counts.get(r.laser, 0))
         counts[r.laser] = counts.get(r.laser, 0) + 1
+
+
+def brute(q, p, k):
+    d = ((q[:, None] - p[None]) ** 2).sum(2)
+    return {(t, r + 1): (int(s), int(d[t, s])) for t in range(len(q)) for r, s in enumerate(np.lexsort((np.arange(len(p)), d[t]))[:k])}
+
+
+@pytest.mark.parametrize("k", [1, 3])
+@pytest.mark.parametrize("sampled", [False, True])
+def test_knn_over_leaves(spark, monkeypatch, k, sampled):
+    if sampled:
+        monkeypatch.setattr(joins, "SAMPLED_FROM", 100)
+        monkeypatch.setattr(joins, "LEAF_SAMPLES", 4)
+    rng = np.random.default_rng(5)
+    # crowds, a line, repeated places, targets far from all sources
+    p = np.concatenate([rng.integers(0, 2000, (300, 3)), rng.integers(500, 530, (400, 3)), np.stack([np.arange(200) * 9, *[np.full(200, 7)] * 2], 1), np.full((60, 3), 700)])
+    q = np.concatenate([rng.integers(-300, 2300, (300, 3)), rng.integers(490, 540, (200, 3)), rng.integers(8000, 9000, (100, 3)), np.full((5, 3), 700)])
+    table = lambda v: spark.createDataFrame([(i, *map(int, x)) for i, x in enumerate(v)], "idx long, x int, y int, z int")
+    out = joins.knn_join(table(q), table(p), k, 16)
+    assert {(r.t, r["rank"]): (r.s, r.d2) for r in out.collect()} == brute(q, p, k)
+
+
+def test_knn_sends_no_table_whole(spark, sf_dir):
+    assert "Broadcast" not in plan(spatial.jn01_knn_between_frames(spark, sf_dir))
