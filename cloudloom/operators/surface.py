@@ -11,16 +11,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cloudloom.functions import exprs as E
-from cloudloom.operators.joins import knn_join
+from cloudloom.operators.joins import apart, knn_join
 from cloudloom.sources.shared import staged
 
 AXES = E.AXES
 NODE = ["nx", "ny", "nz"]
 FRACTION = 8
+#: Most points of a node that are compared in one row.
+NODE_POINTS = 1024
 ONE, HALF = 1 << FRACTION, 1 << FRACTION - 1
 #: The twelve edges of a node in their order, each the axis it runs along and the corner it starts at.
 EDGES = ((0, 0, 0, 0), (1, 0, 0, 0), (0, 0, 1, 0), (1, 1, 0, 0), (2, 0, 0, 0), (2, 0, 1, 0), (2, 1, 1, 0), (2, 1, 0, 0), (0, 0, 0, 1), (1, 0, 0, 1), (0, 0, 1, 1), (1, 1, 0, 1))
@@ -359,15 +362,41 @@ def surface_within(df: DataFrame, bits: int, most: int, reach: int = 2, most_ste
 
 def sampling_estimates(df: DataFrame, bits: int, neighbours: int = 4) -> DataFrame:
     """(nx, ny, nz, n, area, tight, spacing): three estimates of the distance of a node's points: from its width, from the two longer sides of
-    its tight box, and as the mean distance to the ``neighbours`` nearest in the node, null for a lone point."""
-    p = nodes_of(df, bits, "idx")
-    box = p.groupBy(*NODE).agg(F.count(F.lit(1)).alias("n"), *((F.max(f"v{a}") - F.min(f"v{a}")).alias(f"d{a}") for a in AXES))
+    its tight box, and as the mean distance to the ``neighbours`` nearest in the node, null for a lone point.
+
+    Nodes of at most ``NODE_POINTS`` points are one row each and compared inside; those with more go by ``knn_join``.
+    """
+    p = nodes_of(df, bits)
+    size = F.count(F.lit(1))
+    crowded = staged(p.groupBy(*NODE).agg(size.alias("__n")).filter(F.col("__n") > NODE_POINTS).select(*NODE), "crowded")
+    some = not crowded.isEmpty()
+    code = F.shiftleft(F.shiftleft(F.col("vx").cast("bigint"), bits).bitwiseOR(F.col("vy").cast("bigint")), bits).bitwiseOR(F.col("vz").cast("bigint"))
+    box = [size.alias("n"), *((F.max(f"v{a}") - F.min(f"v{a}")).alias(f"d{a}") for a in AXES)]
+
+    @F.arrow_udf("double")
+    def mean_distance(nodes: pa.Array) -> pa.Array:
+        codes, ends = nodes.flatten().to_numpy(), np.r_[0, np.cumsum(pc.list_value_length(nodes).to_numpy())]
+        at = np.stack([codes >> 2 * bits, codes >> bits & (1 << bits) - 1, codes & (1 << bits) - 1], 1)
+        out = np.full(len(nodes), np.nan)
+        for i, (low, high) in enumerate(zip(ends, ends[1:])):
+            if high - low > 1:
+                q = at[low:high]
+                d = sum((q[:, None, j] - q[None, :, j]) ** 2 for j in range(3))
+                most = min(neighbours + 1, len(q))  # a point itself is among its nearest, at distance 0
+                out[i] = np.sqrt(np.partition(d, most - 1, 1)[:, :most]).sum() / (len(q) * (most - 1))
+        return pa.array(out, from_pandas=True)
+
+    small = p.join(apart(crowded), NODE, "left_anti") if some else p
+    each = small.groupBy(*NODE).agg(*box, F.collect_list(code).alias("codes")).select(*NODE, "n", "dx", "dy", "dz", mean_distance("codes").alias("spacing"))
+    if some:
+        rows = staged(p.join(apart(crowded), NODE, "left_semi").select(*NODE, F.monotonically_increasing_id().alias("idx"), *(F.col(f"v{a}").alias(a) for a in AXES)), "crowded-rows")
+        near = knn_join(rows, rows, neighbours + 1, by=tuple(NODE)).filter("t <> s")
+        # a point among more equal ones than neighbours asked for is not among its own nearest: one too many is left
+        order = F.row_number().over(Window.partitionBy("t").orderBy("d2", "s"))
+        mean = near.withColumn("r", order).filter(F.col("r") <= neighbours).groupBy(F.col("t").alias("idx")).agg(F.avg(F.sqrt(F.col("d2").cast("double"))).alias("d"))
+        spacing = rows.select(*NODE, "idx").join(apart(mean), "idx").groupBy(*NODE).agg(F.avg("d").alias("spacing"))
+        boxes = rows.select(*NODE, *(F.col(a).alias(f"v{a}") for a in AXES)).groupBy(*NODE).agg(*box)
+        each = each.unionByName(boxes.join(apart(spacing), NODE))
     sides = F.sort_array(F.array("dx", "dy", "dz"))
-    rows = p.select(*NODE, "idx", *(F.col(f"v{a}").alias(a) for a in AXES))
-    near = knn_join(rows, rows, neighbours + 1, by=tuple(NODE)).filter("t <> s")
-    # a point among more equal ones than neighbours asked for is not among its own nearest: one too many is left
-    order = F.row_number().over(Window.partitionBy("t").orderBy("d2", "s"))
-    each = near.withColumn("r", order).filter(F.col("r") <= neighbours).groupBy(F.col("t").alias("idx")).agg(F.avg(F.sqrt(F.col("d2").cast("double"))).alias("d"))
-    spacing = rows.select(*NODE, "idx").join(each, "idx").groupBy(*NODE).agg(F.avg("d").alias("spacing"))
     n = F.col("n").cast("double")
-    return box.join(spacing, NODE, "left").select(*NODE, "n", (F.lit(float(1 << bits)) / F.sqrt(n)).alias("area"), F.sqrt(F.get(sides, F.lit(2)) * F.get(sides, F.lit(1)) / n).alias("tight"), "spacing")
+    return each.select(*NODE, "n", (F.lit(float(1 << bits)) / F.sqrt(n)).alias("area"), F.sqrt(F.get(sides, F.lit(2)) * F.get(sides, F.lit(1)) / n).alias("tight"), "spacing")

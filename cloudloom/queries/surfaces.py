@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from cloudloom.operators import surface
 from cloudloom.queries.registry import query
 from cloudloom.sources.clouds import SQL_INDEXED, SQL_POINTS, indexed_points, points
+from cloudloom.sources.shared import staged
 
 BITS, REACH = 3, 2
 AXES = "xyz"
@@ -46,8 +47,7 @@ SQL_PAIRS = "p AS (SELECT nx, ny, nz, i, sqrt(CAST(d AS DOUBLE)) AS dist, row_nu
   "b AS (SELECT x >> 3 AS nx, y >> 3 AS ny, z >> 3 AS nz, count(*) AS n, list_sort([max(x) - min(x), max(y) - min(y), max(z) - min(z)]) AS l FROM v GROUP BY 1, 2, 3) "
   "SELECT nx, ny, nz, n, round(8.0::DOUBLE / sqrt(CAST(n AS DOUBLE)), 6) AS area, round(sqrt(CAST(l[3] * l[2] AS DOUBLE) / n), 6) AS tight, round(spacing, 6) AS spacing FROM b LEFT JOIN e USING (nx, ny, nz)")
 def tri03_sampling_estimates(s, d):
-    v = voxels(s, d).select((F.col("x").cast("long") * 67108864 + F.col("y") * 8192 + F.col("z")).alias("idx"), *AXES)
-    e = surface.sampling_estimates(v, BITS)
+    e = surface.sampling_estimates(staged(voxels(s, d), "voxels"), BITS)
     return e.select("nx", "ny", "nz", "n", *(F.round(c, 6).alias(c) for c in ("area", "tight", "spacing")))
 
 

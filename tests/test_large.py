@@ -61,3 +61,15 @@ def test_knn_sends_no_table_whole(spark, sf_dir):
 
 def test_normal_equations_send_no_table_whole(spark, sf_dir):
     assert "Broadcast" not in plan(aggregates.agg20_normal_equations(spark, sf_dir))
+
+
+@pytest.mark.parametrize("most", [1024, 2])
+def test_spacing_of_wide_keys(spark, sf_dir, tmp_path, monkeypatch, most):
+    monkeypatch.setattr(surface, "NODE_POINTS", most, raising=False)  # nodes above go by the nearest join
+    # y >> 5 goes beyond 8192, so places must not be numbered by it
+    d = moved(sf_dir, tmp_path, "lineitem", {"l_partkey": 8192 * 32})
+    assert difference(surfaces.tri03_sampling_estimates(spark, d), connect(d), ORACLE["tri03_sampling_estimates"]) is None
+
+
+def test_spacing_sends_no_table_whole(spark, sf_dir):
+    assert "Broadcast" not in plan(surfaces.tri03_sampling_estimates(spark, sf_dir))
