@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cloudloom.functions import exprs as E
+from cloudloom.operators.joins import apart
 from cloudloom.sources.shared import staged
 
 AXES = E.AXES
@@ -175,7 +176,7 @@ def upsampled(parents: DataFrame) -> DataFrame:
     sent = parents.select("node", "v", F.explode(looks).alias("l"))
     # a node sees its neighbour at a step, so it is found by the step back
     sent = sent.select(E.morton_subtract(E.morton_add(F.col("node"), F.col("l.b")), F.col("l.f")).alias("node"), F.col("v").alias("nv"), F.col("l.weight").alias("weight"), F.col("l.mask").alias("mask"))
-    met = sent.join(parents, "node").filter((F.col("mask") == 255) | ((10 * F.col("nv") > 2 * F.col("v")) & (10 * F.col("nv") < 25 * F.col("v"))))
+    met = sent.join(apart(parents), "node").filter((F.col("mask") == 255) | ((10 * F.col("nv") > 2 * F.col("v")) & (10 * F.col("nv") < 25 * F.col("v"))))
     on = lambda i: F.col("mask").bitwiseAND(1 << i) > 0
     return met.groupBy("node").agg(*((F.sum(F.when(on(i), F.col("weight") * F.col("nv"))) / F.sum(F.when(on(i), F.col("weight")))).alias(f"p{i}") for i in range(8)))
 
@@ -193,17 +194,17 @@ def raht_predicted(df: DataFrame, value: str, depth: int, qp: int, predict: bool
     for k in range(depth - 1, -1, -1):
         here = blocks.filter(F.col("level") == 3 * k)
         real = transform_blocks(here)
-        rows = here.select("node", *(f"w{i}" for i in range(8))).join(real.drop("level"), "node")
+        rows = here.select("node", *(f"w{i}" for i in range(8))).join(apart(real.drop("level")), "node")
         if known is None:
             root = rows.select(F.lit(3 * k).alias("level"), "node", F.lit(0).alias("band"), scaled(F.col("c0")).alias("q"))
             coded = root
             known = rows.select("node", (scaled(F.col("c0")) * step / F.sqrt("w")).alias("v"))
         if predict:
-            guess = here.select("level", "node", *(f"w{i}" for i in range(8))).join(upsampled(known), "node").select("level", "node", *(f"w{i}" for i in range(8)), *((F.col(f"p{i}") * F.col(f"w{i}")).alias(f"s{i}") for i in range(8)))
-            rows = rows.join(transform_blocks(guess).select("node", *(F.col(f"c{i}").alias(f"g{i}") for i in range(1, 8))), "node")
+            guess = here.select("level", "node", *(f"w{i}" for i in range(8))).join(apart(upsampled(known)), "node").select("level", "node", *(f"w{i}" for i in range(8)), *((F.col(f"p{i}") * F.col(f"w{i}")).alias(f"s{i}") for i in range(8)))
+            rows = rows.join(apart(transform_blocks(guess).select("node", *(F.col(f"c{i}").alias(f"g{i}") for i in range(1, 8)))), "node")
         else:
             rows = rows.withColumns({f"g{i}": F.lit(0.0) for i in range(1, 8)})
-        rows = staged(rows.join(known, "node").select("node", "w", "v", *(f"w{i}" for i in range(8)), *(f"g{i}" for i in range(1, 8)), *(scaled(F.col(f"c{i}") - F.coalesce(F.col(f"g{i}"), F.lit(0.0))).alias(f"q{i}") for i in range(1, 8))), "coded")
+        rows = staged(rows.join(apart(known), "node").select("node", "w", "v", *(f"w{i}" for i in range(8)), *(f"g{i}" for i in range(1, 8)), *(scaled(F.col(f"c{i}") - F.coalesce(F.col(f"g{i}"), F.lit(0.0))).alias(f"q{i}") for i in range(1, 8))), "coded")
         each = rows.select("node", F.explode(F.array(*(F.struct(F.lit(i).alias("band"), F.col(f"q{i}").alias("q")) for i in range(1, 8)))).alias("e")).select(F.lit(3 * k).alias("level"), "node", "e.*").filter("q is not null")
         coded = coded.unionByName(each)
         rebuilt = {f"c{i}": F.when(F.col(f"q{i}").isNotNull(), F.coalesce(F.col(f"g{i}"), F.lit(0.0)) + F.col(f"q{i}") * step) for i in range(1, 8)} | {"c0": F.col("v") * F.sqrt("w")}
@@ -219,7 +220,7 @@ def raht_attributes(df: DataFrame, attributes: list[str], depth: int, qp: int, h
     out = None
     for a in attributes:
         v = raht_predicted(df, a, depth, qp)[1].select("m", E.clip(F.round("v"), 0, high).cast("int").alias(a))
-        out = v if out is None else out.join(v, "m")
+        out = v if out is None else out.join(apart(v), "m")
     return out
 
 
