@@ -57,8 +57,8 @@ def reference_choice(df: DataFrame, level: int, frame: str = "frame") -> DataFra
     return missed.withColumn("behind", F.coalesce(F.col("missed_before") >= F.col("missed_behind"), F.col("missed_before").isNull()))
 
 
-def moved_reference(reference: DataFrame, current: DataFrame, source: str, motion: DataFrame | None = None, by: str = "frame") -> DataFrame:
-    """The reference's points where a motion takes them. ``source``: ``none``, ``external`` (rows of ``motion``, applied outside its heights), or ``estimated`` from the points themselves."""
+def moved_reference(reference: DataFrame, current: DataFrame, source: str, motion: DataFrame | None = None, by: str = "frame", near: DataFrame | None = None) -> DataFrame:
+    """The reference's points where a motion takes them. ``source``: ``none``, ``external`` (rows of ``motion``, applied outside its heights), or ``estimated`` from the points themselves and their pairs ``near`` (t, s), which are searched where they are not given."""
     if source == "none":
         return reference
     if source == "external":
@@ -67,7 +67,7 @@ def moved_reference(reference: DataFrame, current: DataFrame, source: str, motio
         return project.apply_motion(reference, motion)
     if source != "estimated":
         raise ValueError(f"no motion source {source}")
-    m = estimate_motion(reference, current, by)
+    m = estimate_motion(reference, current, by, near)
     one = m.groupBy(by).agg(*(F.max(F.when(F.col("axis") == a, F.struct("m0", "m1", "m2", "t"))).alias(f"m_{a}") for a in AXES))  # a row a frame
     rows = reference.join(one, by)
     at = lambda a: F.round(F.col(f"m_{a}.m0") * F.col("x") + F.col(f"m_{a}.m1") * F.col("y") + F.col(f"m_{a}.m2") * F.col("z") + F.col(f"m_{a}.t")).cast("int")

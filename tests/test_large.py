@@ -8,7 +8,7 @@ import pytest
 from compare import connect, difference
 from pyspark.sql import functions as F
 
-from cloudloom.operators import joins, surface
+from cloudloom.operators import joins, kernels, surface
 from cloudloom.queries import aggregates, coding, spatial, surfaces
 from cloudloom.queries.registry import ORACLE
 
@@ -78,3 +78,10 @@ def test_spacing_sends_no_table_whole(spark, sf_dir):
 @pytest.mark.parametrize("name", ["raht08_predicted_round_trip"])
 def test_predicted_transform_sends_no_table_whole(spark, sf_dir, name):
     assert "Broadcast" not in plan(getattr(coding, name)(spark, sf_dir))
+
+
+def test_motion_sources_search_once_and_send_no_table_whole(spark, sf_dir, monkeypatch):
+    calls = []
+    for at in (joins, kernels):
+        monkeypatch.setattr(at, "knn_join", lambda *a, f=at.knn_join, **b: calls.append(1) or f(*a, **b))
+    assert "BroadcastHashJoin" not in plan(coding.oct11_motion_sources(spark, sf_dir)) and len(calls) == 1
