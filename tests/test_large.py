@@ -75,6 +75,10 @@ def test_spacing_sends_no_table_whole(spark, sf_dir):
     assert "Broadcast" not in plan(surfaces.tri03_sampling_estimates(spark, sf_dir))
 
 
+def test_motion_estimate_sends_no_table_whole(spark, sf_dir):
+    assert "Broadcast" not in plan(spatial.agg20_motion_estimate(spark, sf_dir))
+
+
 @pytest.mark.parametrize("name", ["raht08_predicted_round_trip"])
 def test_predicted_transform_sends_no_table_whole(spark, sf_dir, name):
     assert "Broadcast" not in plan(getattr(coding, name)(spark, sf_dir))
