@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cloudloom.functions import exprs as E
-from cloudloom.operators.joins import knn_join
+from cloudloom.operators.joins import apart, knn_join
 from cloudloom.sources.shared import staged
 
 AXES = E.AXES
@@ -76,14 +76,14 @@ def recolour(targets: DataFrame, sources: DataFrame, attributes: list[str], forw
     src = sources.select("idx", *((F.col(a).cast("bigint") * up).alias(a) for a in AXES))
     values = sources.select(F.col("idx").alias("s"), *(F.col(a).cast("bigint").alias(a) for a in attributes))
     own = lambda df, by: df.withColumn("d2", F.col("d2") / float(by * by))
-    near = trimmed(own(knn_join(t, src, forward.neighbours), up).join(values, "s"), attributes, forward)
+    near = trimmed(own(knn_join(t, src, forward.neighbours), up).join(apart(values), "s"), attributes, forward)
     w = 1.0 / (F.col("d2") + F.lit(forward.offset))
     clipped = lambda c: F.least(F.greatest(F.round(F.round(c, 9)), F.lit(0.0)), F.lit(float(high)))
     # a single neighbour is taken as it is, not by its mean
     alone = F.count(F.lit(1)) == 1
     forward_values = near.groupBy("t").agg(*(F.when(alone, F.first(a).cast("double")).otherwise(clipped(_mean(a, w, forward))).alias(f"w_{a}") for a in attributes))
 
-    back = own(knn_join(src, t, backward.neighbours), down).select(F.col("t").alias("s"), F.col("s").alias("t"), "d2").join(values, "s")
+    back = own(knn_join(src, t, backward.neighbours), down).select(F.col("t").alias("s"), F.col("s").alias("t"), "d2").join(apart(values), "s")
     if backward.most_distance2 < UNLIMITED:
         back = back.filter(F.col("d2") <= backward.most_distance2)
     if backward.same_place_only or backward.most_attribute2 < UNLIMITED:
@@ -92,7 +92,7 @@ def recolour(targets: DataFrame, sources: DataFrame, attributes: list[str], forw
     v = 1.0 / (F.sqrt("d2") + F.lit(backward.offset))
     votes = back.groupBy("t").agg(F.count(F.lit(1)).alias("n"), *(e for a in attributes for e in (F.sum(a).alias(f"s_{a}"), F.sum(F.col(a) * F.col(a)).alias(f"q_{a}"), _mean(a, v, backward).alias(f"c_{a}"))))
     sizes = targets.agg(F.count(F.lit(1)).cast("double").alias("__nt")).crossJoin(sources.agg(F.count(F.lit(1)).cast("double").alias("__ns")))
-    both = forward_values.join(votes, "t", "left").crossJoin(F.broadcast(sizes))  # one row
+    both = forward_values.join(apart(votes), "t", "left").crossJoin(F.broadcast(sizes))  # one row
     steps = list(range(-search, search + 1))
     offsets = [[i] for i in steps] if len(attributes) == 1 else [[i, j, k] for i in steps for j in steps for k in steps]
     tries = F.array(*(F.array(*(F.lit(float(o)) for o in off)) for off in offsets))

@@ -79,6 +79,11 @@ def test_motion_estimate_sends_no_table_whole(spark, sf_dir):
     assert "Broadcast" not in plan(spatial.agg20_motion_estimate(spark, sf_dir))
 
 
+def test_recolouring_sends_only_a_row(spark, sf_dir):
+    text = plan(spatial.recolour_reflectance(spark, sf_dir))
+    assert "BroadcastHashJoin" not in text
+
+
 @pytest.mark.parametrize("name", ["raht08_predicted_round_trip"])
 def test_predicted_transform_sends_no_table_whole(spark, sf_dir, name):
     assert "Broadcast" not in plan(getattr(coding, name)(spark, sf_dir))
