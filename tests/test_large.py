@@ -84,7 +84,7 @@ def test_recolouring_sends_only_a_row(spark, sf_dir):
     assert "BroadcastHashJoin" not in text
 
 
-@pytest.mark.parametrize("name", ["raht08_predicted_round_trip"])
+@pytest.mark.parametrize("name", ["raht08_predicted_round_trip", "raht10_attributes"])
 def test_predicted_transform_sends_no_table_whole(spark, sf_dir, name):
     assert "Broadcast" not in plan(getattr(coding, name)(spark, sf_dir))
 
