@@ -7,7 +7,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cloudloom.functions import exprs as E
@@ -71,40 +71,66 @@ def raht_level(df: DataFrame, level: int, key: str = "morton") -> DataFrame:
     return df.groupBy(F.shiftright(key, level).alias(key)).agg(F.sum("weight").alias("weight"), F.sum("value").alias("value"))
 
 
-def raht_blocks(df: DataFrame, levels: Sequence[int], value: str) -> DataFrame:
-    """(level, node, w0..w7, s0..s7): weights and sums of the eight children of every node at each level (in bits, multiples of 3).
+def raht_blocks(df: DataFrame, levels: Sequence[int], value: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, level, node, w0..w7, s0..s7): weights and sums of the eight children of every node at each level (in bits, multiples of 3).
 
     Levels roll up one from the other, so each is an aggregate of a smaller table.
     """
-    base = df.groupBy(E.morton(*AXES).alias("m")).agg(F.count(F.lit(1)).alias("w"), F.sum(F.col(value).cast("bigint")).alias("s"))
+    base = df.groupBy(*by, E.morton(*AXES).alias("m")).agg(F.count(F.lit(1)).alias("w"), F.sum(F.col(value).cast("bigint")).alias("s"))
     out, below, at = None, base, 0
+    child, none = F.col("m").bitwiseAND(7), F.lit(0)
+    sums = [F.coalesce(F.sum(F.when(child == i, F.col(c))), none).alias(f"{c}{i}") for c in "ws" for i in range(8)]
     for i, level in enumerate(sorted(levels)):
         if level > at:
-            below, at = below.groupBy(F.shiftright("m", level - at).alias("m")).agg(F.sum("w").alias("w"), F.sum("s").alias("s")), level
+            below, at = below.groupBy(*by, F.shiftright("m", level - at).alias("m")).agg(F.sum("w").alias("w"), F.sum("s").alias("s")), level
         if i % STAGED_LEVELS == 0:
             below = staged(below, "raht-level")
-        child = F.col("m").bitwiseAND(7)
-        block = below.groupBy(F.shiftright("m", 3).alias("node")).agg(*(F.coalesce(F.sum(F.when(child == i, F.col("w"))), F.lit(0)).alias(f"w{i}") for i in range(8)), *(F.coalesce(F.sum(F.when(child == i, F.col("s"))), F.lit(0)).alias(f"s{i}") for i in range(8))).withColumn("level", F.lit(level))
+        block = below.groupBy(*by, F.shiftright("m", 3).alias("node")).agg(*sums).withColumn("level", F.lit(level))
         out = block if out is None else out.unionByName(block)
     return out
 
 
-def transform_blocks(blocks: DataFrame) -> DataFrame:
-    """(level, node, w, c0..c7): the 12 weighted butterflies of every block. c0 is its DC, ``w`` its weight, null where a coefficient is absent.
+#: Columns that one projection sets; lists of them follow each other.
+Columns = dict[str, Column]
 
-    A pair with one side empty moves the other to the low place. Projections follow each other, and generated code runs them in one stage.
+
+def _with(t: DataFrame, steps: Sequence[Columns]) -> DataFrame:
+    for new in steps:
+        t = t.withColumns(new)
+    return t
+
+
+def _butterflies(*names: str) -> list[Columns]:
+    """The 12 weighted butterflies of a block with weights u0..u7, for coefficients of each of ``names``, null where a child is absent.
+
+    A pair with one side empty moves the other to the low place.
     """
-    t = blocks.select("level", "node", *(F.col(f"w{i}").cast("double").alias(f"w{i}") for i in range(8)), *(F.when(F.col(f"w{i}") > 0, F.col(f"s{i}") / F.sqrt(f"w{i}")).alias(f"c{i}") for i in range(8)))
+    out = []
     for step in STEPS:
         new = {}
         for i, j in step:
-            wi, wj, a, b = F.col(f"w{i}"), F.col(f"w{j}"), F.col(f"c{i}"), F.col(f"c{j}")
-            both = (wi > 0) & (wj > 0) & a.isNotNull() & b.isNotNull()
-            p, q = F.sqrt(wi / (wi + wj)), F.sqrt(wj / (wi + wj))
-            new |= {f"c{i}": F.when(both, p * a + q * b).otherwise(F.coalesce(a, b)), f"c{j}": F.when(both, p * b - q * a)}
-            new |= {f"w{i}": wi + wj, f"w{j}": F.when(both, wi + wj).otherwise(0.0)}
-        t = t.withColumns(new)
-    return t.select("level", "node", F.col("w0").alias("w"), *(f"c{i}" for i in range(8)))
+            wi, wj = F.col(f"u{i}"), F.col(f"u{j}")
+            both, p, q = (wi > 0) & (wj > 0), F.sqrt(wi / (wi + wj)), F.sqrt(wj / (wi + wj))
+            for n in names:
+                a, b = F.col(f"{n}{i}"), F.col(f"{n}{j}")
+                new |= {f"{n}{i}": F.when(both, p * a + q * b).otherwise(F.coalesce(a, b)), f"{n}{j}": F.when(both, p * b - q * a)}
+            new |= {f"u{i}": wi + wj, f"u{j}": F.when(both, wi + wj).otherwise(0.0)}
+        out.append(new)
+    return out
+
+
+def _start(**sums: str) -> Columns:
+    """Weights u0..u7 and, for each name, coefficients of the sums of another."""
+    return {f"u{i}": F.col(f"w{i}").cast("double") for i in range(8)} | {f"{n}{i}": F.when(F.col(f"w{i}") > 0, F.col(f"{s}{i}") / F.sqrt(f"w{i}")) for n, s in sums.items() for i in range(8)}
+
+
+def transform_blocks(blocks: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, level, node, w, c0..c7): the 12 weighted butterflies of every block. c0 is its DC, ``w`` its weight, null where a coefficient is absent.
+
+    Projections follow each other, and generated code runs them in one stage.
+    """
+    t = _with(blocks, [_start(c="s"), *_butterflies("c")])
+    return t.select(*by, "level", "node", F.col("u0").alias("w"), *(f"c{i}" for i in range(8)))
 
 
 def raht(df: DataFrame, value: str, depth: int) -> DataFrame:
@@ -120,12 +146,12 @@ def raht_of(blocks: DataFrame, depth: int) -> DataFrame:
     return rows.filter((F.col("band") > 0) | (F.col("level") == 3 * (depth - 1)))
 
 
-def _children(t: DataFrame) -> DataFrame:
-    """(node, w, c0) of the children of blocks (node, w0..w7, c0..c7): the butterflies undone, a child's coefficient at its place."""
-    t = t.withColumns({f"u0_{i}": F.col(f"w{i}").cast("double") for i in range(8)})
+def _undone() -> list[Columns]:
+    """The butterflies of blocks (w0..w7, c0..c7) undone, a child's coefficient at its place."""
+    out = [{f"u0_{i}": F.col(f"w{i}").cast("double") for i in range(8)}]
     for k_step, step in enumerate(STEPS[:-1]):
         u = lambda i, k_step=k_step: F.col(f"u{k_step}_{i}")
-        t = t.withColumns({f"u{k_step + 1}_{i}": u(i) + u(j) for i, j in step} | {f"u{k_step + 1}_{j}": F.when((u(i) > 0) & (u(j) > 0), u(i) + u(j)).otherwise(0.0) for i, j in step})
+        out.append({f"u{k_step + 1}_{i}": u(i) + u(j) for i, j in step} | {f"u{k_step + 1}_{j}": F.when((u(i) > 0) & (u(j) > 0), u(i) + u(j)).otherwise(0.0) for i, j in step})
     for k_step in range(len(STEPS) - 1, -1, -1):
         new = {}
         for i, j in STEPS[k_step]:
@@ -133,20 +159,25 @@ def _children(t: DataFrame) -> DataFrame:
             both = (wi > 0) & (wj > 0)
             p, q = F.sqrt(wi / (wi + wj)), F.sqrt(wj / (wi + wj))
             new |= {f"c{i}": F.when(both, p * a - q * b).otherwise(F.when(wi > 0, a)), f"c{j}": F.when(both, q * a + p * b).otherwise(F.when(wj > 0, a))}
-        t = t.withColumns(new)
+        out.append(new)
+    return out
+
+
+def _children(t: DataFrame, steps: Sequence[Columns], by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, node, w, c0) of the children of blocks (by, node, w0..w7, c0..c7), by ``_undone``."""
     children = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.col(f"w{i}").alias("w"), F.col(f"c{i}").alias("c")) for i in range(8)))).alias("e")
-    return t.select("node", children).filter("e.w > 0").select((F.col("node") * 8 + F.col("e.i")).alias("node"), F.col("e.w").alias("w"), F.col("e.c").alias("c0"))
+    return _with(t, steps).select(*by, "node", children).filter("e.w > 0").select(*by, (F.col("node") * 8 + F.col("e.i")).alias("node"), F.col("e.w").alias("w"), F.col("e.c").alias("c0"))
 
 
 def inverse_raht(blocks: DataFrame, coefficients: DataFrame, depth: int) -> DataFrame:
     """(m, w, s): weights and sums at every point place again, from the root's DC and the AC coefficients, level by level downward."""
     wide = coefficients.groupBy("level", "node").agg(*(F.max(F.when(F.col("band") == i, F.col("coefficient"))).alias(f"c{i}") for i in range(8)))
-    dc = None
+    dc, undone = None, _undone()
     for k in range(depth - 1, -1, -1):
         t = blocks.filter(F.col("level") == 3 * k).join(wide.filter(F.col("level") == 3 * k).drop("level"), "node", "left")
         if dc is not None:
             t = t.drop("c0").join(dc, "node")
-        below = _children(t)
+        below = _children(t, undone)
         dc = staged(below.select("node", "c0") if k else below, "unraht")
     return dc.select(F.col("node").alias("m"), "w", (F.col("c0") * F.sqrt("w")).alias("s"))
 
@@ -166,62 +197,63 @@ def _looks() -> list[tuple[int, int, int, int]]:
     return out
 
 
-def upsampled(parents: DataFrame) -> DataFrame:
-    """(node, p0..p7): values predicted for the eight children of each of ``parents`` (node, v), node an address.
+def upsampled(parents: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, node, v, p0..p7): values predicted for the eight children of each of ``parents`` (by, node, v), node an address.
 
     A child gets the mean of its parent (weight 4) and of the parent's neighbours across the faces (2) and edges (1) it touches, but for those whose
     value is a fifth of the parent's or less, or two and a half times it or more. Every node sends its value to the 19 nodes around, one equi-join and one sum.
     """
     looks = F.array(*(F.struct(F.lit(f).cast("bigint").alias("f"), F.lit(b).cast("bigint").alias("b"), F.lit(w).alias("weight"), F.lit(m).alias("mask")) for f, b, w, m in _looks()))
-    sent = parents.select("node", "v", F.explode(looks).alias("l"))
+    sent = parents.select(*by, "node", "v", F.explode(looks).alias("l"))
     # a node sees its neighbour at a step, so it is found by the step back
-    sent = sent.select(E.morton_subtract(E.morton_add(F.col("node"), F.col("l.b")), F.col("l.f")).alias("node"), F.col("v").alias("nv"), F.col("l.weight").alias("weight"), F.col("l.mask").alias("mask"))
-    met = sent.join(apart(parents), "node").filter((F.col("mask") == 255) | ((10 * F.col("nv") > 2 * F.col("v")) & (10 * F.col("nv") < 25 * F.col("v"))))
+    sent = sent.select(*by, E.morton_subtract(E.morton_add(F.col("node"), F.col("l.b")), F.col("l.f")).alias("node"), F.col("v").alias("nv"), F.col("l.weight").alias("weight"), F.col("l.mask").alias("mask"))
+    met = sent.join(apart(parents), [*by, "node"]).filter((F.col("mask") == 255) | ((10 * F.col("nv") > 2 * F.col("v")) & (10 * F.col("nv") < 25 * F.col("v"))))
     on = lambda i: F.col("mask").bitwiseAND(1 << i) > 0
-    return met.groupBy("node").agg(*((F.sum(F.when(on(i), F.col("weight") * F.col("nv"))) / F.sum(F.when(on(i), F.col("weight")))).alias(f"p{i}") for i in range(8)))
+    return met.groupBy(*by, "node").agg(F.max("v").alias("v"), *((F.sum(F.when(on(i), F.col("weight") * F.col("nv"))) / F.sum(F.when(on(i), F.col("weight")))).alias(f"p{i}") for i in range(8)))
 
 
-def raht_predicted(df: DataFrame, value: str, depth: int, qp: int, predict: bool = True) -> tuple[DataFrame, DataFrame]:
-    """((level, node, band, level_q), (m, w, v)): quantised coefficients of the transform with prediction, and what is reconstructed of each place's mean.
+def raht_predicted(df: DataFrame, value: str, depth: int, qp: int, predict: bool = True, by: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """((by, level, node, band, level_q), (by, m, w, v)): quantised coefficients of the transform with prediction, and what is reconstructed of each place's mean.
 
     From the root down, the children's values are predicted from the reconstructed parents around (``upsampled``), both blocks are transformed, the
-    differences of their AC coefficients are quantised, and the block is rebuilt from the parent's value and the rebuilt coefficients. A level is a few joins of its blocks.
+    differences of their AC coefficients are quantised, and the block is rebuilt from the parent's value and the rebuilt coefficients. A level is a join of
+    the parents with those around and one with its blocks; both transforms run over the same row, and their columns are made once for all levels.
+    ``by`` names keys whose clouds are coded apart, in the same plans.
     """
-    blocks = staged(raht_blocks(df, [3 * k for k in range(depth)], value), "blocks")
+    blocks = staged(raht_blocks(df, [3 * k for k in range(depth)], value, by), "blocks")
     scaled = lambda c: E.attribute_quantised(F.round(c * 256).cast("bigint"), qp)
     step = E.ATTRIBUTE_STEPS[max(qp, 4) % 6] * (1 << max(qp, 4) // 6) / 256.0
+    keys, ac = [*by, "node"], range(1, 8)
+    guessed = {f"e{i}": F.col(f"p{i}") * F.col(f"w{i}") for i in range(8)}
+    forward = [guessed, _start(c="s", g="e"), *_butterflies("c", "g")] if predict else [_start(c="s"), *_butterflies("c"), {f"g{i}": F.lit(0.0) for i in ac}]
+    kept = [*keys, F.col("u0").alias("w"), "v", *(f"w{i}" for i in range(8)), *(f"g{i}" for i in ac), *(scaled(F.col(f"c{i}") - F.coalesce(F.col(f"g{i}"), F.lit(0.0))).alias(f"q{i}") for i in ac)]
+    bands = F.explode(F.array(*(F.struct(F.lit(i).alias("band"), F.col(f"q{i}").alias("q")) for i in ac))).alias("e")
+    rebuilt = {f"c{i}": F.when(F.col(f"q{i}").isNotNull(), F.coalesce(F.col(f"g{i}"), F.lit(0.0)) + F.col(f"q{i}") * step) for i in ac} | {"c0": F.col("v") * F.sqrt("w")}
+    back, value_of = [rebuilt, *_undone()], (F.col("c0") / F.sqrt("w")).alias("v")
     coded, known = None, None
     for k in range(depth - 1, -1, -1):
         here = blocks.filter(F.col("level") == 3 * k)
-        real = transform_blocks(here)
-        rows = here.select("node", *(f"w{i}" for i in range(8))).join(apart(real.drop("level")), "node")
         if known is None:
-            root = rows.select(F.lit(3 * k).alias("level"), "node", F.lit(0).alias("band"), scaled(F.col("c0")).alias("q"))
-            coded = root
-            known = rows.select("node", (scaled(F.col("c0")) * step / F.sqrt("w")).alias("v"))
-        if predict:
-            guess = here.select("level", "node", *(f"w{i}" for i in range(8))).join(apart(upsampled(known)), "node").select("level", "node", *(f"w{i}" for i in range(8)), *((F.col(f"p{i}") * F.col(f"w{i}")).alias(f"s{i}") for i in range(8)))
-            rows = rows.join(apart(transform_blocks(guess).select("node", *(F.col(f"c{i}").alias(f"g{i}") for i in range(1, 8)))), "node")
-        else:
-            rows = rows.withColumns({f"g{i}": F.lit(0.0) for i in range(1, 8)})
-        rows = staged(rows.join(apart(known), "node").select("node", "w", "v", *(f"w{i}" for i in range(8)), *(f"g{i}" for i in range(1, 8)), *(scaled(F.col(f"c{i}") - F.coalesce(F.col(f"g{i}"), F.lit(0.0))).alias(f"q{i}") for i in range(1, 8))), "coded")
-        each = rows.select("node", F.explode(F.array(*(F.struct(F.lit(i).alias("band"), F.col(f"q{i}").alias("q")) for i in range(1, 8)))).alias("e")).select(F.lit(3 * k).alias("level"), "node", "e.*").filter("q is not null")
-        coded = coded.unionByName(each)
-        rebuilt = {f"c{i}": F.when(F.col(f"q{i}").isNotNull(), F.coalesce(F.col(f"g{i}"), F.lit(0.0)) + F.col(f"q{i}") * step) for i in range(1, 8)} | {"c0": F.col("v") * F.sqrt("w")}
-        below = _children(rows.withColumns(rebuilt))
-        known = staged(below.select("node", "w", (F.col("c0") / F.sqrt("w")).alias("v")), "rebuilt")
-        leaves = known
-        known = known.select("node", "v")
-    return coded, leaves.select(F.col("node").alias("m"), "w", "v")
+            root = transform_blocks(here, by)
+            coded = root.select(*by, F.lit(3 * k).alias("level"), "node", F.lit(0).alias("band"), scaled(F.col("c0")).alias("q"))
+            known = staged(root.select(*keys, (scaled(F.col("c0")) * step / F.sqrt("w")).alias("v")), "rebuilt")
+        around = upsampled(known, by) if predict else known
+        rows = staged(_with(here.drop("level").join(apart(around), keys), forward).select(*kept), "coded")
+        coded = coded.unionByName(rows.select(*keys, bands).select(*by, F.lit(3 * k).alias("level"), "node", "e.*").filter("q is not null"))
+        leaves = staged(_children(rows, back, by).select(*keys, "w", value_of), "rebuilt")
+        known = leaves.select(*keys, "v")
+    return coded, leaves.select(*by, F.col("node").alias("m"), "w", "v")
 
 
 def raht_attributes(df: DataFrame, attributes: list[str], depth: int, qp: int, high: int = 255) -> DataFrame:
-    """(m, attributes): several attributes through ``raht_predicted``, each rounded and kept within 0 and ``high``, a row for each place."""
-    out = None
-    for a in attributes:
-        v = raht_predicted(df, a, depth, qp)[1].select("m", E.clip(F.round("v"), 0, high).cast("int").alias(a))
-        out = v if out is None else out.join(apart(v), "m")
-    return out
+    """(m, attributes): several attributes through ``raht_predicted``, each rounded and kept within 0 and ``high``, a row for each place.
+
+    They go through it as rows, so plans are those of one attribute however many there are.
+    """
+    each = F.explode(F.array(*(F.struct(F.lit(i).alias("attribute"), F.col(a).cast("bigint").alias("value")) for i, a in enumerate(attributes)))).alias("e")
+    v = raht_predicted(df.select(*AXES, each).select(*AXES, "e.*"), "value", depth, qp, by=("attribute",))[1]
+    whole = E.clip(F.round("v"), 0, high).cast("int")
+    return v.groupBy("m").agg(*(F.max(F.when(F.col("attribute") == i, whole)).alias(a) for i, a in enumerate(attributes)))
 
 
 def zeroed(coefficients: DataFrame, key: str, qp: int) -> DataFrame:

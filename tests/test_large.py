@@ -8,7 +8,7 @@ import pytest
 from compare import connect, difference
 from pyspark.sql import functions as F
 
-from cloudloom.operators import joins, kernels, surface
+from cloudloom.operators import hierarchy, joins, kernels, surface
 from cloudloom.queries import aggregates, coding, spatial, surfaces
 from cloudloom.queries.registry import ORACLE
 
@@ -89,6 +89,19 @@ def test_predicted_transform_sends_no_table_whole(spark, sf_dir, name):
     assert "Broadcast" not in plan(getattr(coding, name)(spark, sf_dir))
 
 
+def test_more_attributes_make_no_more_plans(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(hierarchy, "staged", lambda df, name, f=hierarchy.staged: seen.append((name, plan(df).count("SortMergeJoin"))) or f(df, name))
+    df = spark.createDataFrame([(x, 3 - x, z, 10 * x + z, 100 - z) for x in range(4) for z in (0, 1, 3)], "x int, y int, z int, a int, b int")
+    one, two = [], []
+    for names, plans in ((["a"], one), (["a", "b"], two)):
+        rows = hierarchy.raht_attributes(df, names, 2, 4).collect()
+        plans += seen
+        seen.clear()
+    assert len(rows) == 12 and one == two
+    assert max(n for name, n in two if name == "coded") <= 2
+
+
 def test_motion_sources_search_once_and_send_no_table_whole(spark, sf_dir, monkeypatch):
     calls = []
     for at in (joins, kernels):
