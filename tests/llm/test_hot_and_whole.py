@@ -131,6 +131,20 @@ def test_tokenizer_settings_that_are_not_followed_are_refused(tmp_path, change):
         packing.ChunkEncoder(str(path))
 
 
+def test_packing_merges_whole_texts_and_long_runs(monkeypatch):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(vocabulary())
+    e = packing.ChunkEncoder(vocabulary())
+    same = lambda t: np.frombuffer(e.encode(t), "<u4").tolist() == library.encode(t, add_special_tokens=False).ids
+    assert same("a" + " " * 2_000_000 + "b") and same(" \n" * 600_000) and same((" " * 16_000 + "b") * 20)
+    calls, merged = [], e._ids
+    e._ids = lambda t: calls.append(t) or merged(t)
+    assert same(" ".join(f"word{i}" for i in range(5000))) and len(calls) == 1
+    monkeypatch.setattr(packing, "PART", 9)
+    assert same("It's  10 o'clock,\n\n dann gehen\twir \x85 zur\u3000Schule...\r\n  " * 30) and len(calls) > 100
+
+
 def test_buckets_hold_the_ids_of_every_document(spark, tmp_path):
     from tokenizers import Tokenizer
 
